@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.operators import changefeed, orphans
+from loomspark.operators import changefeed, orphans, packed
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("dnd_spell", "id", "extra_components"), ("parsed_spell", "parsed_id", "descriptors"), ("dnd_spellclasslevel", "id", "extra")]
+    fields = None
+    for name, key, field in parts:
+        one = table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col(field).alias("raw")).where("raw is not null and trim(raw) != ''").distinct()
+        fields = one if fields is None else fields.unionByName(one)
+    return packed.unpack(fields).select("table_name", "row_key", "pos", "val").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +71,7 @@ parents AS (SELECT 'spell' AS kind, id, min(added) AS added, max(deleted_at) AS
 found AS (SELECT DISTINCT table_name, ref_field, row_key, CASE WHEN p.id IS NULL THEN 'missing' WHEN p.deleted_at IS NOT NULL THEN 'deleted' WHEN p.added > r.ref_at THEN 'late' END AS reason, strftime(r.ref_at, '%Y-%m') AS period
  FROM refs r LEFT JOIN parents p ON p.kind = r.kind AND p.id = r.ref_key)"""
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_values, p5_found, p5_counts, p5_snapshots)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_values, p5_found, p5_counts, p5_snapshots)}
 
 SQL = {
     "p4_found": f"WITH {P4_OPS} SELECT table_name, row_key, last_seq FROM live",

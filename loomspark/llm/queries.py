@@ -1,4 +1,60 @@
 """Queries of the llm problems and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.catalog import table
+from loomspark.llm import canonical, leakage, lookalikes, spans
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zh, i18n = table(spark, sf_dir, "zh_record"), table(spark, sf_dir, "i18n_spell_text")
+    key = lambda name, field, k, c: [F.lit(name).alias("table_name"), F.lit(field).alias("field"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("name")]
+    names = (
+        zh.select(*key("zh_record", "zh_name", "rec_id", "zh_name"))
+        .unionByName(zh.select(*key("zh_record", "en_name", "rec_id", "en_name")))
+        .unionByName(i18n.select(*key("i18n_spell_text", "name", "id", "name")))
+        .where("name is not null")
+    )
+    return lookalikes.consistent_names(names).where("clean_name != name").select("table_name", "field", "row_key", "clean_name").distinct()
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed, entries = table(spark, sf_dir, "parsed_spell"), table(spark, sf_dir, "lookup_entry")
+    out = None
+    for field, kind in (("school", "school"), ("subschool", "subschool"), ("source", "rulebook")):
+        values = parsed.select("parsed_id", F.lit(field).alias("field"), F.col(field).alias("value"))
+        one = canonical.map_values(values, "value", entries.where(F.col("kind") == kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("parsed_id", "field", "entry_id").distinct()
+
+
+def p7_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).where("entry_id = -1").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
+def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return leakage.remove_leaked(docs, leakage.leaks(docs, table(spark, sf_dir, "eval_item"))).select("doc_id", "n_chars")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, sf_dir, "documents"))
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_parts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
+SQL: dict[str, str] = {}

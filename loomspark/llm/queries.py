@@ -6,7 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.llm import canonical, leakage, lookalikes, spans
+from loomspark.llm import canonical, leakage, lookalikes, pagescans, spans
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    pilot = table(spark, sf_dir, "pilot_entity")
+    fields = None
+    for f in ("source_text", "body_text", "summary_text"):
+        one = pilot.select("case_id", F.lit(f).alias("field"), F.col(f).alias("text"))
+        fields = one if fields is None else fields.unionByName(one)
+    titles = table(spark, sf_dir, "lookup_entry").where("kind = 'rulebook'").select("name")
+    clean = table(spark, sf_dir, "dnd_spell").where("description is not null").select("description").distinct().select(F.col("description").alias("text"))
+    return {"fields": fields, "titles": titles, "clean": clean}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagescans.defects(**_scans(spark, sf_dir))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagescans.paragraphs(**_scans(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +75,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
 SQL: dict[str, str] = {}

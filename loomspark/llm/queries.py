@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.llm import canonical, leakage, lookalikes, pagescans, spans
+from loomspark.llm import bitext, canonical, leakage, lookalikes, pagescans, spans
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -28,6 +28,12 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagescans.paragraphs(**_scans(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    en = table(spark, sf_dir, "dnd_spell").where("id is not null and description is not null").groupBy(F.col("id").alias("spell_id")).agg(F.min("description").alias("en"))
+    zh = table(spark, sf_dir, "i18n_spell_text").where("lower(lang) like 'zh%' and description_text is not null").select(F.col("id").alias("text_id"), "spell_id", F.col("description_text").alias("zh")).distinct()
+    return bitext.aligned(zh.join(en, "spell_id")).select("text_id", "en_pos", "zh_pos").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     zh, i18n = table(spark, sf_dir, "zh_record"), table(spark, sf_dir, "i18n_spell_text")
     key = lambda name, field, k, c: [F.lit(name).alias("table_name"), F.lit(field).alias("field"), F.col(k).cast("string").alias("row_key"), F.col(c).alias("name")]
@@ -75,5 +81,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.llm import bitext, canonical, leakage, lookalikes, pagescans, spans
+from loomspark.llm import bitext, canonical, leakage, lookalikes, mixture, pagescans, spans
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -73,6 +73,14 @@ def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_leaked(docs, leakage.leaks(docs, table(spark, sf_dir, "eval_item"))).select("doc_id", "n_chars")
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_pairs(table(spark, sf_dir, "documents"))
 
@@ -81,5 +89,5 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_shared)}
 SQL: dict[str, str] = {}

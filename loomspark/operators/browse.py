@@ -61,7 +61,7 @@ def overlay(df: DataFrame, texts: DataFrame, key: str, lang: str, variants: list
     names = chosen.select(key, *[F.col(f).alias(f"_{f}") for f in fields])
     out = df.join(names, key, "left")
     for f in fields:
-        out = out.withColumn(f, F.coalesce(F.nullif(F.trim(f"_{f}"), F.lit("")), F.col(f))).drop(f"_{f}")
+        out = out.withColumn(f, F.when(F.trim(f"_{f}") != "", F.col(f"_{f}")).otherwise(F.col(f))).drop(f"_{f}")
     return out
 
 

@@ -86,8 +86,9 @@ def build_documents(entities: DataFrame, texts: DataFrame, key: str) -> DataFram
     words where they differ from the document's name.
     """
     base = entities.select(key, F.lit("en").alias("lang"), F.lit("default").alias("variant"), "name", F.col("description").alias("body"), F.col("name").alias("_own"), "slug")
-    local = texts.join(entities.select(key, F.col("name").alias("_own"), "slug", F.col("description")), key)
-    local = local.select(key, "lang", "variant", F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.col("_own")).alias("name"), F.coalesce("description_text", "description").alias("body"), "_own", "slug")
+    own = entities.select(key, F.col("name").alias("_own"), "slug", "description")
+    local = texts.select(key, "lang", "variant", "name", "description_text").join(own, key)
+    local = local.select(key, "lang", "variant", F.when(F.trim("name") != "", F.col("name")).otherwise(F.col("_own")).alias("name"), F.coalesce("description_text", "description").alias("body"), "_own", "slug")
     given = local.where("lang = 'en' and variant = 'default'").select(key)
     docs = base.join(given, key, "left_anti").unionByName(local)
     aliases = F.array_distinct(F.array(F.col("_own"), F.replace("slug", F.lit("-"), F.lit(" "))))

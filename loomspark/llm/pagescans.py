@@ -64,6 +64,12 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s
 _SMALL_FOLDED = {w.translate(_FOLD) for w in _SMALL}
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], size: int = 40_000) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size, whatever a batch of input gives."""
+    while part := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 def core(token: str) -> str:
     return _EDGE.sub("", token)
 
@@ -71,15 +77,16 @@ def core(token: str) -> str:
 def page_lines(fields: DataFrame) -> DataFrame:
     """case_id, field, line_no, line, page, title of every line that is not blank; title is the folded title of a line shaped like one."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
-            rows = []
             for c, f, t in zip(b["case_id"], b["field"], b["text"]):
                 for n, line in enumerate(t.split("\n"), 1):
                     if line.strip():
                         page = bool(_PAGE.match(line)) and any(x.isdigit() for x in line)
-                        rows.append((c, f, n, line, page, None if page else title_key(line)))
-            yield pd.DataFrame(rows, columns=["case_id", "field", "line_no", "line", "page", "title"])
+                        yield c, f, n, line, page, None if page else title_key(line)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(rows(batches), ["case_id", "field", "line_no", "line", "page", "title"])
 
     return fields.mapInPandas(cut, "case_id string, field string, line_no int, line string, page boolean, title string")
 
@@ -129,13 +136,14 @@ def page_tokens(fields: DataFrame, skipped: DataFrame) -> DataFrame:
     """case_id, field, pos, line_no, word, key, broken, start of every word of text lines."""
     skip = skipped.groupBy("case_id", "field").agg(F.collect_set("line_no").alias("skip"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
-            rows = []
             for c, f, t, s in zip(b["case_id"], b["field"], b["text"], b["skip"]):
                 for pos, (n, w, broken, start) in enumerate(_tokens(t, set() if s is None else set(s))):
-                    rows.append((c, f, pos, n, w, w.lower(), broken, start))
-            yield pd.DataFrame(rows, columns=["case_id", "field", "pos", "line_no", "word", "key", "broken", "start"])
+                    yield c, f, pos, n, w, w.lower(), broken, start
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(rows(batches), ["case_id", "field", "pos", "line_no", "word", "key", "broken", "start"])
 
     return fields.join(skip, ["case_id", "field"], "left").mapInPandas(cut, "case_id string, field string, pos int, line_no int, word string, key string, broken boolean, start boolean")
 
@@ -201,7 +209,7 @@ _NAME_BITS, _WORD_BITS = 8.0, 34.0
 
 
 def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame:
-    """tokens (of page_tokens) with reading, the word as it was printed; clean is text (column text) without defects that the language model may also learn from."""
+    """The words of tokens (of page_tokens) that were broken or misread, with reading, the word as it was printed; clean is text (column text) without defects that the language model may also learn from."""
     tokens = materialize(tokens, "tokens")
     number = lambda c: F.when(F.col(c).rlike(r"^\d+(d\d+)?$"), F.regexp_replace(c, r"\d+", "#")).otherwise(F.col(c))
     whole = tokens.where("not broken").select("case_id", "field", "pos", number("key").alias("key"), F.col("word").rlike("^[A-Z]").alias("cap"), "start", F.lit(0).alias("is_clean"))
@@ -215,16 +223,17 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     names = _trigrams(lexicon.where("n_cap > 0 and n_cap * 2 > n_mid").select("key", "n"))
     forms = tokens.groupBy("key", "broken").agg(F.count("*").alias("n_form"), F.max(F.col("word").rlike("^[A-Z0-9!|]")).alias("cap_form"))
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell_out(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         model = NameModel(names)
         for b in batches:
-            rows = []
             for key, broken, n, cap in zip(b["key"], b["broken"], b["n_form"], b["cap_form"]):
                 for rank, (r, used) in enumerate(readings(key)):
                     look = re.sub(r"\d+", "#", r) if _NUMBER.fullmatch(r) else r
                     name_bits = model.bits(r) if cap and r.replace("'", "").isalpha() and r.isascii() else None
-                    rows.append((key, broken, n, rank, r, look, used, name_bits))
-            yield pd.DataFrame(rows, columns=["obs", "broken", "n_form", "rank", "reading", "look", "used", "name_bits"])
+                    yield key, broken, n, rank, r, look, used, name_bits
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames(spell_out(batches), ["obs", "broken", "n_form", "rank", "reading", "look", "used", "name_bits"])
 
     cand = forms.mapInPandas(spread, "obs string, broken boolean, n_form long, rank int, reading string, look string, used array<string>, name_bits double")
     lex = lexicon.select(F.col("key").alias("look"), "n", "n_clean", "n_mid", "n_cap")
@@ -250,17 +259,38 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     # only readings that could win: within reach of the best one
     reach = lambda xs: F.filter(xs, lambda x: x["channel"] + x["own"] <= F.array_min(F.transform(xs, lambda y: y["channel"] + y["own"])) + 14)
     options = options.withColumn("options", reach(F.col("options")))
-    lattice = tokens.join(options.withColumnRenamed("obs", "key"), ["key", "broken"])
-    cols = ["pos", "line_no", "word", "broken", "start", "options"]
-    texts = materialize(lattice.groupBy("case_id", "field").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("words")), "lattices")
-    unsure = texts.where(F.exists("words", lambda w: F.size(w["options"]) > 1))
-    edges = unsure.mapInPandas(_edges, "case_id string, field string, a string, b string").distinct()
-    pairs = _bigrams(whole)
-    counted = edges.join(pairs, ["a", "b"]).groupBy("case_id", "field").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("a", F.lit(" "), "b"), "n"))).alias("pairs"))
-    ready = texts.join(counted, ["case_id", "field"], "left").withColumn("total", F.lit(float(total)))
+    # a text's lattice is one string of words, options and their fields, which tasks read word by word
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    packed = F.array_join(F.transform("options", lambda o: F.concat_ws(_FIELD, *[text(o[c]) for c in ("reading", "look", "channel", "own", "n", "name")])), _OPTION)
+    options = options.select(F.col("obs").alias("key"), "broken", packed.alias("packed"), (F.size("options") > 1).alias("unsure"))
+    word = F.concat_ws(_OPTION, F.concat_ws(_FIELD, text(F.col("pos")), text(F.col("line_no")), "word", text(F.col("broken")), text(F.col("start"))), "packed")
+    lattice = tokens.join(options, ["key", "broken"]).select("case_id", "field", "pos", word.alias("w"), "unsure", "broken")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), _WORD)
+    texts = lattice.groupBy("case_id", "field").agg(words.alias("words"), F.max("unsure").alias("unsure"))
+    texts = materialize(texts, "lattices")
+    edges = texts.where("unsure").mapInPandas(_edges, "case_id string, field string, a string, b string")
+    counted = edges.join(_bigrams(whole), ["a", "b"]).groupBy("case_id", "field").agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "a", "b", text(F.col("n")))), _WORD).alias("pairs"))
+    ready = texts.join(counted, ["case_id", "field"], "left")
     return ready.mapInPandas(_viterbi, "case_id string, field string, pos int, line_no int, word string, broken boolean, start boolean, reading string")
 
 
+_WORD, _OPTION, _FIELD = "\x1d", "\x1e", "\x1f"
+
+
+def _lattice(words: str) -> list[tuple]:
+    """(pos, line_no, word, broken, start, options) of a packed text; options are (reading, look, channel, own, n, name)."""
+    out = []
+    for w in words.split(_WORD):
+        head, *options = w.split(_OPTION)
+        pos, line, word, broken, start = head.split(_FIELD)
+        opts = []
+        for o in options:
+            r, look, channel, own, n, name = o.split(_FIELD)
+            opts.append((r, look, float(channel), float(own), float(n), name == "true"))
+        out.append((int(pos), int(line), word, broken == "true", start == "true", opts))
+    return out
+
+
 def confusion_bits(known: DataFrame, total: int) -> dict[str, float]:
     """Bits per confusion, from words that have one well supported reading that needs one confusion; bounded by the list of confusions."""
     rare = known.where("not broken").groupBy("obs").agg(
@@ -290,51 +320,62 @@ def _bigrams(words: DataFrame) -> DataFrame:
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = set()
-        for c, f, ws in zip(b["case_id"], b["field"], b["words"]):
-            for x, y in itertools.pairwise(ws):
-                if len(x["options"]) > 1 or len(y["options"]) > 1:
-                    rows.update((c, f, o["look"], p["look"]) for o in x["options"] for p in y["options"])
-        yield pd.DataFrame(list(rows), columns=["case_id", "field", "a", "b"])
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for c, f, ws in zip(b["case_id"], b["field"], b["words"]):
+                pairs = {(o[1], p[1]) for x, y in itertools.pairwise(_lattice(ws)) if len(x[5]) > 1 or len(y[5]) > 1 for o in x[5] for p in y[5]}
+                yield from ((c, f, *p) for p in pairs)
+
+    return _frames(rows(), ["case_id", "field", "a", "b"])
 
 
 _BACKOFF = 12.0
 
 
+def best_path(words: list[tuple], counts: dict[tuple[str, str], int]) -> list[tuple]:
+    """The option of each word on the cheapest path, in bits of channel and bigrams."""
+    paths: list[tuple] = [(0.0, None, None)]  # (bits, option, path before)
+    for w in words:
+        best = []
+        for o in w[5]:
+            step = []
+            for bits, prev, _ in paths:
+                if prev is None:
+                    lm = o[3]
+                elif len(paths) > 1 or len(w[5]) > 1:
+                    lm = -math.log2((counts.get((prev[1], o[1]), 0) + _BACKOFF * 2.0 ** -o[3]) / (prev[4] + _BACKOFF))
+                else:
+                    lm = 0.0
+                step.append(bits + lm + o[2])
+            k = min(range(len(step)), key=step.__getitem__)
+            best.append((step[k], o, paths[k]))
+        paths = best
+    node, chosen = min(paths, key=lambda x: x[0]), []
+    while node[1] is not None:
+        chosen.append(node[1])
+        node = node[2]
+    return chosen[::-1]
+
+
 def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for c, f, ws, pairs in zip(b["case_id"], b["field"], b["words"], b["pairs"]):
-            counts = dict(pairs) if pairs is not None else {}
-            paths = [((0.0, None, None))]  # (bits, option, path before)
-            for w in ws:
-                best = []
-                for o in w["options"]:
-                    step = []
-                    for bits, prev, _ in paths:
-                        own = 2.0 ** -o["own"]
-                        if prev is None:
-                            lm = o["own"]
-                        else:
-                            lm = -math.log2((counts.get(f"{prev['look']} {o['look']}", 0) + _BACKOFF * own) / (prev["n"] + _BACKOFF)) if len(paths) > 1 or len(w["options"]) > 1 else 0.0
-                        step.append(bits + lm + o["channel"])
-                    k = min(range(len(step)), key=step.__getitem__)
-                    best.append((step[k], o, paths[k]))
-                paths = best
-            node = min(paths, key=lambda x: x[0])
-            chosen = []
-            while node[1] is not None:
-                chosen.append(node[1])
-                node = node[2]
-            for w, o in zip(ws, reversed(chosen)):
-                rows.append((c, f, w["pos"], w["line_no"], w["word"], w["broken"], w["start"], as_printed(w["word"], o, w["start"])))
-        yield pd.DataFrame(rows, columns=["case_id", "field", "pos", "line_no", "word", "broken", "start", "reading"])
-
-
-def as_printed(word: str, option: dict, start: bool) -> str:
+    """The words that were broken or read otherwise than seen."""
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for c, f, ws, pairs in zip(b["case_id"], b["field"], b["words"], b["pairs"]):
+                words = _lattice(ws)
+                counts = {tuple(p.split(_FIELD)[:2]): int(p.split(_FIELD)[2]) for p in pairs.split(_WORD)} if pairs else {}
+                for w, o in zip(words, best_path(words, counts)):
+                    reading = as_printed(w[2], o[0], o[5], w[4])
+                    if w[3] or reading != w[2]:
+                        yield c, f, w[0], w[1], w[2], w[3], w[4], reading
+
+    return _frames(rows(), ["case_id", "field", "pos", "line_no", "word", "broken", "start", "reading"])
+
+
+def as_printed(word: str, r: str, name: bool, start: bool) -> str:
     """The reading in the case of the word seen; a misread first letter takes the case of its place."""
-    r, seen = option["reading"], word.replace("\xad", "")
+    seen = word.replace("\xad", "")
     if r == seen.lower():
         return seen
     if "\xad" in word and r == word.replace("\xad", "-").lower():
@@ -343,7 +384,7 @@ def as_printed(word: str, option: dict, start: bool) -> str:
         return r.upper()
     if seen[:1].isupper():
         return r[:1].upper() + r[1:]
-    if not seen[:1].isalpha() and (start or option["name"]):
+    if not seen[:1].isalpha() and (start or name):
         return r[:1].upper() + r[1:]
     return r
 

@@ -10,6 +10,7 @@ comparing to the left of the anchors completes them.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,43 +99,77 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def _leaf_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of leaves of one group (or of two blocks of one) whose suffixes share MIN_SPAN characters about the anchor.
-
-    Leaves are sorted by what stands to their right, as in the suffix tree, so the common prefix of a leaf with those
-    after it only falls: the scan ends where it drops below what the left side could make up for.
-    """
-    g = g.sort_values(["right", "leaf"]).reset_index(drop=True)
-    n = len(g)
-    a_side, b_side = g["a_side"].to_numpy(), g["b_side"].to_numpy()
-    right = np.concatenate([_matrix(g["right"].tolist(), WINDOW - 1, -1)], 1)
-    left = _matrix([s[::-1] for s in g["left"]], WINDOW - 1, -1)
+def common_length(a: str, b: str) -> int:
+    """Length of the common prefix of two strings."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _few_pairs(rows: list[tuple]) -> Iterator[tuple]:
+    for i, (_, leaf, left, right, gap, a, b) in enumerate(rows):
+        for _, leaf2, left2, right2, gap2, a2, b2 in rows[i + 1 :]:
+            if not (a and b2 or b and a2):
+                continue
+            r = PREFIX + common_length(right, right2)
+            if r + WINDOW - 1 < MIN_SPAN:
+                break  # leaves are sorted by their right side: those after share no more of it
+            n = common_length(left[::-1], left2[::-1])
+            if n + r >= MIN_SPAN:
+                yield leaf, leaf2, n, r, not (gap == gap2 and 0 <= gap <= n)
+
+
+def _many_pairs(rows: list[tuple]) -> Iterator[tuple]:
+    _, leaf, lefts, rights, gaps, a, b = zip(*rows)
+    gap, a, b, n = np.array(gaps), np.array(a), np.array(b), len(rows)
+    right, left = _matrix(rights, WINDOW - 1, -1), _matrix([s[::-1] for s in lefts], WINDOW - 1, -1)
     # padding never equals padding: row i gets a number of its own
     own = -2 - np.arange(n)[:, None]
     right, left = np.where(right == -1, own, right), np.where(left == -1, own, left)
-    gap, leaf = g["gap"].to_numpy(), g["leaf"].to_numpy()
-    rows = []
-    for i in range(n):
-        # equal leaves: the documents of one leaf share all there is
-        if a_side[i] and b_side[i]:
-            r = PREFIX + len(g["right"][i])
-            lft = len(g["left"][i])
-            if r + lft >= MIN_SPAN:
-                rows.append((leaf[i], leaf[i], lft, r, not 0 <= gap[i] <= lft))
-        if i + 1 == n:
-            break
-        r = _common(right[i + 1 :], right[i])
-        keep = ((a_side[i] & b_side[i + 1 :]) | (b_side[i] & a_side[i + 1 :])).astype(bool)
-        js = np.flatnonzero(keep)
+    for i in range(n - 1):
+        js = i + 1 + np.flatnonzero((a[i] & b[i + 1 :]) | (b[i] & a[i + 1 :]))
         if not len(js):
             continue
-        lft = _common(left[i + 1 :][js], left[i])
-        total = PREFIX + r[js] + lft
-        for j, ll in zip(js[total >= MIN_SPAN], lft[total >= MIN_SPAN]):
-            o = i + 1 + int(j)
-            rows.append((leaf[i], leaf[o], int(ll), PREFIX + int(r[j]), not (gap[i] == gap[o] and 0 <= gap[i] <= ll)))
-    key = g["key"].iloc[0] if n else b""
-    return pd.DataFrame([(key, *r) for r in rows], columns=["key", "leaf_a", "leaf_b", "left_chars", "right_chars", "first"])
+        r, m = PREFIX + _common(right[js], right[i]), _common(left[js], left[i])
+        for k in np.flatnonzero(r + m >= MIN_SPAN):
+            j = js[k]
+            yield leaf[i], leaf[j], int(m[k]), int(r[k]), not (gap[i] == gap[j] and 0 <= gap[i] <= m[k])
+
+
+def _leaf_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of leaves of each group (or of two blocks of one) whose suffixes share MIN_SPAN characters about the anchor.
+
+    Groups come one after another, each with its leaves sorted by what stands to their right, as in the suffix tree.
+    """
+
+    def groups() -> Iterator[tuple[bytes, list[tuple]]]:
+        name, rows = None, []
+        for b in batches:
+            for key, x, y, *leaf in b[["key", "block_a", "block_b", "key", "leaf", "left", "right", "gap", "a_side", "b_side"]].itertuples(index=False, name=None):
+                if (key, x, y) != name:
+                    if rows:
+                        yield name[0], rows
+                    name, rows = (key, x, y), []
+                rows.append(tuple(leaf))
+        if rows:
+            yield name[0], rows
+
+    def pairs() -> Iterator[tuple]:
+        for key, rows in groups():
+            for p in _few_pairs(rows) if len(rows) <= 24 else _many_pairs(rows):
+                yield key, *p
+
+    found = pairs()
+    while part := list(itertools.islice(found, 20_000)):
+        yield pd.DataFrame(part, columns=["key", "leaf_a", "leaf_b", "left_chars", "right_chars", "first"])
 
 
 _PAIR_SCHEMA = "key binary, leaf_a binary, leaf_b binary, left_chars int, right_chars int, first boolean"
@@ -154,7 +189,10 @@ def shared_leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = kept.join(long, "doc_id").mapInPandas(_surroundings, "key binary, doc_id long, place int, gap int, left string, right string, leaf binary")
     members = materialize(placed, "leaves")
     leaves = members.groupBy("key", "leaf").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("gap").alias("gap"))
-    sizes = members.groupBy("key").agg(F.approx_count_distinct("leaf").alias("n"))
+    # the documents of one leaf share all there is about the anchor
+    left, right = F.length("left"), F.length("right") + PREFIX
+    alike = leaves.select("key", F.col("leaf").alias("leaf_a"), F.col("leaf").alias("leaf_b"), left.alias("left_chars"), right.alias("right_chars"), (~F.col("gap").between(F.lit(0), left)).alias("first"))
+    sizes = leaves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # groups too large for one task: leaves fall into blocks by hash, and each pair of blocks is a group of its own
     blocked = leaves.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     mine = F.pmod(F.xxhash64("leaf"), F.col("blocks")).cast("int")
@@ -164,7 +202,8 @@ def shared_leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.least("mine", "other").alias("block_a"), F.greatest("mine", "other").alias("block_b"),
         (F.col("mine") <= F.col("other")).alias("a_side"), (F.col("mine") >= F.col("other")).alias("b_side"),
     )
-    pairs = tasks.groupBy("key", "block_a", "block_b").applyInPandas(_leaf_pairs, _PAIR_SCHEMA)
+    tree = tasks.repartition("key", "block_a", "block_b").sortWithinPartitions("key", "block_a", "block_b", "right", "leaf")
+    pairs = tree.mapInPandas(_leaf_pairs, _PAIR_SCHEMA).unionByName(alike.where(F.col("left_chars") + F.col("right_chars") >= MIN_SPAN))
     return members.select("key", "leaf", "doc_id", "place"), pairs
 
 

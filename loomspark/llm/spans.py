@@ -175,14 +175,30 @@ def _leaf_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _PAIR_SCHEMA = "key binary, leaf_a binary, leaf_b binary, left_chars int, right_chars int, first boolean"
 
 
+def copy_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, copies: documents with exactly the same text share the class of the smallest doc_id.
+
+    Null texts have no class; of rows with the same doc_id the one with the smallest text digest counts. Texts are
+    told apart by their SHA-256, and a class of any size is one row per task before it is shuffled.
+    """
+    docs = documents.where("text is not null and doc_id is not null").select("doc_id", F.sha2("text", 256).alias("_h")).groupBy("doc_id").agg(F.min("_h").alias("_h"))
+    classes = docs.groupBy("_h").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    return docs.join(classes, "_h").select("doc_id", "class_id", "copies")
+
+
+def representatives(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, text of the first document of each class."""
+    first = classes.where("doc_id = class_id").select("doc_id")
+    return documents.where("text is not null").select("doc_id", "text").join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+
+
 def shared_leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): the anchors of shared prefixes (key, leaf, doc_id, place), and the pairs of leaves that share a span.
+    """(members, pairs) of documents with different texts, one row each: the anchors of shared prefixes (key, leaf, doc_id, place), and the pairs of leaves that share a span.
 
     pairs has left_chars and right_chars, the shared characters before and from the anchor, and first: whether no
     earlier anchor of both lies in the same span, so that each span of a pair is told once.
     """
-    docs = documents.where("text is not null and doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
-    long = docs.where(F.length("text") >= MIN_SPAN)
+    long = documents.where(F.length("text") >= MIN_SPAN).select("doc_id", "text")
     rows = materialize(long.mapInPandas(_anchor_rows, "key binary, doc_id long, place int, gap int"), "anchors")
     several = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("key")
     kept = rows.join(several, "key", "left_semi")
@@ -207,19 +223,48 @@ def shared_leaves(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("key", "leaf", "doc_id", "place"), pairs
 
 
-def shared_pairs(documents: DataFrame) -> DataFrame:
-    """doc_a, doc_b: each pair of documents, smaller id first, whose texts have MIN_SPAN characters in common.
-
-    Texts are compared as stored, by code points. Null texts and texts below MIN_SPAN share nothing; of rows with the
-    same doc_id one counts.
-    """
-    members, pairs = shared_leaves(documents)
+def class_pairs(representatives: DataFrame) -> DataFrame:
+    """class_a, class_b: each pair of different texts, smaller id first, with MIN_SPAN characters in common."""
+    members, pairs = shared_leaves(representatives)
     spans = materialize(pairs.where("first").select("key", "leaf_a", "leaf_b").distinct(), "spans")
     of = members.select("key", "leaf", "doc_id").distinct()
     a = of.select("key", F.col("leaf").alias("leaf_a"), F.col("doc_id").alias("x"))
     b = of.select("key", F.col("leaf").alias("leaf_b"), F.col("doc_id").alias("y"))
     both = spans.join(a, ["key", "leaf_a"]).join(b, ["key", "leaf_b"]).where("x != y")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
+
+
+def shared_pairs(documents: DataFrame) -> DataFrame:
+    """doc_a, doc_b: each pair of documents, smaller id first, whose texts have MIN_SPAN characters in common.
+
+    Texts are compared as stored, by code points. Null texts and texts below MIN_SPAN share nothing; of rows with the
+    same doc_id one counts. Copies are compared once, by their class; document_links tells of large classes without
+    writing out their pairs.
+    """
+    classes = materialize(copy_classes(documents), "classes")
+    reps = materialize(representatives(documents, classes), "texts")
+    a, b = classes.select(F.col("class_id").alias("class_a"), F.col("doc_id").alias("x")), classes.select(F.col("class_id").alias("class_b"), F.col("doc_id").alias("y"))
+    across = class_pairs(reps).join(a, "class_a").join(b, "class_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    twice = classes.where("copies > 1").join(reps.where(F.length("text") >= MIN_SPAN).select(F.col("doc_id").alias("class_id")), "class_id", "left_semi")
+    within = twice.select("class_id", F.col("doc_id").alias("doc_a")).join(twice.select("class_id", F.col("doc_id").alias("doc_b")), "class_id").where("doc_a < doc_b").select("doc_a", "doc_b")
+    return across.unionByName(within)
+
+
+def document_links(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links: each document with its class of copies and the number of documents that share a span with it.
+
+    Pairs are formed between classes only, so a class with a third of all documents costs no more than its rows.
+    """
+    classes = materialize(copy_classes(documents), "classes")
+    reps = materialize(representatives(documents, classes), "texts")
+    pairs = class_pairs(reps)
+    sizes = classes.where("doc_id = class_id").select("class_id", "copies")
+    both = pairs.select(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(pairs.select(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))
+    links = both.join(sizes.select(F.col("class_id").alias("other"), "copies"), "other").groupBy("class_id").agg(F.sum("copies").alias("_n"))
+    long = reps.where(F.length("text") >= MIN_SPAN).select(F.col("doc_id").alias("class_id"), F.lit(1).alias("_long"))
+    out = classes.join(links, "class_id", "left").join(long, "class_id", "left")
+    n = F.coalesce("_n", F.lit(0)) + F.when(F.col("_long").isNotNull(), F.col("copies") - 1).otherwise(0)
+    return out.select("doc_id", "class_id", n.cast("long").alias("n_links"))
 
 
 def shared_parts(documents: DataFrame) -> DataFrame:
@@ -227,7 +272,9 @@ def shared_parts(documents: DataFrame) -> DataFrame:
 
     shared_chars counts the characters in the union of the document's shared spans; 0 where there are none.
     """
-    members, pairs = shared_leaves(documents)
+    classes = materialize(copy_classes(documents), "classes")
+    reps = materialize(representatives(documents, classes), "texts")
+    members, pairs = shared_leaves(reps)
     pairs = materialize(pairs, "pairs")
     copies = members.groupBy("key", "leaf").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     apart = pairs.where("leaf_a != leaf_b")
@@ -249,6 +296,8 @@ def shared_parts(documents: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(F.max("b").over(before), F.lit(0))))
     covered = parts.distinct().withColumn("new", fresh).groupBy("doc_id").agg(F.sum("new").cast("long").alias("shared_chars"))
-    docs = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    out = docs.join(covered, "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0).cast("long")))
+    lengths = reps.select(F.col("doc_id").alias("class_id"), F.length("text").cast("long").alias("n_chars")).join(covered.withColumnRenamed("doc_id", "class_id"), "class_id", "left")
+    docs = documents.where("doc_id is not null").select("doc_id").distinct().join(classes, "doc_id", "left").join(lengths, "class_id", "left")
+    whole = (F.col("copies") > 1) & (F.col("n_chars") >= MIN_SPAN)
+    out = docs.select("doc_id", F.coalesce("n_chars", F.lit(0).cast("long")).alias("n_chars"), F.when(whole, F.col("n_chars")).otherwise(F.coalesce("shared_chars", F.lit(0).cast("long"))).alias("shared_chars"))
     return out.withColumn("shared_share", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)))

@@ -169,6 +169,9 @@ def test_spans_by_brute_force(spark, monkeypatch, block):
     df = spark.createDataFrame([(d, t, 1) for d, t in docs + docs[:2]], "doc_id long, text string, key int").repartition(3)
     got = [tuple(r) for r in spans.shared_pairs(df).collect()]
     assert set(got) == brute_pairs(docs) and len(got) == len(set(got))
+    links = {d: sum(d in p for p in set(got)) for d, t in docs if t is not None}
+    told = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in spans.document_links(df).collect()}
+    assert {d: n for d, (_, n) in told.items()} == links and told[302][0] == told[303][0] == 0
     cover = brute_cover(docs)
     assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_parts(df).collect()} == cover
 
@@ -182,6 +185,16 @@ def test_spans_repeat_inside_one_document(spark):
     assert spans.shared_pairs(df.limit(0)).count() == 0
 
 
+def test_spans_hot_class(spark):
+    """A class of copies with a third of all documents: its links are told without its pairs being written."""
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot = noise(800)
+    docs = [(i, hot) for i in range(2000)] + [(5000 + i, noise(400)) for i in range(50)] + [(9000, "x" + hot[100:600])]
+    told = {r["doc_id"]: r["n_links"] for r in spans.document_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert told[0] == told[1999] == 2000 and told[9000] == 2000 and told[5000] == 0
+
+
 def test_anchors_cover_every_window():
     rng = random.Random(9)
     text = "".join(rng.choice("ab c") for _ in range(3000))

@@ -106,7 +106,7 @@ def test_packed_unpack(spark):
         sep = rng.choice([", ", "; ", " / ", "|", " and ", "\n"])
         rows.append((i, sep.join(rng.choice(words) for _ in range(rng.randint(1, 4))), "keep"))
     rows += [(900, None, "x"), (901, "", "x"), (902, "n/a", "x"), (903, '"ash, bone"; elm', "x"), (904, "x" * 20000 + ", ash", "x"), (905, "ash,,elm", "x"), (905, "ash,,elm", "x")]
-    out = packed.unpack(spark.createDataFrame(rows, "id int, raw string, n string")).collect()
+    out = packed.unpack(spark.createDataFrame(rows, "id int, raw string, dialect string").withColumn("vals", F.lit(1))).collect()
     got = sorted((r["id"], r["pos"], r["val"]) for r in out)
     assert got == sorted((i, p, v) for i, raw, _ in rows if raw for p, v in enumerate(packed.parse(raw), 1))
     assert packed.unpack(spark.createDataFrame([], "id int, raw string")).count() == 0

@@ -27,8 +27,8 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 
 
 def with_total(paged: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """paged with total, the number of rows of all pages; the total is one row and so is sent to every task."""
-    return paged.crossJoin(F.broadcast(all_rows.agg(F.count("*").alias("total"))))
+    """paged with total, the number of rows of all pages, as a scalar subquery."""
+    return paged.select("*", all_rows.agg(F.count("*")).scalar().alias("total"))
 
 
 def in_order(ids: list, df: DataFrame, key: str) -> DataFrame:

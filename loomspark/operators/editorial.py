@@ -203,9 +203,11 @@ _ENTRY = T.StructType([T.StructField("id", T.StringType()), T.StructField("spell
 def import_collection(df: DataFrame, column: str) -> DataFrame:
     """Entries of a JSON array text: invalid ones dropped, ids defaulted to 'entry-<place>', the first of repeated ids kept; the other columns pass through."""
     keep = [c for c in df.columns if c != column]
-    rows = df.select(*keep, F.monotonically_increasing_id().alias("_d"), F.posexplode(F.from_json(column, T.ArrayType(_ENTRY))).alias("_p", "e"))
-    good = rows.where("e.spellId > 0").withColumn("id", F.coalesce(F.nullif(F.trim("e.id"), F.lit("")), F.concat(F.lit("entry-"), F.col("_p").cast("string"))))
-    return best_per_key(good, ["_d", "id"], F.col("_p")).select(*keep, "id", F.col("e.spellId").alias("spell_id"), F.coalesce("e.used", F.lit(0)).alias("used"), "e.levels")
+    entry = lambda e, i: F.struct(F.coalesce(F.nullif(F.trim(e["id"]), F.lit("")), F.concat(F.lit("entry-"), i.cast("string"))).alias("id"), e["spellId"].alias("spell_id"), F.coalesce(e["used"], F.lit(0)).alias("used"), e["levels"].alias("levels"))
+    good = F.filter(F.transform(F.from_json(column, T.ArrayType(_ENTRY)), entry), lambda e: e["spell_id"] > 0)
+    rows = df.withColumn("_e", good).withColumn("_ids", F.transform("_e", lambda e: e["id"]))
+    first = F.filter("_e", lambda e, i: F.array_position(F.col("_ids"), e["id"]) == i + 1)
+    return rows.select(*keep, F.explode(first).alias("e")).select(*keep, "e.id", "e.spell_id", "e.used", "e.levels")
 
 
 def merge_wrapped_headings(lines: DataFrame, keys: list[str], order: str) -> DataFrame:

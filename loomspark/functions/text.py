@@ -162,3 +162,19 @@ def bracket_groups(s: pd.Series) -> pd.Series:
         return out
 
     return s.map(groups)
+
+
+def locale_order(c: Column) -> Column:
+    """Sort key of the Unicode root order: case and accents break ties only."""
+    return F.collate(c, "UNICODE")
+
+
+def numeric_order(c: Column, width: int = 12) -> Column:
+    """Sort key in which runs of digits compare as numbers."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, width, "0")).otherwise(x)), "")
+
+
+def true_flags(keys: Column, values: Column) -> Column:
+    """Map of the flags that hold."""
+    return F.map_filter(F.map_from_arrays(keys, values), lambda k, v: v)

@@ -70,3 +70,20 @@ def write_json_lines(df: DataFrame, root: str) -> None:
 
 def write_tsv(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(root)
+
+
+def replace_search_index(spark: SparkSession, documents: DataFrame, key: str, columns: list[str], entities: DataFrame, root: str, dry_run: bool = False) -> dict[str, int]:
+    """Put documents, their trigram postings and the index state in the place of the index at root; refused when entities outnumber documents."""
+    from loomspark.operators.search import SCHEMA_VERSION, postings
+
+    n = documents.count()
+    if n < entities.select(key).distinct().count():
+        raise ValueError("the index has fewer documents than there are entities")
+    state = spark.createDataFrame([(1, SCHEMA_VERSION, n)], "id int, schema_version int, document_count long").withColumn("rebuilt_at", F.current_timestamp())
+    return replace_tables(spark, {"documents": documents, "postings": postings(documents, key, columns), "state": state}, root, dry_run)
+
+
+def replace_browse_index(spark: SparkSession, levels: DataFrame, spells: DataFrame, root: str, dry_run: bool = False) -> dict[str, int]:
+    """Put the derived browse edges (spell_id, owner_id, level, rulebook_id, extra), one row each, in the place of those at root."""
+    edges = levels.join(spells.select(F.col("id").alias("spell_id"), "rulebook_id"), "spell_id").select("spell_id", "owner_id", "level", "rulebook_id", F.coalesce("extra", F.lit("")).alias("extra")).distinct()
+    return replace_tables(spark, {"edges": edges}, root, dry_run)

@@ -140,6 +140,13 @@ def test_text_functions(spark):
     assert one(spark, lambda c: text.fold_fullwidth(text.fold_typography(c)), "a string", "１’s：“x”") == ["1's:\"x\""]
 
 
+def test_orders_and_flags(spark):
+    df = spark.createDataFrame([(w,) for w in ["Zebra", "acid", "élan", "Acid", "bolt"]], "a string")
+    assert [r["a"] for r in df.orderBy(text.locale_order(F.col("a"))).collect()] == ["acid", "Acid", "bolt", "élan", "Zebra"]
+    assert one(spark, text.numeric_order, "a string", "Book 10", "Book 9", None) == ["book 000000000010", "book 000000000009", None]
+    assert spark.range(1).select(text.true_flags(F.array(F.lit("x"), F.lit("y")), F.array(F.lit(True), F.lit(False)))).first()[0] == {"x": True}
+
+
 def test_mechanics(spark):
     m = lambda t, *v: [(r["category"], r["amount"], r["unit"], r["normalized_text"], r["coverage"]) for r in one(spark, mechanics.READERS[t], "a string", *v)]
     assert m("casting_time", "1 standard action", "10 minutes", "1 round; see text", None, "see text") == [("standard_action", 1, "action", "1 standard action", "complete"), ("minute", 10, "minute", "10 minutes", "complete"), ("round", 1, "round", None, "partial"), ("empty", None, None, None, "empty"), ("special", None, None, None, "review")]

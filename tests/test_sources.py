@@ -68,3 +68,20 @@ def test_writers(spark, tmp_path):
     writers.write_json_lines(df, str(tmp_path / "j"))
     writers.write_tsv(df, str(tmp_path / "t"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).count() == 10
+
+
+def test_index_sinks(spark, tmp_path):
+    import pytest as p
+
+    from loomspark.operators import search
+
+    docs = spark.createDataFrame([(1, "wall of fire"), (2, "lantern")], "id int, name string")
+    root = str(tmp_path / "ix")
+    assert writers.replace_search_index(spark, docs, "id", ["name"], docs, root)["documents"] == 2
+    assert search.index_usable(spark.read.parquet(f"{root}/state"))
+    assert [r["id"] for r in search.candidates(spark.read.parquet(f"{root}/postings"), "id", "Lantern").collect()] == [2]
+    with p.raises(ValueError):
+        writers.replace_search_index(spark, docs.limit(1), "id", ["name"], docs, root)
+    levels = spark.createDataFrame([(1, 5, 2, None), (1, 5, 2, ""), (9, 5, 2, "")], "spell_id int, owner_id int, level int, extra string")
+    spells = spark.createDataFrame([(1, 7)], "id int, rulebook_id int")
+    assert writers.replace_browse_index(spark, levels, spells, str(tmp_path / "b")) == {"edges": 1}

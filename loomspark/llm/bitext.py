@@ -23,10 +23,10 @@ from loomspark.session import materialize
 
 EN_DIM, ZH_DIM = 2048, 4096
 #: Cost of mass that goes to a null sentence, entropy weight, and the least part of the smaller sentence that a link carries.
-NULL_COST, EPSILON, LINK_PART = 0.39, 0.03, 0.25
+NULL_COST, EPSILON, LINK_PART = 0.42, 0.03, 0.25
 ITERATIONS = 60
 #: Least similarity of a link as a part of the best its sentences have.
-STRAY_PART = 0.4
+STRAY_PART = 0.25
 
 _EN_END = re.compile(r"[.!?]+(?=\s|$)")
 _ZH_END = re.compile(r"[。！？]+")
@@ -141,12 +141,14 @@ class Lexicon:
 
     def similarity(self, d: Document) -> np.ndarray:
         """Cosine of each English sentence, carried over, with each Chinese one; numbers in both add, differing ones subtract."""
+        if self.table.dtype != np.float32:  # sent in half precision, widened once per worker
+            self.table = self.table.astype(np.float32)
         s = np.zeros((len(d.x), len(d.y)))
         y = [(np.fromiter(f, np.int64, len(f)), numbers) for f, numbers in d.y]
         lengths = [max(float(np.sqrt((self.zh_weight[f] ** 2).sum())), 1e-6) for f, _ in y]
         for i, (f, a) in enumerate(d.x):
             f = np.fromiter(f, np.int64, len(f))
-            v = self.en_idf[f] @ self.table[f].astype(np.float32) if len(f) else np.zeros(ZH_DIM, np.float32)
+            v = self.en_idf[f] @ self.table[f] if len(f) else np.zeros(ZH_DIM, np.float32)
             v /= max(float(np.sqrt((v**2).sum())), 1e-6)
             for j, (g, b) in enumerate(y):
                 s[i, j] = float((v[g] * self.zh_weight[g]).sum()) / lengths[j]
@@ -189,17 +191,13 @@ def _count_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     joint, en, zh, tail = np.zeros((EN_DIM, ZH_DIM), np.float32), np.zeros(EN_DIM), np.zeros(ZH_DIM), np.zeros(3)
     for b in batches:
-        for at in range(0, len(b), 256):
-            part = b.iloc[at : at + 256]
-            x, y = np.zeros((len(part), EN_DIM), np.float32), np.zeros((len(part), ZH_DIM), np.float32)
-            for k, (e, z) in enumerate(zip(part["en"], part["zh"])):
-                d = Document(e, z)
-                x[k, [f for fs, _ in d.x for f in fs]] = 1
-                y[k, [f for fs, _ in d.y for f in fs]] = 1
-                tail += 1, len(e), len(z)
-            joint += x.T @ y
-            en += x.sum(0)
-            zh += y.sum(0)
+        for e, z in zip(b["en"], b["zh"]):
+            d = Document(e, z)
+            x, y = (np.fromiter(fs, np.int64, len(fs)) for fs in (set().union(*(f for f, _ in side)) for side in (d.x, d.y)))
+            joint[np.ix_(x, y)] += 1
+            en[x] += 1
+            zh[y] += 1
+            tail += 1, len(e), len(z)
     if tail[0]:
         some = np.flatnonzero(en)
         rows = [(int(f), float(en[f]), joint[f].tobytes()) for f in some] + [(EN_DIM, 0.0, np.concatenate([zh, tail]).astype(np.float64).tobytes())]

@@ -50,10 +50,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspark-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_parallelism(spark: SparkSession, floor: int = 1) -> int:
-    """How many partitions a CPU-heavy Python stage should have at least."""
-    return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+_WRITTEN: list[str] = []
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables this process has materialized; to be called once the results that read them are written."""
+    path_of, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    while _WRITTEN:
+        p = path_of(_WRITTEN.pop())
+        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n

@@ -85,3 +85,12 @@ def test_index_sinks(spark, tmp_path):
     levels = spark.createDataFrame([(1, 5, 2, None), (1, 5, 2, ""), (9, 5, 2, "")], "spell_id int, owner_id int, level int, extra string")
     spells = spark.createDataFrame([(1, 7)], "id int, rulebook_id int")
     assert writers.replace_browse_index(spark, levels, spells, str(tmp_path / "b")) == {"edges": 1}
+
+
+def test_materialize_and_drop(spark):
+    from loomspark.session import drop_materialized, materialize, shared_dir
+
+    drop_materialized(spark)
+    df = materialize(spark.range(5), "t")
+    assert df.count() == 5 and shared_dir(spark) == shared_dir(spark)
+    assert drop_materialized(spark) == 1 and drop_materialized(spark) == 0

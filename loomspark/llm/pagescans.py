@@ -97,6 +97,7 @@ def furniture(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     A line shaped like a title is one if it is in capitals or a chapter line, if the same title runs over several
     cases, or if it is among titles (column name).
     """
+    lines = materialize(lines.where("page or title is not null").drop("line"), "shaped")
     shaped = lines.where("title is not null")
     bare = F.regexp_replace("title", "^!", "")
     often = shaped.groupBy(bare.alias("bare")).agg(F.count_distinct("case_id").alias("n")).where("n > 1").select("bare")
@@ -133,19 +134,21 @@ def _tokens(text: str, skip: set[int]) -> list[tuple[int, str, bool, bool]]:
 
 
 def page_tokens(fields: DataFrame, skipped: DataFrame) -> DataFrame:
-    """case_id, field, pos, line_no, word, key, broken, start of every word of text lines."""
+    """case_id, field, pos, line_no, word, key, broken, start, after of every word of text lines; after is the next word, where neither is broken."""
     skip = skipped.groupBy("case_id", "field").agg(F.collect_set("line_no").alias("skip"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for c, f, t, s in zip(b["case_id"], b["field"], b["text"], b["skip"]):
-                for pos, (n, w, broken, start) in enumerate(_tokens(t, set() if s is None else set(s))):
-                    yield c, f, pos, n, w, w.lower(), broken, start
+                words = _tokens(t, set() if s is None else set(s))
+                after = [None if a[2] or b[2] else b[1].lower() for a, b in itertools.pairwise(words)] + [None]
+                for pos, ((n, w, broken, start), x) in enumerate(zip(words, after)):
+                    yield c, f, pos, n, w, w.lower(), broken, start, x
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _frames(rows(batches), ["case_id", "field", "pos", "line_no", "word", "key", "broken", "start"])
+        return _frames(rows(batches), ["case_id", "field", "pos", "line_no", "word", "key", "broken", "start", "after"])
 
-    return fields.join(skip, ["case_id", "field"], "left").mapInPandas(cut, "case_id string, field string, pos int, line_no int, word string, key string, broken boolean, start boolean")
+    return fields.join(skip, ["case_id", "field"], "left").mapInPandas(cut, "case_id string, field string, pos int, line_no int, word string, key string, broken boolean, start boolean, after string")
 
 
 def readings(key: str) -> list[tuple[str, list[str]]]:
@@ -199,10 +202,12 @@ def _trigrams(names: DataFrame) -> dict[str, int]:
 
 
 def _clean_words(texts: DataFrame) -> DataFrame:
-    """case_id, pos, key, cap, start of the words of clean texts (column text)."""
-    words = texts.select(F.monotonically_increasing_id().cast("string").alias("case_id"), F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "w"))
-    bare = F.regexp_replace("w", r"^[\"'(\[“‘«{]+|[.,;:!?)\]\"'”’»}]+$", "")
-    return words.select("case_id", "pos", F.lower(bare).alias("key"), bare.rlike("^[A-Z]").alias("cap"), (F.col("pos") == 0).alias("start")).where("key != ''")
+    """key, cap, start, after of the words of clean texts (column text)."""
+    bare = lambda w: F.regexp_replace(w, r"^[\"'(\[“‘«{]+|[.,;:!?)\]\"'”’»}]+$", "")
+    words = F.filter(F.transform(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), bare), lambda w: w != "")
+    listed = texts.select(words.alias("ws"))
+    each = F.transform("ws", lambda w, i: F.struct(w.alias("w"), (i == 0).alias("start"), F.lower(F.try_element_at("ws", i + 2)).alias("after")))
+    return listed.select(F.explode(each).alias("x")).select(F.lower("x.w").alias("key"), F.col("x.w").rlike("^[A-Z]").alias("cap"), "x.start", "x.after")
 
 
 _NAME_BITS, _WORD_BITS = 8.0, 34.0
@@ -212,10 +217,9 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     """The words of tokens (of page_tokens) that were broken or misread, with reading, the word as it was printed; clean is text (column text) without defects that the language model may also learn from."""
     tokens = materialize(tokens, "tokens")
     number = lambda c: F.when(F.col(c).rlike(r"^\d+(d\d+)?$"), F.regexp_replace(c, r"\d+", "#")).otherwise(F.col(c))
-    whole = tokens.where("not broken").select("case_id", "field", "pos", number("key").alias("key"), F.col("word").rlike("^[A-Z]").alias("cap"), "start", F.lit(0).alias("is_clean"))
+    whole = tokens.where("not broken").select(number("key").alias("key"), F.col("word").rlike("^[A-Z]").alias("cap"), "start", number("after").alias("after"), F.lit(0).alias("is_clean"))
     if clean is not None:
-        cw = _clean_words(clean).select("case_id", F.lit("").alias("field"), "pos", number("key").alias("key"), "cap", "start", F.lit(1).alias("is_clean"))
-        whole = whole.unionByName(cw)
+        whole = whole.unionByName(_clean_words(clean).select(number("key").alias("key"), "cap", "start", number("after").alias("after"), F.lit(1).alias("is_clean")))
     lexicon = materialize(
         whole.groupBy("key").agg(F.count("*").alias("n"), F.sum("is_clean").alias("n_clean"), F.count_if(~F.col("start")).alias("n_mid"), F.count_if(F.col("cap") & ~F.col("start")).alias("n_cap")), "lexicon"
     )
@@ -239,7 +243,7 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     lex = lexicon.select(F.col("key").alias("look"), "n", "n_clean", "n_mid", "n_cap")
     joined = cand.join(lex, "look", "left")
     # without support in the dictionary a reading stands only for the word as seen, or as the most name-like spelling of a capitalized word
-    held = joined.where("n is not null or rank = 0 or (broken and size(used) = 0) or name_bits is not null")
+    held = materialize(joined.where("n is not null or rank = 0 or (broken and size(used) = 0) or name_bits is not null"), "held")
     best_name = held.where("n is null and name_bits is not null and size(used) > 0").groupBy("obs", "broken").agg(F.min(F.struct(F.col("name_bits") + 6 * F.size("used"), "reading")).alias("m"))
     known = held.where("n is not null or size(used) = 0").unionByName(held.where("n is null and size(used) > 0").join(best_name.select("obs", "broken", F.col("m.reading").alias("reading")), ["obs", "broken", "reading"], "left_semi").select(*held.columns))
     known = materialize(known, "readings")
@@ -314,9 +318,7 @@ def confusion_bits(known: DataFrame, total: int) -> dict[str, float]:
 
 def _bigrams(words: DataFrame) -> DataFrame:
     """a, b, n of neighbouring words."""
-    here = words.select("case_id", "field", "is_clean", "pos", F.col("key").alias("a"))
-    after = words.select("case_id", "field", "is_clean", (F.col("pos") - 1).alias("pos"), F.col("key").alias("b"))
-    return here.join(after, ["case_id", "field", "is_clean", "pos"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return words.where("after is not null").groupBy(F.col("key").alias("a"), F.col("after").alias("b")).agg(F.count("*").alias("n"))
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from loomspark.functions.text import squeeze, tokens
 
+#: Categories of a pivot are collected as its columns; a longer list is refused.
+MAX_CATEGORIES = 1_000
+
 
 def membership(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, n_left, n_right, membership (both, left_only, right_only) of every key, whatever its number on either side."""
@@ -113,6 +116,20 @@ def coverage(entities: DataFrame, group: str, key: str, texts: dict[str, DataFra
     return out.rollup(group).agg(F.count("*").alias("total"), *[F.count_if(h).alias(f"with_{n}") for n, h in zip(texts, has)], F.count_if(none).alias("missing_all"))
 
 
+def pivot_counts(rows: DataFrame, keys: DataFrame, domain: DataFrame, key: str, category: str, prefix: str) -> DataFrame:
+    """key, one count per category of domain (prefix and value) and other, for every key of keys or rows; zeros where there are no rows.
+
+    rows whose category is null or not in domain count as other, so that the counts of a key sum to its rows. domain is collected.
+    """
+    listed = domain.where(F.col(category).isNotNull()).select(category).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(listed) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories")
+    values = sorted(r[0] for r in listed)
+    named = F.when(F.col(category).isin(values), F.concat(F.lit(prefix), F.col(category).cast("string"))).otherwise("other")
+    each = rows.select(key, named.alias("_c"), F.lit(1).alias("_n")).unionByName(keys.select(key, F.lit("other").alias("_c"), F.lit(0).alias("_n")))
+    return each.groupBy(key).pivot("_c", [f"{prefix}{v}" for v in values] + ["other"]).agg(F.sum("_n")).na.fill(0, [f"{prefix}{v}" for v in values] + ["other"])
+
+
 def decisions(expected: DataFrame, actual: DataFrame, key: str, decision: str, allowed: list[str]) -> DataFrame:
     """key, status: ok, missing (no decision), stale (for nothing expected), invalid (value not allowed), duplicate."""
     a = actual.groupBy(key).agg(F.count("*").alias("_n"), F.min(decision).alias("_d"))

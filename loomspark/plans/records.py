@@ -82,6 +82,15 @@ def q_pivot_zero_fill(spark, d):
     return t.na.fill(0).select("rulebook_id", F.col("1").alias("s1"), F.col("2").alias("s2"), F.col("3").alias("s3"))
 
 
+@query("""PIVOT (SELECT rulebook_id, CASE WHEN school_id IN (SELECT id FROM lookup_entry WHERE kind = 'school') THEN 's' || school_id ELSE 'other' END AS c, 1 AS n FROM dnd_spell
+ UNION ALL SELECT r.id, c.c, 0 FROM lookup_entry r CROSS JOIN (SELECT 's' || id AS c FROM lookup_entry WHERE kind = 'school' UNION ALL SELECT 'other') c WHERE r.kind = 'rulebook') ON c USING coalesce(CAST(sum(n) AS BIGINT), 0) GROUP BY rulebook_id""")
+def q_pivot_all_schools(spark, d):
+    e = table(spark, d, "lookup_entry")
+    schools = e.where("kind = 'school'").select(F.col("id").alias("school_id"))
+    books = e.where("kind = 'rulebook'").select(F.col("id").alias("rulebook_id"))
+    return reconcile.pivot_counts(table(spark, d, "dnd_spell"), books, schools, "rulebook_id", "school_id", "s")
+
+
 @query("SELECT l_returnflag, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) q GROUP BY l_returnflag")
 def q_reaggregate(spark, d):
     n = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

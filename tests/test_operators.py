@@ -233,6 +233,25 @@ def test_reconcile_edges(spark):
     assert {tuple(r) for r in reconcile.conflicts(c, "k", "t", F.col("p")).collect()} == {(3, 2)}
 
 
+def test_pivot_counts_every_key_and_category(spark):
+    rows = spark.createDataFrame([(1, 1), (1, 1), (1, 5), (2, 9), (2, None), (None, 5)], "book int, school int")
+    books, schools = spark.createDataFrame([(1,), (2,), (3,)], "book int"), spark.createDataFrame([(5,), (1,), (4,), (None,)], "school int")
+    out = reconcile.pivot_counts(rows, books, schools, "book", "school", "s")
+    assert out.columns == ["book", "s1", "s4", "s5", "other"]
+    assert {tuple(r) for r in out.collect()} == {(1, 2, 0, 1, 0), (2, 0, 0, 0, 2), (3, 0, 0, 0, 0), (None, 0, 0, 1, 0)}
+    empty = reconcile.pivot_counts(rows, books, schools.limit(0), "book", "school", "s")
+    assert {tuple(r) for r in empty.collect()} == {(1, 3), (2, 2), (3, 0), (None, 1)}
+
+
+def test_pivot_covers_every_spell_and_rulebook(spark):
+    from loomspark.plans import records
+
+    d = "/root/testdata/sf0.001"
+    out = [r.asDict() for r in records.q_pivot_all_schools(spark, d).collect()]
+    assert sum(v for r in out for k, v in r.items() if k != "rulebook_id") == spark.read.parquet(f"{d}/dnd_spell.parquet").count()
+    assert len(out) == spark.read.parquet(f"{d}/lookup_entry.parquet").where("kind = 'rulebook'").count()
+
+
 def test_layout(spark):
     df = spark.createDataFrame([("a", 1, 1.0, "H"), ("a", 2, 1.5, None), ("a", 3, 9.0, "I"), ("b", 1, 0.0, None)], "k string, o int, y double, s string")
     far = F.abs(F.col("y") - F.lag("y").over(layout.ordered(["k"], "o"))) > 2

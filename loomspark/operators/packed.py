@@ -32,8 +32,8 @@ PLACEHOLDERS = {"", "n/a", "na", "n.a.", "-", "--", "—", "–", "―", "none",
 _SEP_OF = {c: k for k, cs in SEPARATORS.items() for c in cs}
 _WORD_RE = {k: re.compile(p, re.I) for k, p in WORDS.items()}
 _NA_RE = re.compile(r"n/a(?![^\W_])", re.I)
-#: A field with at most this many kinds of separators is scored under every subset of them.
-ALL_SUBSETS_UP_TO = 4
+#: Parses that one frame holds at most; a field of k kinds of separators has up to 2^k of them, with and without quotes.
+_FRAME_ROWS = 10_000
 _VALUE_BITS, _SPELL_BITS = 2.0, 8.0
 #: What a mark costs before its rates are known: a live one, and one read as an ordinary character of a value.
 _FIRST_LIVE, _FIRST_INERT = 1.0, 12.0
@@ -116,10 +116,10 @@ def clean_value(v: str, quoting: bool = True) -> str:
     return v
 
 
-def parse(s: str, live: frozenset[str] | None = None, quoting: bool = True) -> list[str]:
-    """The values of a field under a dialect; live None: every separator."""
+def parse(s: str, live: frozenset[str] | None = None, quoting: bool = True, cuts: list[tuple[int, int, str]] | None = None) -> list[str]:
+    """The values of a field under a dialect; live None: every separator. cuts: its cut points, where they are known."""
     out, at = [], 0
-    for a, b, k in cut_points(s, quoting):
+    for a, b, k in cut_points(s, quoting) if cuts is None else cuts:
         if live is None or k in live:
             out.append(s[at:a])
             at = b
@@ -131,17 +131,12 @@ def parse(s: str, live: frozenset[str] | None = None, quoting: bool = True) -> l
 def dialects(s: str) -> list[tuple[frozenset[str], bool]]:
     """Candidate dialects of a field: the first has every separator live and quotes protecting.
 
-    With up to ALL_SUBSETS_UP_TO kinds of separators all subsets are tried, with more those that leave at most two
-    kinds inert, each one alone, and none.
+    All subsets of its kinds of separators are tried, whatever their number (2,048 for all 11 kinds).
     """
     out: list[tuple[frozenset[str], bool]] = []
     for quoting in (True, False) if any(q in s for q in QUOTES) else (True,):
         kinds = sorted({k for _, _, k in cut_points(s, quoting)})
-        if len(kinds) <= ALL_SUBSETS_UP_TO:
-            sets = [frozenset(c) for n in range(len(kinds), -1, -1) for c in itertools.combinations(kinds, n)]
-        else:
-            sets = [frozenset(kinds) - set(c) for n in range(3) for c in itertools.combinations(kinds, n)] + [frozenset([k]) for k in kinds] + [frozenset()]
-        out += [(x, quoting) for x in sets]
+        out += [(frozenset(c), quoting) for n in range(len(kinds), -1, -1) for c in itertools.combinations(kinds, n)]
     return out
 
 
@@ -166,22 +161,25 @@ def quoted_stretches(s: str) -> int:
     return n
 
 
+def _field_parses(raw: str) -> Iterator[tuple]:
+    seen, options, quoted = set(), dialects(raw), quoted_stretches(raw)
+    cuts = {quoting: cut_points(raw, quoting) for quoting in {q for _, q in options}}
+    for n, (live, quoting) in enumerate(options):
+        values = tuple(parse(raw, live, quoting, cuts[quoting]))
+        if values in seen:  # an earlier, simpler dialect gives the same parse
+            continue
+        seen.add(values)
+        on, off = dict.fromkeys(_MARKS, 0), dict.fromkeys(_MARKS, 0)
+        for _, _, k in cuts[quoting]:
+            (on if k in live else off)[k] += 1
+        (on if quoting else off)["quote"] += quoted
+        yield raw, encode(live, quoting), n, list(on.values()), list(off.values()), list(values), len(options) > 1
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for raw in b["raw"]:
-            seen, options, quoted = set(), dialects(raw), quoted_stretches(raw)
-            for n, (live, quoting) in enumerate(options):
-                values = tuple(parse(raw, live, quoting))
-                if values in seen:  # an earlier, simpler dialect gives the same parse
-                    continue
-                seen.add(values)
-                on, off = dict.fromkeys(_MARKS, 0), dict.fromkeys(_MARKS, 0)
-                for _, _, k in cut_points(raw, quoting):
-                    (on if k in live else off)[k] += 1
-                (on if quoting else off)["quote"] += quoted
-                rows.append((raw, encode(live, quoting), n, list(on.values()), list(off.values()), list(values), len(options) > 1))
-        yield pd.DataFrame(rows, columns=["raw", "dialect", "rank", "on", "off", "vals", "contested"])
+    rows = (row for b in batches for raw in b["raw"] for row in _field_parses(raw))
+    while part := list(itertools.islice(rows, _FRAME_ROWS)):
+        yield pd.DataFrame(part, columns=["raw", "dialect", "rank", "on", "off", "vals", "contested"])
 
 
 def _spelling_bits(chars: dict[str, float], unseen: float):

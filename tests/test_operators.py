@@ -119,6 +119,17 @@ def test_packed_inert_separator(spark):
     assert {r["pos"] for r in out} <= {1, 2, 3, 4}
 
 
+def test_packed_all_subsets_of_many_kinds(spark):
+    """Three inert and two live kinds of separators in one field."""
+    kinds = {k for _, _, k in packed.cut_points("a/b|c+d, e; f")}
+    assert {live for live, _ in packed.dialects("a/b|c+d, e; f")} == {frozenset(c) for n in range(6) for c in itertools.combinations(kinds, n)}
+    words, held = ["moss", "fern", "reed", "clay", "salt"], ["oak/ash|elm+fir", "tin/lead|zinc+iron", "red/blue|tan+grey"]
+    rows = [(i, f'"{held[i % 3]}", {words[i // 3 % 5]}; {words[(i // 3 + 2) % 5]}') for i in range(90)]
+    rows += [(100 + k, f"{v}, {words[k]}; {words[k + 1]}") for k, v in enumerate(held)]
+    out = packed.unpack(spark.createDataFrame(rows, "id int, raw string")).where("id >= 100").collect()
+    assert {tuple(r) for r in out} == {(100 + k, p, v) for k, h in enumerate(held) for p, v in enumerate([h, words[k], words[k + 1]], 1)}
+
+
 def test_text_functions(spark):
     assert one(spark, text.slug, "a string", " Bigby's Hand! ", "") == ["bigby-s-hand", ""]
     assert one(spark, lambda c: text.slug(c, True), "a string", "Bigby’s Hand") == ["bigbys-hand"]

@@ -70,7 +70,8 @@ class SourcePlan:
 def plan(rows: list[tuple[str, float, int, int]], block_tokens: int, total_tokens: int | None = None) -> tuple[list[SourcePlan], int]:
     """(plans, slots) from (source, target share, cap, tokens). Sources without tokens, share or repeats leave their share to the others.
 
-    Without total_tokens the mixture is as large as the caps allow with every share met; a larger total is refused.
+    Without total_tokens the mixture is as large as the caps allow with every share met; a larger total is refused. The
+    schedule may reach a cap some slots earlier, which mixture sees to.
     """
     live = [r for r in rows if r[3] > 0 and r[1] > 0 and r[2] > 0]
     share = sum(r[1] for r in live)
@@ -136,13 +137,19 @@ def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_
         at += p.weight
         edges.append((p, at))
     point = F.col("slot") * F.lit(_GOLDEN) - F.floor(F.col("slot") * F.lit(_GOLDEN))
-    source, n_blocks = F.lit(plans[-1].source if plans else None).cast("string"), F.lit(plans[-1].blocks if plans else 1)
+    last = plans[-1] if plans else SourcePlan("", 0.0, 1, 0, 1, 0.0)
+    source, n_blocks, cap = F.lit(last.source), F.lit(last.blocks), F.lit(last.max_repeats)
     for p, edge in reversed(edges[:-1]):
-        source, n_blocks = F.when(point < edge, p.source).otherwise(source), F.when(point < edge, p.blocks).otherwise(n_blocks)
-    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK_ROWS).alias("chunk")).withColumn("source", source).withColumn("n_blocks", n_blocks.cast("long"))
+        source, n_blocks, cap = F.when(point < edge, p.source).otherwise(source), F.when(point < edge, p.blocks).otherwise(n_blocks), F.when(point < edge, p.max_repeats).otherwise(cap)
+    schedule = spark.range(slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / CHUNK_ROWS).alias("chunk")).withColumn("source", source).withColumn("n_blocks", n_blocks.cast("long")).withColumn("cap", cap.cast("long"))
     schedule = running_offset(schedule, "source", "chunk", ["slot"], None, "rank").withColumn("repeat_no", F.floor(F.col("rank") / F.col("n_blocks")).cast("int"))
+    # the schedule may ask a source for a block more than its cap gives: the mixture ends before that slot, with none left out
+    over = schedule.where(F.col("repeat_no") >= F.col("cap")).agg(F.min("slot")).first()[0]
+    if over is not None:
+        if total_tokens is not None:
+            raise ValueError(f"{total_tokens} tokens are more than the caps on repeats allow: {over * block_tokens}")
+        schedule = schedule.where(F.col("slot") < over)
     steps = spark.createDataFrame([(p.source, e, _step(p.blocks, e)) for p in plans for e in range(p.max_repeats)], "source string, repeat_no int, step long")
-    # a rank beyond the cap (rounding of the schedule by one slot) has no step and so falls away
     schedule = schedule.join(F.broadcast(steps), ["source", "repeat_no"]).withColumn("block", F.pmod((F.col("rank") % F.col("n_blocks")) * F.col("step") + F.col("repeat_no"), F.col("n_blocks")))
     place = F.row_number().over(Window.partitionBy("slot").orderBy("start", "doc_id"))
     rows = schedule.select("slot", "source", "repeat_no", "block").join(blocks, ["source", "block"]).select("slot", place.alias("place"), "doc_id", "source", (F.col("repeat_no") + 1).alias("repeat_no"), "n_tokens")

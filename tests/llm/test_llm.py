@@ -232,6 +232,19 @@ def test_mixture(spark):
     assert mixture.mixture(df.limit(0), tg)[0].count() == 0 and mixture.mixture(df, tg.limit(0))[1].count() == 0
 
 
+def test_mixture_drops_no_slot(spark):
+    """The schedule asks s0 for a seventh block at slot 15, but its cap gives six."""
+    docs = [(f"{s}-{i}", "word", s) for s, n in (("s0", 120), ("s1", 260), ("s2", 60)) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, source string")
+    tg = spark.createDataFrame([("s0", 0.74, 1), ("s1", 0.89, 2), ("s2", 0.48, 2)], "source string, target_share double, max_repeats int")
+    rows, shares = mixture.mixture(df, tg, block_tokens=20)
+    assert sorted({r["slot"] for r in rows.collect()}) == list(range(15))
+    assert all(r["most_used"] <= r["max_repeats"] for r in shares.collect())
+    assert mixture.mixture(df, tg, block_tokens=20, total_tokens=15 * 20)[0].select("slot").distinct().count() == 15
+    with pytest.raises(ValueError):
+        mixture.mixture(df, tg, block_tokens=20, total_tokens=17 * 20)
+
+
 def test_running_offset(spark):
     rows = [(g, i % 5, i, i * 3 % 7) for g in ("a", "b") for i in range(50)]
     df = spark.createDataFrame(rows, "g string, chunk int, o int, v long")

@@ -1,11 +1,11 @@
-"""Long exact spans shared between documents (problem 10), by prefix-partitioned sparse suffix trees.
+"""Long exact spans shared between documents (problem 10), by anchors that share a prefix, compared in pairs.
 
 Two texts that share a span of MIN_SPAN characters share every anchor in it: the places whose 32 characters have the
 smallest hash among WINDOW neighbours. So only suffixes at anchors are kept, and one of those in the first WINDOW
 characters of a shared span has at least MIN_SPAN - WINDOW + 1 shared characters to its right. That prefix splits
 the suffixes into groups, nothing being lost. In a group with several documents, suffixes with equal surroundings
-become one leaf; the leaves form a suffix tree below the prefix whose deep nodes give the repeats to the right, and
-comparing to the left of the anchors completes them.
+become one leaf; all leaves are compared with one another to the right of the prefix and to the left of the anchors.
+No suffix tree is built.
 """
 
 from __future__ import annotations
@@ -121,7 +121,7 @@ def _few_pairs(rows: list[tuple]) -> Iterator[tuple]:
                 continue
             r = PREFIX + common_length(right, right2)
             if r + WINDOW - 1 < MIN_SPAN:
-                break  # leaves are sorted by their right side: those after share no more of it
+                break  # never so with this PREFIX, of which r has at least all
             n = common_length(left[::-1], left2[::-1])
             if n + r >= MIN_SPAN:
                 yield leaf, leaf2, n, r, not (gap == gap2 and 0 <= gap <= n)
@@ -147,7 +147,7 @@ def _many_pairs(rows: list[tuple]) -> Iterator[tuple]:
 def _leaf_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of leaves of each group (or of two blocks of one) whose suffixes share MIN_SPAN characters about the anchor.
 
-    Groups come one after another, each with its leaves sorted by what stands to their right, as in the suffix tree.
+    Groups come one after another, each with its leaves sorted by what stands to their right.
     """
 
     def groups() -> Iterator[tuple[bytes, list[tuple]]]:

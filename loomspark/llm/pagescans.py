@@ -244,25 +244,25 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     joined = cand.join(lex, "look", "left")
     # without support in the dictionary a reading stands only for the word as seen, or as the most name-like spelling of a capitalized word
     held = materialize(joined.where("n is not null or rank = 0 or (broken and size(used) = 0) or name_bits is not null"), "held")
-    best_name = held.where("n is null and name_bits is not null and size(used) > 0").groupBy("obs", "broken").agg(F.min(F.struct(F.col("name_bits") + 6 * F.size("used"), "reading")).alias("m"))
-    known = held.where("n is not null or size(used) = 0").unionByName(held.where("n is null and size(used) > 0").join(best_name.select("obs", "broken", F.col("m.reading").alias("reading")), ["obs", "broken", "reading"], "left_semi").select(*held.columns))
-    known = materialize(known, "readings")
-    rates = confusion_bits(known, total)
+    rates = confusion_bits(held, total)
     bit_map = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v))]) if rates else F.create_map()
     channel = F.aggregate("used", F.lit(0.0), lambda acc, u: acc + F.coalesce(F.try_element_at(bit_map, u), F.lit(_FLOOR_BITS)))
-    scored = known.withColumn("channel", channel)
+    unseen_bits = F.least(F.lit(_WORD_BITS), F.coalesce(F.col("name_bits") + _NAME_BITS, F.lit(_WORD_BITS)))
+    weighed = held.withColumn("channel", channel)
+    # spellings that the dictionary lacks have no bigrams, so the cheapest by channel and own bits is the only one that could win
+    lone = F.col("n").isNull() & (F.size("used") > 0)
+    best_name = weighed.where(lone).groupBy("obs", "broken").agg(F.min(F.struct(F.col("channel") + unseen_bits, "reading")).alias("m"))
+    scored = weighed.where(~lone).unionByName(weighed.where(lone).join(best_name.select("obs", "broken", F.col("m.reading").alias("reading")), ["obs", "broken", "reading"], "left_semi").select(*weighed.columns))
+    scored = materialize(scored, "readings")
     # a form that misreadings of a common word explain is not counted as a word itself, but for its clean occurrences
     explained = scored.where("size(used) > 0 and n is not null").groupBy("obs", "broken").agg(F.max(F.col("n") * F.pow(F.lit(2.0), -F.col("channel"))).alias("expected"))
     scored = scored.join(explained, ["obs", "broken"], "left")
     seen = F.coalesce(F.col("n"), F.lit(0))
     real = F.when((F.col("reading") == F.col("obs")) & (F.col("expected") * 12 > seen - F.coalesce("n_clean", F.lit(0))), F.coalesce("n_clean", F.lit(0))).otherwise(seen).cast("double")
-    unseen_bits = F.least(F.lit(_WORD_BITS), F.coalesce(F.col("name_bits") + _NAME_BITS, F.lit(_WORD_BITS)))
     own = F.when(real > 0, F.least(-F.log2(real / F.lit(float(total))), unseen_bits)).otherwise(unseen_bits)
     name = F.coalesce(F.col("n_cap") * 2 > F.col("n_mid"), F.col("name_bits").isNotNull())
     options = scored.groupBy("obs", "broken").agg(F.collect_list(F.struct("rank", "reading", "look", "channel", own.alias("own"), real.alias("n"), name.alias("name"))).alias("options"))
-    # only readings that could win: within reach of the best one
-    reach = lambda xs: F.filter(xs, lambda x: x["channel"] + x["own"] <= F.array_min(F.transform(xs, lambda y: y["channel"] + y["own"])) + 14)
-    options = options.withColumn("options", reach(F.col("options")))
+    # every dictionary reading stays: what the words beside it say may outweigh any difference in its own bits
     # a text's lattice is one string of words, options and their fields, which tasks read word by word
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     packed = F.array_join(F.transform("options", lambda o: F.concat_ws(_FIELD, *[text(o[c]) for c in ("reading", "look", "channel", "own", "n", "name")])), _OPTION)
@@ -345,7 +345,8 @@ def best_path(words: list[tuple], counts: dict[tuple[str, str], int]) -> list[tu
                 if prev is None:
                     lm = o[3]
                 elif len(paths) > 1 or len(w[5]) > 1:
-                    lm = -math.log2((counts.get((prev[1], o[1]), 0) + _BACKOFF * 2.0 ** -o[3]) / (prev[4] + _BACKOFF))
+                    # a form that isn't counted as a word isn't counted beside others either
+                    lm = -math.log2((min(counts.get((prev[1], o[1]), 0), prev[4], o[4]) + _BACKOFF * 2.0 ** -o[3]) / (prev[4] + _BACKOFF))
                 else:
                     lm = 0.0
                 step.append(bits + lm + o[2])

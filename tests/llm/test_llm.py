@@ -344,6 +344,13 @@ def test_page_scans(spark):
     assert pagescans.defects(df.limit(0)).count() == 0
 
 
+def test_page_scans_rare_word_behind_a_frequent_one(spark):
+    """hear is over 14 bits behind bear by itself; the words beside it make it the cheaper one by far."""
+    clean = spark.createDataFrame([("the bear ran home " * 50,)] * 200 + [("they quietly hear thunder",)] * 20, "text string")
+    df = spark.createDataFrame([("a", "t", "they quietly bear thunder"), ("b", "t", "the bear ran home")], "case_id string, field string, text string")
+    assert {tuple(r) for r in pagescans.defects(df, clean=clean).collect()} == {("a", "t", 1, "char", "hear")}
+
+
 def test_readings_undo_confusions():
     for word in ("moment", "dwell", "sulfur", "bell"):
         for read, printed in pagescans.CONFUSIONS:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.catalog import table
 from loomspark.operators import changefeed, orphans, packed
+from loomspark.session import scratch
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,20 +27,42 @@ def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.current_values(changefeed.split_feed(table(spark, sf_dir, "spell_runtime"))).select("table_name", "row_key", "column_name", "value")
 
 
+#: Batches in which the orphan queries feed their tables, in the order of time.
+ORPHAN_BATCHES = 3
+#: Buckets of their state; each of these batches touches all of them, so few will do.
+ORPHAN_BUCKETS = 4
+
+
 def _orphan_state(spark: SparkSession, sf_dir: str) -> orphans.OrphanState:
+    """The state after all references and parents, fed in batches of the time at which rows were added or deleted."""
+
     def refs(name: str, field: str, kind: str, at: str) -> DataFrame:
         t = table(spark, sf_dir, name)
         return t.select(F.lit(name).alias("table_name"), F.lit(field).alias("ref_field"), F.col("id").cast("string").alias("row_key"), F.lit(kind).alias("kind"), F.col(field).cast("long").alias("ref_key"), F.col(at).alias("ref_time"))
 
     spells = table(spark, sf_dir, "dnd_spell").select(F.lit("spell").alias("kind"), F.col("id").cast("long").alias("ref_key"), F.col("added").alias("parent_added"), F.col("deleted_at").alias("parent_deleted"))
     looked = table(spark, sf_dir, "lookup_entry").where("kind in ('characterclass', 'descriptor')").select("kind", F.col("id").cast("long").alias("ref_key"), F.col("added").alias("parent_added"), F.col("deleted_at").alias("parent_deleted"))
+    parents = spells.unionByName(looked)
+    # a deletion tells of the arrival too, which it can't come before
+    changes = parents.withColumn("at", F.col("parent_added")).withColumn("parent_deleted", F.lit(None).cast("timestamp_ntz")).unionByName(parents.where("parent_deleted is not null").withColumn("at", F.greatest("parent_added", "parent_deleted")))
     new = (
         refs("dnd_spellclasslevel", "spell_id", "spell", "added")
         .unionByName(refs("dnd_spellclasslevel", "character_class_id", "characterclass", "added"))
         .unionByName(refs("i18n_spell_text", "spell_id", "spell", "created_at"))
         .unionByName(refs("dnd_spell_descriptors", "spelldescriptor_id", "descriptor", "added"))
     )
-    return orphans.step(None, new, spells.unionByName(looked))
+    first, last = new.agg(F.min("ref_time"), F.max("ref_time")).first()
+    store = orphans.OrphanStore(spark, scratch(spark, "orphans"), ORPHAN_BUCKETS)
+    state = None
+    for n in range(ORPHAN_BATCHES):
+        part = lambda df, at: df
+        if first is not None:
+            lo, hi = (first + (last - first) * k / ORPHAN_BATCHES for k in (n, n + 1))
+            after, before = (lambda c: F.lit(True)) if n == 0 else (lambda c, lo=lo: F.col(c) >= F.lit(lo).cast("timestamp_ntz")), (lambda c: F.lit(True)) if n == ORPHAN_BATCHES - 1 else (lambda c, hi=hi: F.col(c) < F.lit(hi).cast("timestamp_ntz"))
+            # rows without a time come first
+            part = lambda df, at, a=after, b=before, n=n: df.where((a(at) & b(at)) if n else (b(at) | F.col(at).isNull()))
+        state = store.advance(n, part(new, "ref_time"), part(changes, "at").drop("at"))
+    return state
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

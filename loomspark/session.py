@@ -46,11 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by drop_materialized."""
+    path = f"{shared_dir(spark)}/loomspark-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspark-{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,8 +66,36 @@ _WRITTEN: list[str] = []
 
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the tables this process has materialized; to be called once the results that read them are written."""
-    path_of, n = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, 0
+    n = 0
     while _WRITTEN:
-        p = path_of(_WRITTEN.pop())
-        n += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        n += delete_path(spark, _WRITTEN.pop())
     return n
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    p, fs = _file(spark, path)
+    return fs.delete(p, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder."""
+    p, fs = _file(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver's, such as a manifest, replaced as a whole."""
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    p, fs = _file(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(p) else None

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.changefeed import ChangeLogTable
-from loomspark.operators.orphans import OrphanState, step
+from loomspark.operators.orphans import OrphanStore
 
 
 def follow_changes(spark: SparkSession, feed: DataFrame, table_path: str, checkpoint: str):
@@ -16,26 +16,8 @@ def follow_changes(spark: SparkSession, feed: DataFrame, table_path: str, checkp
     return ChangeLogTable(spark, table_path).write_stream(feed, checkpoint)
 
 
-class OrphanFollower:
-    """Orphan state kept on disk, advanced batch by batch.
-
-    Each batch writes a new version of the state and only then names it current, so a retried batch starts again from
-    the version before it.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _read(self, batch: int) -> OrphanState | None:
-        if batch < 0:
-            return None
-        return OrphanState(self.spark.read.parquet(f"{self.path}/v{batch}/parents"), self.spark.read.parquet(f"{self.path}/v{batch}/refs"))
-
-    def advance(self, batch: int, refs: DataFrame, parents: DataFrame) -> OrphanState:
-        new = step(self._read(batch - 1), refs, parents)
-        new.parents.write.mode("overwrite").parquet(f"{self.path}/v{batch}/parents")
-        new.refs.write.mode("overwrite").parquet(f"{self.path}/v{batch}/refs")
-        return self._read(batch)
+class OrphanFollower(OrphanStore):
+    """Orphan state kept on disk and advanced by a stream."""
 
     def follow(self, events: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str):
         """Advance by a stream whose batches split cuts into (references, parent changes)."""

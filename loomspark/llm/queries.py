@@ -93,5 +93,9 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_parts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_links, p10_shared)}
+def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.maximal_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_links, p10_shared, p10_repeats)}
 SQL: dict[str, str] = {}

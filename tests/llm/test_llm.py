@@ -155,9 +155,59 @@ def brute_cover(docs, n=spans.MIN_SPAN):
     return out
 
 
-@pytest.mark.parametrize("block", [3, 1024])
+def brute_repeats(docs, n=spans.MIN_SPAN):
+    """Maximal common spans of each pair of different texts, with the smallest id of the text."""
+    first, out = {}, set()
+    for d, t in docs:
+        first[t] = min(d, first.get(t, d))
+    for (a, x), (b, y) in itertools.combinations(sorted((d, t) for t, d in first.items() if t), 2):
+        for apart in range(-len(y) + n, len(x) - n + 1):
+            run = 0
+            for i in range(max(0, apart), min(len(x), len(y) + apart) + 1):
+                if i < min(len(x), len(y) + apart) and x[i] == y[i - apart]:
+                    run += 1
+                else:
+                    if run >= n:
+                        out.add((a, b, i - run, i - run - apart, run))
+                    run = 0
+    return out
+
+
+def test_maximal_repeats_by_brute_force(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    parts = [noise(n) for n in (330, 900)]
+    docs = [(i, noise(rng.randint(0, 40)) + parts[i % 2] + noise(rng.randint(0, 40)) + (parts[1] if i % 3 == 0 else "")) for i in range(8)]
+    docs += [(20, docs[0][1]), (21, None), (22, "y" * 340), (23, "y" * 330)]
+    got = [tuple(r) for r in spans.maximal_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert set(got) == brute_repeats(docs) and len(got) == len(set(got)) and max(r[4] for r in got) >= 900
+
+
+def test_spans_hot_prefix_and_long_texts(spark):
+    """20,000 leaves behind one prefix, and two texts of a million characters."""
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    hot = noise(250)
+    docs = [(i, f"{i:06d}" + noise(20) + hot + noise(60)) for i in range(20_000)] + [(30_000, "x" * 7 + docs_tail(hot)), (30_001, "z" * 9 + docs_tail(hot))]
+    big = noise(1_000_000)
+    docs += [(40_000, big), (40_001, "q" + big[:-1])]
+    got = {tuple(r) for r in spans.shared_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {(30_000, 30_001), (40_000, 40_001)}
+
+
+def docs_tail(hot):
+    return hot + "the same end of seventy characters and more so that both share a span" * 2
+
+
+def test_tree_nodes():
+    words = sorted(["abc", "abd", "abda", "b", "ba", "c"])
+    lcp = [-1] + [spans.common_length(a, b) for a, b in zip(words, words[1:])]
+    assert sorted(spans.intervals(lcp)) == sorted([(0, 0, 5), (2, 0, 2), (3, 1, 2), (1, 3, 4)])
+
+
+@pytest.mark.parametrize("block", [2, 5, 4096])
 def test_spans_by_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(spans, "BLOCK", block)
+    monkeypatch.setattr(spans, "TREE_LEAVES", block)
     rng = random.Random(7)
     noise = lambda n: "".join(rng.choice("abcdefgh 𝄞天") for _ in range(n))
     shared = [noise(n) for n in (300, 319, 320, 321, 400, 700)]

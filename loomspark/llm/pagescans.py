@@ -2,9 +2,11 @@
 
 Lines are sorted into running titles, page numbers and text; words broken at line ends are put together. Every
 word then has candidate readings: what the page may have said if marks were misread (the confusions below, whose
-rates are estimated from the corpus). Readings are weighed by the channel and by a bigram model of the corpus, and
-Viterbi picks the best path through the words of each text. Dictionary, candidates and bigrams are distributed
-tables joined by word; only tables bounded by the alphabet are sent to tasks.
+rates are estimated from the corpus). Words that may be read for one another have the same skeleton, so dictionary and
+page words meet by skeleton, and a trie of the dictionary words of a skeleton is walked with each page word: only
+readings that are in the dictionary are formed, with any number of misread marks. Readings are weighed by the channel
+and by a bigram model of the corpus, and Viterbi picks the best path through the words of each text. Dictionary,
+candidates and bigrams are distributed tables; only tables bounded by the alphabet are sent to tasks.
 """
 
 from __future__ import annotations
@@ -31,20 +33,20 @@ CONFUSIONS = [
 ]
 _LETTERS = [c for c in CONFUSIONS if not c[1].isdigit()]
 _DIGITS = {"l": "1", "i": "1", "!": "1", "|": "1", "ı": "1", "o": "0", "s": "5", "ſ": "5", "g": "9", "b": "6", "z": "2", "ó": "0", "q": "9"}
-#: Misread marks in one word at most.
-MAX_MISREAD = 3
+#: Page words of one skeleton that a task walks at a time through a trie of its own.
+TRIE_BLOCK = 4096
 #: Bits of a confusion before its rate is known, and of one that the corpus never shows.
 _FIRST_BITS, _FLOOR_BITS = 10.0, 16.0
 _HYPHENS = "-‐‑¬­"
 _SMALL = {"of", "the", "and", "in", "a", "an", "to", "for", "on", "de", "la"}
 _NUMBER = re.compile(r"\d+(?:d\d+)?")
 _EDGE = re.compile(r"^[\"'(\[“‘«{]+|[.,;:?)\]\"'”’»}]+$")
-_PAGE = re.compile(r"^[\s\-–—_~*=.|\[\](){}<>•·]*(?:(?:p|pg|page|P|Pg|Page|PAGE)\b\.?\s*)?[\dlIiOoSs!|]{1,5}[\s\-–—_~*=.|\[\](){}<>•·]*$")
-_TITLE_NUMBER = re.compile(r"^\s*[\[(]?[\dlIO]{1,4}[\])]?(?:\s{2,}|\t|\s*[|·—–]\s*)|(?:\s{2,}|\t|\s*[|·—–]\s*)[\[(]?[\dlIO]{1,4}[\])]?\s*$")
+_PAGE = re.compile(r"^[\s\-–—_~*=.|\[\](){}<>•·]*(?:(?:p|pg|page|P|Pg|Page|PAGE)\b\.?\s*)?[\dlIiOoSs!|]+[\s\-–—_~*=.|\[\](){}<>•·]*$")
+_TITLE_NUMBER = re.compile(r"^\s*[\[(]?[\dlIO]+[\])]?(?:\s{2,}|\t|\s*[|·—–]\s*)|(?:\s{2,}|\t|\s*[|·—–]\s*)[\[(]?[\dlIO]+[\])]?\s*$")
 
 
 def title_key(line: str) -> str | None:
-    """The running title of a line shaped like one, folded over misread marks; None for other lines."""
+    """The running title of a line shaped like one, folded over misread marks, with ! before it if it is a chapter's; None for other lines."""
     body = _TITLE_NUMBER.sub("", line).strip()
     ws = body.split()
     if not ws or body[-1] in ".,;" or body[-1] in _HYPHENS:
@@ -57,7 +59,7 @@ def title_key(line: str) -> str | None:
     if not (capital or chapter or titled or numbered):
         return None
     key = re.sub(r"[^a-z]", "", body.lower().translate(_FOLD).replace("rn", "m").replace("vv", "w").replace("cl", "d").replace("ii", "u"))
-    return f"{'!' if capital or chapter else ''}{key}"
+    return f"{'!' if chapter else ''}{key}"
 
 
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "!": "l", "|": "l", "5": "s", "9": "g", "6": "b", "8": "b", "†": "t", "ſ": "s", "c": "e", "á": "a", "h": "b"})
@@ -94,8 +96,8 @@ def page_lines(fields: DataFrame) -> DataFrame:
 def furniture(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """case_id, field, line_no, defect: the lines that are running titles (header) or page numbers (page).
 
-    A line shaped like a title is one if it is in capitals or a chapter line, if the same title runs over several
-    cases, or if it is among titles (column name).
+    A line shaped like a title is one if it is a chapter line, if the same title runs over several cases, or if it is
+    among titles (column name). A line in capitals that occurs once is text.
     """
     lines = materialize(lines.where("page or title is not null").drop("line"), "shaped")
     shaped = lines.where("title is not null")
@@ -151,33 +153,94 @@ def page_tokens(fields: DataFrame, skipped: DataFrame) -> DataFrame:
     return fields.join(skip, ["case_id", "field"], "left").mapInPandas(cut, "case_id string, field string, pos int, line_no int, word string, key string, broken boolean, start boolean, after string")
 
 
-def readings(key: str) -> list[tuple[str, list[str]]]:
-    """What a lower-case word may have been: (reading, confusions used), itself first."""
-    variants = [(key, [])] if "\xad" not in key else [(key.replace("\xad", ""), []), (key.replace("\xad", "-"), [])]
-    out = {}
-    for base, _ in variants:
-        out.setdefault(base, [])
-        if any(c.isdigit() for c in base) and all(c.isdigit() or c in _DIGITS or c == "d" for c in base):
-            head, *rest = base.split("d") if re.fullmatch(r"[^d]+d[^d]+", base) else [base]
-            number = "d".join("".join(_DIGITS.get(c, c) for c in part) for part in [head, *rest])
-            out.setdefault(number, [f"{a}>{b}" for a, b in zip(base, number) if a != b])
-        places = [(i, r, p) for r, p in _LETTERS for i in range(len(base) - len(r) + 1) if base.startswith(r, i)]
-        odd = [x for x in places if not x[1].isascii() or not x[1].isalpha()]
-        rest = [x for x in places if x not in odd]
-        # marks that no word has are all misread; besides them up to MAX_MISREAD letters may be
-        for fixed in itertools.product(*[[x for x in odd if x[0] == i] for i in sorted({x[0] for x in odd})]) if odd else [()]:
-            for n in range(MAX_MISREAD + 1 if len(rest) <= 14 else 3):
-                for chosen in itertools.combinations(rest, n):
-                    used = sorted([*fixed, *chosen])
-                    if any(a[0] + len(a[1]) > b[0] for a, b in itertools.pairwise(used)):
-                        continue
-                    s, at = "", 0
-                    for i, r, p in used:
-                        s, at = s + base[at:i] + p, i + len(r)
-                    s += base[at:]
-                    if s not in out:
-                        out[s] = [f"{r}>{p}" for _, r, p in used]
-    return list(out.items())
+_STROKES = {**dict.fromkeys("bhilmnru", "I"), **dict.fromkeys("cetf", "E"), "d": "EI", "v": "V", "w": "V"}
+_SKELETON = dict(_STROKES)
+for _read, _printed in _LETTERS:
+    if len(_read) == 1 and (not _read.isalpha() or not _read.isascii()):
+        _SKELETON.setdefault(_read, "".join(_STROKES.get(c, c) for c in _printed))
+_FROM = {c: [(r, p) for r, p in _LETTERS if r[0] == c] for c in {r[0] for r, _ in _LETTERS}}
+#: Marks that no word has.
+_ODD = {r for r, _ in _LETTERS if len(r) == 1 and (not r.isalpha() or not r.isascii())}
+
+
+def skeleton(word: str) -> str:
+    """The same for both sides of every confusion, and so for all words that may be read for one another: runs of strokes are one stroke."""
+    return re.sub(r"I+", "I", re.sub(r"V+", "V", "".join(_SKELETON.get(c, c) for c in word)))
+
+
+def spellings(key: str) -> list[str]:
+    """A lower-case word as it stands; a broken one without and with a hyphen where it is broken."""
+    return [key] if "\xad" not in key else [key.replace("\xad", ""), key.replace("\xad", "-")]
+
+
+def number_reading(base: str) -> tuple[str, list[str]] | None:
+    """The number that a word of digits and marks like digits may have been, with the confusions used."""
+    if not (any(c.isdigit() for c in base) and all(c.isdigit() or c in _DIGITS or c == "d" for c in base)):
+        return None
+    head, *rest = base.split("d") if re.fullmatch(r"[^d]+d[^d]+", base) else [base]
+    number = "d".join("".join(_DIGITS.get(c, c) for c in part) for part in [head, *rest])
+    return number, [f"{a}>{b}" for a, b in zip(base, number) if a != b]
+
+
+class Trie:
+    """Dictionary words, each with what is known of it."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def add(self, word: str, known: tuple) -> None:
+        node = self.root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = (word, known)
+
+    def readings(self, base: str) -> dict[str, tuple[tuple, set[tuple[str, ...]]]]:
+        """Words that base may have been printed as: what is known of them, and the sets of confusions that lead there.
+
+        Marks that no word has must all be misread; of the other letters any number may be.
+        """
+        n = len(base)
+        at: list[dict[int, tuple[dict, set]]] = [{} for _ in range(n + 1)]
+        at[0][id(self.root)] = (self.root, {()})
+        for i in range(n):
+            for node, used in at[i].values():
+                c = base[i]
+                if c not in _ODD and c in node:
+                    self._reach(at[i + 1], node[c], used)
+                for r, p in _FROM.get(c, ()):
+                    if base.startswith(r, i):
+                        end = node
+                        for x in p:
+                            end = end.get(x)
+                            if end is None:
+                                break
+                        else:
+                            self._reach(at[i + len(r)], end, {tuple(sorted((*u, f"{r}>{p}"))) for u in used})
+            at[i] = {}
+        return {node[""][0]: (node[""][1], used) for node, used in at[n].values() if "" in node}
+
+    @staticmethod
+    def _reach(there: dict, node: dict, used: set) -> None:
+        if (held := there.get(id(node))) is None:
+            there[id(node)] = (node, set(used))
+        else:
+            held[1].update(used)
+
+
+def dictionary_readings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """obs, broken, n_form, reading, used, cap and what the dictionary knows, from rows in blocks (skeleton, block), in each of which dictionary words come first."""
+    name, trie = None, Trie()
+    for b in batches:
+        for sk, block, is_obs, word, obs, broken, n_form, cap, *known in b[["skeleton", "block", "is_obs", "word", "obs", "broken", "n_form", "cap_form", "n", "n_clean", "n_mid", "n_cap"]].itertuples(index=False, name=None):
+            if (sk, block) != name:
+                name, trie = (sk, block), Trie()
+            if not is_obs:
+                trie.add(word, tuple(known))
+                continue
+            for reading, (held, ways) in trie.readings(word).items():
+                for used in ways:
+                    if used:
+                        yield obs, broken, n_form, reading, list(used), cap, *held
 
 
 class NameModel:
@@ -191,7 +254,30 @@ class NameModel:
 
     def bits(self, name: str) -> float:
         s = f"^^{name}$"
-        return sum(-math.log2((self.counts.get(s[i : i + 3], 0) + 0.02) / (self.pair.get(s[i : i + 2], 0) + 0.6)) for i in range(len(s) - 2))
+        return sum(self.next(s[i : i + 2], s[i + 2]) for i in range(len(s) - 2))
+
+    def next(self, two: str, c: str) -> float:
+        return -math.log2((self.counts.get(two + c, 0) + 0.02) / (self.pair.get(two, 0) + 0.6))
+
+    def best_spelling(self, base: str, rates: dict[str, float]) -> tuple[str, list[str]] | None:
+        """The cheapest spelling in letters by channel and trigrams, with the confusions used: Viterbi over the last two letters at each place."""
+        at: list[dict[str, tuple[float, str, tuple]]] = [{} for _ in range(len(base) + 1)]
+        at[0]["^^"] = (0.0, "", ())
+        for i, c in enumerate(base):
+            steps = [(1, c, 0.0, ())] if c == "'" or (c.isascii() and c.isalpha()) else []
+            steps += [(len(r), p, rates.get(f"{r}>{p}", _FLOOR_BITS), (f"{r}>{p}",)) for r, p in _FROM.get(c, ()) if base.startswith(r, i)]
+            for two, (bits, word, used) in at[i].items():
+                for length, p, cost, use in steps:
+                    last, sum_ = two, bits + cost
+                    for x in p:
+                        sum_ += self.next(last, x)
+                        last = last[1] + x
+                    old = at[i + length].get(last)
+                    if old is None or sum_ < old[0]:
+                        at[i + length][last] = (sum_, word + p, used + use)
+            at[i] = {}
+        ends = [(bits + self.next(two, "$"), word, used) for two, (bits, word, used) in at[-1].items()]
+        return (min(ends)[1], list(min(ends)[2])) if ends else None
 
 
 def _trigrams(names: DataFrame) -> dict[str, int]:
@@ -225,34 +311,52 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     )
     total = lexicon.agg(F.sum("n")).first()[0] or 1
     names = _trigrams(lexicon.where("n_cap > 0 and n_cap * 2 > n_mid").select("key", "n"))
-    forms = tokens.groupBy("key", "broken").agg(F.count("*").alias("n_form"), F.max(F.col("word").rlike("^[A-Z0-9!|]")).alias("cap_form"))
+    forms = materialize(tokens.groupBy("key", "broken").agg(F.count("*").alias("n_form"), F.max(F.col("word").rlike("^[A-Z0-9!|]")).alias("cap_form")), "forms")
+    spelt = lambda r: r.replace("'", "").isalpha() and r.isascii()
 
-    def spell_out(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def as_seen(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         model = NameModel(names)
         for b in batches:
             for key, broken, n, cap in zip(b["key"], b["broken"], b["n_form"], b["cap_form"]):
-                for rank, (r, used) in enumerate(readings(key)):
-                    look = re.sub(r"\d+", "#", r) if _NUMBER.fullmatch(r) else r
-                    name_bits = model.bits(r) if cap and r.replace("'", "").isalpha() and r.isascii() else None
-                    yield key, broken, n, rank, r, look, used, name_bits
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _frames(spell_out(batches), ["obs", "broken", "n_form", "rank", "reading", "look", "used", "name_bits"])
+                told = {}
+                for base in spellings(key):
+                    told.setdefault(base, [])
+                    if number := number_reading(base):
+                        told.setdefault(*number)
+                for rank, (r, used) in enumerate(told.items()):
+                    yield key, broken, n, min(rank, 1), r, re.sub(r"\d+", "#", r) if _NUMBER.fullmatch(r) else r, used, model.bits(r) if cap and spelt(r) else None
+
+    def in_dictionary(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        model = NameModel(names)
+        for obs, broken, n_form, r, used, cap, *known in dictionary_readings(batches):
+            yield obs, broken, n_form, 1, r, r, used, model.bits(r) if cap and spelt(r) else None, *(int(x) for x in known)
 
-    cand = forms.mapInPandas(spread, "obs string, broken boolean, n_form long, rank int, reading string, look string, used array<string>, name_bits double")
+    seen_schema = "obs string, broken boolean, n_form long, rank int, reading string, look string, used array<string>, name_bits double"
+    columns = [c.split()[0] for c in seen_schema.split(", ")]
     lex = lexicon.select(F.col("key").alias("look"), "n", "n_clean", "n_mid", "n_cap")
-    joined = cand.join(lex, "look", "left")
-    # without support in the dictionary a reading stands only for the word as seen, or as the most name-like spelling of a capitalized word
-    held = materialize(joined.where("n is not null or rank = 0 or (broken and size(used) = 0) or name_bits is not null"), "held")
+    own_form = forms.mapInPandas(lambda b: _frames(as_seen(b), columns), seen_schema).join(lex, "look", "left")
+    both = _by_skeleton(forms, lexicon).mapInPandas(lambda b: _frames(in_dictionary(b), [*columns, "n", "n_clean", "n_mid", "n_cap"]), f"{seen_schema}, n long, n_clean long, n_mid long, n_cap long")
+    # a number is read as such, and a word as seen counts once
+    held = materialize(own_form.select(*columns, "n", "n_clean", "n_mid", "n_cap").unionByName(both), "held")
     rates = confusion_bits(held, total)
     bit_map = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v))]) if rates else F.create_map()
     channel = F.aggregate("used", F.lit(0.0), lambda acc, u: acc + F.coalesce(F.try_element_at(bit_map, u), F.lit(_FLOOR_BITS)))
     unseen_bits = F.least(F.lit(_WORD_BITS), F.coalesce(F.col("name_bits") + _NAME_BITS, F.lit(_WORD_BITS)))
-    weighed = held.withColumn("channel", channel)
-    # spellings that the dictionary lacks have no bigrams, so the cheapest by channel and own bits is the only one that could win
-    lone = F.col("n").isNull() & (F.size("used") > 0)
-    best_name = weighed.where(lone).groupBy("obs", "broken").agg(F.min(F.struct(F.col("channel") + unseen_bits, "reading")).alias("m"))
-    scored = weighed.where(~lone).unionByName(weighed.where(lone).join(best_name.select("obs", "broken", F.col("m.reading").alias("reading")), ["obs", "broken", "reading"], "left_semi").select(*weighed.columns))
+
+    def as_names(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        model = NameModel(names)
+        for b in batches:
+            for key, broken, n in zip(b["key"], b["broken"], b["n_form"]):
+                best = model.best_spelling(spellings(key)[0], rates)
+                if best is not None and best[1] and spelt(best[0]):
+                    yield key, broken, n, 1, best[0], best[0], best[1], model.bits(best[0])
+
+    # spellings that the dictionary lacks have no bigrams, so of all of them only the cheapest by channel and own bits can win
+    named = forms.where("cap_form").mapInPandas(lambda b: _frames(as_names(b), columns), seen_schema).join(lex.select("look"), "look", "left_anti")
+    missing = [F.lit(None).cast("long").alias(c) for c in ("n", "n_clean", "n_mid", "n_cap")]
+    weighed = held.unionByName(named.select(*columns, *missing)).withColumn("channel", channel)
+    # of the ways to one reading the cheapest counts
+    scored = weighed.groupBy("obs", "broken", "reading").agg(F.min_by(F.struct(*[c for c in weighed.columns if c not in ("obs", "broken", "reading")]), F.struct("channel", "rank")).alias("w")).select("obs", "broken", "reading", "w.*")
     scored = materialize(scored, "readings")
     # a form that misreadings of a common word explain is not counted as a word itself, but for its clean occurrences
     explained = scored.where("size(used) > 0 and n is not null").groupBy("obs", "broken").agg(F.max(F.col("n") * F.pow(F.lit(2.0), -F.col("channel"))).alias("expected"))
@@ -278,6 +382,19 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     return ready.mapInPandas(_viterbi, "case_id string, field string, pos int, line_no int, word string, broken boolean, start boolean, reading string")
 
 
+def _by_skeleton(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Dictionary and page words by skeleton and block, dictionary words first; a skeleton of many page words has several blocks, each with all of its dictionary words."""
+    name = F.pandas_udf(lambda s: s.map(skeleton), T.StringType())
+    spelt = forms.select(F.col("key").alias("obs"), "broken", "n_form", "cap_form", F.explode(F.when(F.col("broken"), F.array(F.replace("key", F.lit("\xad"), F.lit("")), F.replace("key", F.lit("\xad"), F.lit("-")))).otherwise(F.array("key"))).alias("word"))
+    page = spelt.withColumn("skeleton", name("word"))
+    words = lexicon.where(~F.col("key").contains("#")).select(name("key").alias("skeleton"), F.col("key").alias("word"), "n", "n_clean", "n_mid", "n_cap")
+    blocks = page.groupBy("skeleton").agg(F.ceil(F.count("*") / TRIE_BLOCK).cast("int").alias("blocks"))
+    page = page.join(blocks, "skeleton").withColumn("block", F.pmod(F.xxhash64("obs"), F.col("blocks")).cast("int")).withColumn("is_obs", F.lit(1))
+    words = words.join(blocks, "skeleton").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_obs", F.lit(0))
+    both = page.unionByName(words, allowMissingColumns=True).drop("blocks")
+    return both.repartition("skeleton", "block").sortWithinPartitions("skeleton", "block", "is_obs")
+
+
 _WORD, _OPTION, _FIELD = "\x1d", "\x1e", "\x1f"
 
 

@@ -401,9 +401,61 @@ def test_page_scans_rare_word_behind_a_frequent_one(spark):
     assert {tuple(r) for r in pagescans.defects(df, clean=clean).collect()} == {("a", "t", 1, "char", "hear")}
 
 
+def read_as(word, *dictionary):
+    trie = pagescans.Trie()
+    for w in dictionary:
+        assert pagescans.skeleton(w) == pagescans.skeleton(word), (w, word)
+        trie.add(w, (1,))
+    return {r: ways for r, (_, ways) in trie.readings(word).items()}
+
+
 def test_readings_undo_confusions():
-    for word in ("moment", "dwell", "sulfur", "bell"):
-        for read, printed in pagescans.CONFUSIONS:
-            if printed in word and not printed.isdigit():
-                assert word in dict(pagescans.readings(word.replace(printed, read, 1))), (word, read, printed)
-    assert "154" in dict(pagescans.readings("l54")) and "4d10" in dict(pagescans.readings("4dl0"))
+    for read, printed in pagescans.CONFUSIONS:
+        if not printed.isdigit():
+            assert pagescans.skeleton(f"a{read}o") == pagescans.skeleton(f"a{printed}o"), (read, printed)
+            assert read_as(f"a{read}o", f"a{printed}o")[f"a{printed}o"], (read, printed)
+    # any number of misread marks, in words of any length
+    assert read_as("rnultidirnensionai", "multidimensional") == {"multidimensional": {("i>l", "rn>m", "rn>m")}}
+    assert read_as("unintclligibiiitv"[:-1] + "y", "unintelligibility")
+    assert read_as("c0nffruc7ion".replace("ff", "st"), "construction") == {"construction": {("0>o", "7>t")}}
+    assert read_as("t0wer", "t0wer", "tower") == {"tower": {("0>o",)}}
+    assert pagescans.number_reading("l54")[0] == "154" and pagescans.number_reading("4dl0")[0] == "4d10" and pagescans.number_reading("tower") is None
+
+
+def test_trie_by_brute_force():
+    rng = random.Random(11)
+    pairs = [(r, p) for r, p in pagescans.CONFUSIONS if r.isalpha() and r.isascii() and p.isalpha()]
+    for _ in range(200):
+        word = "".join(rng.choice("iulmnrhcedt") for _ in range(rng.randint(1, 5)))
+        level, out = {(word, 0)}, set()
+        while level:  # left to right: (word, place from which it may still be changed)
+            out |= {w for w, _ in level}
+            level = {(w[:i] + p + w[i + len(r) :], i + len(p)) for w, at in level for r, p in pairs for i in range(at, len(w)) if w.startswith(r, i)}
+        assert set(read_as(word, *out)) == out
+
+
+def test_best_name_by_brute_force():
+    rng = random.Random(14)
+    counts = {"".join(rng.choice("^abcdehilmnortuw$") for _ in range(3)): rng.randint(1, 50) for _ in range(900)}
+    model, rates = pagescans.NameModel(counts), {f"{r}>{p}": rng.uniform(2, 9) for r, p in pagescans.CONFUSIONS}
+
+    def forms(s):
+        if not s:
+            return [("", 0.0)]
+        steps = [(1, s[0], 0.0)] if s[0].isalpha() else []
+        steps += [(len(r), p, rates[f"{r}>{p}"]) for r, p in pagescans.CONFUSIONS if not p.isdigit() and s.startswith(r)]
+        return [(p + rest, c + more) for n, p, c in steps for rest, more in forms(s[n:])]
+
+    for _ in range(60):
+        word = "".join(rng.choice("abcdehilmnortuw01") for _ in range(rng.randint(1, 5)))
+        want = min((c + model.bits(w) for w, c in forms(word)), default=None)
+        got = model.best_spelling(word, rates)
+        assert (got is None) == (want is None)
+        if got:
+            assert abs(model.bits(got[0]) + sum(rates[u] for u in got[1]) - want) < 1e-9
+
+
+def test_capitals_that_occur_once_are_text(spark):
+    rows = [("a", "t", "BEWARE OF THE DRAGON\nthe cave is dark"), ("b", "t", "THE OLD BOOK\nthe cave is dark"), ("c", "t", "the cave\nTHE OLD BOOK   1234567\n1234567")]
+    got = {tuple(r) for r in pagescans.defects(spark.createDataFrame(rows, "case_id string, field string, text string")).collect()}
+    assert got == {("b", "t", 1, "header", ""), ("c", "t", 2, "header", ""), ("c", "t", 3, "page", "")}

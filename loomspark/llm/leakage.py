@@ -1,14 +1,16 @@
 """Evaluation passages inside training documents (problem 8), by suffix arrays over shards of the training text.
 
-A shard is a batch of whole documents. Its words become one array of numbers with a separator of its own after
-each document, and prefix doubling sorts its suffixes. Every suffix of every test item is then binary-searched in
-all shards: the interval of suffixes that start with the same MIN_WORDS words holds every place of the passage, and
-the common prefix there is the longest verbatim match from that word on.
+A shard is a batch of whole documents. Its words become one array of numbers with a separator after each document,
+and prefix doubling sorts its suffixes. Every suffix of every test item is then binary-searched in all shards: the
+interval of suffixes that start with the same MIN_WORDS words holds every place of the passage, and runs of such
+places along one diagonal give the longest verbatim match. Test items are sent to tasks in parts of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 12
-#: Test items are sent to every task; a larger set is refused and belongs in several calls.
-MAX_ITEM_CHARS = 64_000_000
+#: Characters of test items that are sent to the tasks at once; a larger set is searched part by part.
+PART_CHARS = 16_000_000
 #: Words of a shard's suffix array; a longer document is a shard of its own.
 SHARD_WORDS = 400_000
 
@@ -76,60 +78,111 @@ def _interval(text: np.ndarray, sa: np.ndarray, queries: np.ndarray) -> tuple[np
 
 
 class TestItems:
-    """Words of the test items as numbers from 1, and every suffix of at least min_words words."""
+    """Words of the test items as numbers from 1, in one array, and where each suffix of at least min_words words starts in it."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int):
         self.min_words = min_words
-        parts = [(i, words(t)) for i, t in items if t]
-        self.vocabulary = {w: n + 1 for n, w in enumerate(sorted({w for _, ws in parts for w in ws}))}
-        parts = [(i, ws) for i, ws in parts if len(ws) >= min_words]
-        self.longest = max((len(ws) for _, ws in parts), default=0)
-        self.item = np.array([i for i, ws in parts for _ in range(len(ws) - min_words + 1)], np.int64)
-        self.start = np.array([s for _, ws in parts for s in range(len(ws) - min_words + 1)], np.int64)
-        self.heads = np.array([[self.vocabulary[w] for w in ws[s : s + min_words]] for _, ws in parts for s in range(len(ws) - min_words + 1)], np.int64).reshape(-1, min_words)
-        self.tails = [np.array([self.vocabulary[w] for w in ws[s:]], np.int64) for _, ws in parts for s in range(len(ws) - min_words + 1)]
+        parts = [(i, ws) for i, t in items if t and len(ws := words(t)) >= min_words]
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary.setdefault
+        self.flat = np.array([number(w, len(self.vocabulary) + 1) for _, ws in parts for w in ws], np.int32)
+        lengths = np.array([len(ws) for _, ws in parts], np.int64)
+        begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(parts) else np.empty(0, np.int64)
+        counts = lengths - min_words + 1
+        self.which = np.repeat(np.arange(len(parts)), counts)
+        self.ids = [i for i, _ in parts]
+        self.start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) if len(parts) else np.empty(0, np.int64)
+        self.at = (begins[self.which] + self.start) if len(parts) else np.empty(0, np.int64)
 
     def matches(self, doc_ids: list[int], texts: list[list[str]]) -> pd.DataFrame:
         """doc_id, item_id, item_word, match_words of the longest match per document and item of one shard."""
-        rows: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(self.heads):
-            get, n_vocab = self.vocabulary.get, len(self.vocabulary) + 1
-            flat, owner = [], []
-            for d, ws in enumerate(texts):
-                flat += [get(w, n_vocab) for w in ws]  # a word in no item matches nothing, so all such words may be one
-                flat.append(0)
-                owner += [d] * (len(ws) + 1)
-            ids = np.array(flat, np.int64)
-            sa, _ = suffix_order(ids, max(self.min_words, self.longest))
-            text = np.concatenate([ids, np.full(self.min_words, -1, np.int64)])
-            first, last = _interval(text, sa, self.heads)
-            for q in np.flatnonzero(last > first):
-                tail = self.tails[q]
-                for p in sa[first[q] : last[q]]:
-                    there = ids[p : p + len(tail)]
-                    same = tail[: len(there)] == there
-                    length = int(same.argmin()) if not same.all() else len(there)
-                    k = (owner[p], int(self.item[q]))
-                    if length > rows.get(k, (0, 0))[0]:
-                        rows[k] = (length, int(self.start[q]))
-        return pd.DataFrame([(doc_ids[d], i, s, n) for (d, i), (n, s) in rows.items()], columns=["doc_id", "item_id", "item_word", "match_words"])
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+        rows: list[tuple] = []
+        if len(self.at):
+            get, other, w = self.vocabulary.get, len(self.vocabulary) + 1, self.min_words
+            lengths = np.array([len(ws) + 1 for ws in texts])
+            # a word in no item matches nothing, so all such words may be one
+            ids = np.fromiter((x for ws in texts for x in (*(get(t, other) for t in ws), 0)), np.int64, int(lengths.sum()))
+            owner = np.repeat(np.arange(len(texts)), lengths)
+            sa, _ = suffix_order(ids, w)
+            text = np.concatenate([ids, np.full(w, -1, np.int64)])
+            ends = [_interval(text, sa, self.flat[self.at[a : a + _QUERIES, None] + np.arange(w)]) for a in range(0, len(self.at), _QUERIES)]
+            first, last = (np.concatenate(x) for x in zip(*ends))
+            rows = self._longest(first, last, sa, owner, len(texts))
+        return pd.DataFrame([(doc_ids[d], self.ids[i], s, n) for d, i, s, n in rows], columns=["doc_id", "item_id", "item_word", "match_words"])
+
+    def _longest(self, first: np.ndarray, last: np.ndarray, sa: np.ndarray, owner: np.ndarray, n_docs: int) -> list[tuple[int, int, int, int]]:
+        """(document, item, item word, words) of the longest match, from the places of every suffix of the items.
+
+        From an item's last suffix to its first, a place that starts the same words as the suffix one word on starts a
+        run longer by one. Only two numbers per place and document of the shard are held.
+        """
+        rows, hits = [], np.flatnonzero(last > first)
+        run, best, word = np.zeros(len(sa) + 1, np.int32), np.zeros(n_docs, np.int32), np.zeros(n_docs, np.int32)
+        for i, qs in itertools.groupby(hits[::-1].tolist(), key=lambda q: int(self.which[q])):
+            seen: list[np.ndarray] = []
+            before = np.empty(0, np.int64)
+            q_before = -1
+            for q in qs:
+                places = sa[first[q] : last[q]]
+                longer = run[places + 1] + 1 if q_before == q + 1 else np.ones(len(places), np.int32)
+                run[before] = 0
+                run[places] = longer
+                docs = owner[places]
+                np.maximum.at(best, docs, longer)
+                at = docs[best[docs] == longer]
+                word[at] = self.start[q]
+                seen.append(np.unique(docs))
+                before, q_before = places, q
+            run[before] = 0
+            for d in np.unique(np.concatenate(seen)).tolist():
+                rows.append((d, i, int(word[d]), int(best[d]) + self.min_words - 1))
+                best[d] = 0
+        return rows
+
+
+#: Suffixes of items looked up at once.
+_QUERIES = 100_000
+_HELD: dict = {}
+
+
+def _item_parts(rows: DataFrame, part_chars: int) -> list[DataFrame]:
+    """The items in parts of about part_chars characters; an item longer than that is a part by itself, or shares one with few others."""
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // part_chars))
+    if n == 1:
+        return [rows]
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [rows.where(part == k) for k in range(n)]
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, part_chars: int = PART_CHARS) -> DataFrame:
     """doc_id, item_id, item_word, match_words: each document with at least min_words consecutive words of an item.
 
     match_words is the longest match of that item in the document, item_word where it starts in the item (from 0).
     Null or empty texts match nothing; repeated rows give one row. Documents never move: each task sorts the shards
-    of its own split, so the only shuffle is the distinct of what was found.
+    of its own split, so the only shuffle is the distinct of what was found. Items above part_chars are searched in
+    parts, with the same result.
     """
     rows = items.where("text is not null and item_id is not null").select("item_id", "text").distinct()
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"test items hold {size} characters; {MAX_ITEM_CHARS} may be sent to every task")
-    held = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows.collect()])
+    docs = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    found = None
+    for part in _item_parts(rows, part_chars):
+        held = documents.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+        one = docs.mapInPandas(_searcher(held, min_words), "doc_id long, item_id long, item_word int, match_words int")
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("match_words", -F.col("item_word"))).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.col2")).alias("item_word"), F.col("m.match_words").alias("match_words"))
+
+
+def _searcher(held, min_words: int):
+    name = uuid.uuid4().hex
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test, ids, texts, n = TestItems(held.value, min_words), [], [], 0
+        # a worker builds the index of a part of the items once, and keeps the latest
+        if name not in _HELD:
+            _HELD.clear()
+            _HELD[name] = TestItems(held.value, min_words)
+        test, ids, texts, n = _HELD[name], [], [], 0
         for b in batches:
             for i, t in zip(b["doc_id"], b["text"]):
                 ws = words(t)
@@ -144,9 +197,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
         if ids:
             yield test.matches(ids, texts)
 
-    found = documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(shards, "doc_id long, item_id long, item_word int, match_words int")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("match_words", -F.col("item_word"))).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.col2")).alias("item_word"), F.col("m.match_words").alias("match_words"))
+    return shards
 
 
 def remove_leaked(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -117,11 +117,32 @@ def test_leaks_by_brute_force(spark):
     found = leakage.leaks(df, it)
     got = found.collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and want
-    assert all(r["match_words"] >= 12 for r in got)
+    longest = {}
+    for d, t, _ in docs:
+        for i, u in items:
+            a, b = leakage.words(t or ""), leakage.words(u or "")
+            runs = {}
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] == b[y]:
+                        runs[x, y] = runs.get((x - 1, y - 1), 0) + 1
+                        longest[d, i] = max(longest.get((d, i), 0), runs[x, y])
+    assert all(r["match_words"] == longest[r["doc_id"], r["item_id"]] for r in got)
+    assert {tuple(r) for r in leakage.leaks(df, it, part_chars=300).collect()} == {tuple(r) for r in got}
     assert leakage.remove_leaked(df, found).count() == sum(d not in {x for x, _ in want} for d, _, _ in docs)
     assert leakage.leaks(df, it.limit(0)).count() == 0 and leakage.leaks(df.limit(0), it).count() == 0
 
 
+def test_a_long_item_takes_little_memory():
+    ws = [f"v{i % 50_000}" for i in range(300_000)]
+    items = leakage.TestItems([(1, " ".join(ws))], 12)
+    assert sum(x.nbytes for x in (items.flat, items.which, items.start, items.at)) < 30 * len(ws)
+    got = items.matches([7], [["x", *ws[100_000:180_000], "y"]])
+    assert got.values.tolist() == [[7, 1, 0, 80_000]]
+    # one word over and over, on both sides
+    assert leakage.TestItems([(1, "w " * 300)], 12).matches([7], [["w"] * 5000]).values.tolist() == [[7, 1, 0, 300]]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 3, 200)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
 from loomspark.llm import bitext, canonical, leakage, lookalikes, mixture, pagescans, spans
 
+#: Where the driver finds a public vocabulary file.
+VOCABULARY = os.environ.get("LOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def _scans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     pilot = table(spark, sf_dir, "pilot_entity")
@@ -74,11 +79,11 @@ def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), VOCABULARY)[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), VOCABULARY)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from loomspark.session import materialize
 
@@ -358,15 +359,19 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     # of the ways to one reading the cheapest counts
     scored = weighed.groupBy("obs", "broken", "reading").agg(F.min_by(F.struct(*[c for c in weighed.columns if c not in ("obs", "broken", "reading")]), F.struct("channel", "rank")).alias("w")).select("obs", "broken", "reading", "w.*")
     scored = materialize(scored, "readings")
-    # a form that misreadings of a common word explain is not counted as a word itself, but for its clean occurrences
-    explained = scored.where("size(used) > 0 and n is not null").groupBy("obs", "broken").agg(F.max(F.col("n") * F.pow(F.lit(2.0), -F.col("channel"))).alias("expected"))
-    scored = scored.join(explained, ["obs", "broken"], "left")
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    real = F.when((F.col("reading") == F.col("obs")) & (F.col("expected") * 12 > seen - F.coalesce("n_clean", F.lit(0))), F.coalesce("n_clean", F.lit(0))).otherwise(seen).cast("double")
-    own = F.when(real > 0, F.least(-F.log2(real / F.lit(float(total))), unseen_bits)).otherwise(unseen_bits)
+    # a form that misreadings of a common word explain is not counted as a word, but for its clean occurrences
+    best = scored.where("not broken and size(used) > 0 and n is not null").groupBy("obs").agg(F.max(F.col("n") * F.pow(F.lit(2.0), -F.col("channel"))).alias("expected"))
+    explained = lexicon.join(best, lexicon["key"] == best["obs"]).where("expected * 12 > n - n_clean").select(F.col("key").alias("reading"), F.lit(True).alias("is_misread"))
+    scored = scored.join(explained, "reading", "left")
+    real = F.when(F.col("is_misread"), F.coalesce("n_clean", F.lit(0))).otherwise(F.coalesce("n", F.lit(0))).cast("double")
+    scored = scored.withColumn("real", real).withColumn("own", F.when(real > 0, F.least(-F.log2(real / F.lit(float(total))), unseen_bits)).otherwise(unseen_bits))
+    # what isn't counted as a word has no bigrams, so its neighbours can't tell it from others of its kind: the cheapest can win, no other
+    lone = F.col("real") == 0
+    cheapest = F.min(F.when(lone, F.struct(F.col("channel") + F.col("own"), "rank", "reading"))).over(Window.partitionBy("obs", "broken"))
+    scored = scored.withColumn("lone", cheapest).where(~lone | (F.col("reading") == F.col("lone.reading")))
     name = F.coalesce(F.col("n_cap") * 2 > F.col("n_mid"), F.col("name_bits").isNotNull())
-    options = scored.groupBy("obs", "broken").agg(F.collect_list(F.struct("rank", "reading", "look", "channel", own.alias("own"), real.alias("n"), name.alias("name"))).alias("options"))
-    # every dictionary reading stays: what the words beside it say may outweigh any difference in its own bits
+    options = scored.groupBy("obs", "broken").agg(F.collect_list(F.struct("rank", "reading", "look", "channel", "own", F.col("real").alias("n"), name.alias("name"))).alias("options"))
+    # every reading that is counted as a word stays: what the words beside it say may outweigh any difference in its own bits
     # a text's lattice is one string of words, options and their fields, which tasks read word by word
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     packed = F.array_join(F.transform("options", lambda o: F.concat_ws(_FIELD, *[text(o[c]) for c in ("reading", "look", "channel", "own", "n", "name")])), _OPTION)

@@ -33,10 +33,18 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagescans.paragraphs(**_scans(spark, sf_dir))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bitexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     en = table(spark, sf_dir, "dnd_spell").where("id is not null and description is not null").groupBy(F.col("id").alias("spell_id")).agg(F.min("description").alias("en"))
     zh = table(spark, sf_dir, "i18n_spell_text").where("lower(lang) like 'zh%' and description_text is not null").select(F.col("id").alias("text_id"), "spell_id", F.col("description_text").alias("zh")).distinct()
-    return bitext.aligned(zh.join(en, "spell_id")).select("text_id", "en_pos", "zh_pos").distinct()
+    return zh.join(en, "spell_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.aligned(_bitexts(spark, sf_dir)).select("text_id", "en_pos", "zh_pos").distinct()
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.link_groups(_bitexts(spark, sf_dir)).select("text_id", "link_no", "kind", "en_positions", "zh_positions")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +110,5 @@ def p10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.maximal_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_links, p10_shared, p10_repeats)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p3_links, p6_found, p7_found, p7_misses, p8_found, p8_clean_documents, p9_mixture, p9_shares, p10_found, p10_links, p10_shared, p10_repeats)}
 SQL: dict[str, str] = {}

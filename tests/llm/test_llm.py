@@ -1,6 +1,7 @@
 """Small fixtures with nulls, ties, repeats, empty tables and extra columns, against brute force or planted truth."""
 
 import itertools
+import math
 import random
 import re
 
@@ -385,6 +386,33 @@ def test_bitext(spark):
     assert bitext.aligned(df.limit(0)).count() == 0
 
 
+def test_link_groups():
+    pairs = [(1, 1, 0.9), (2, 2, 0.8), (2, 3, 0.7), (3, 5, 0.6), (4, 5, 0.5), (6, 6, 0.9), (7, 7, 0.9), (6, 7, 0.4)]
+    got = bitext.groups(pairs, 7, 8)
+    assert [(k, en, zh) for k, en, zh, _, _ in got] == [("match", [1], [1]), ("split", [2], [2, 3]), ("merge", [3, 4], [5]), ("omission", [5], []), ("block", [6, 7], [6, 7]), ("addition", [], [4]), ("addition", [], [8])]
+    assert sorted(p for g in got for p in g[3]) == sorted((i, j) for i, j, _ in pairs) and got[4][4] == 0.4
+    assert bitext.groups([], 1, 1) == [("omission", [1], [], [], 0.0), ("addition", [], [1], [], 0.0)]
+    rng = random.Random(15)
+    for _ in range(100):
+        some = sorted({(rng.randint(1, 8), rng.randint(1, 8)) for _ in range(rng.randint(0, 12))})
+        got = bitext.groups([(i, j, 1.0) for i, j in some], 8, 8)
+        assert sorted(i for g in got for i in g[1]) == sorted(j for g in got for j in g[2]) == list(range(1, 9))
+        assert sorted(p for g in got for p in g[3]) == some
+
+
+def test_transport_converges():
+    """Each plan moves what its sentences have, and doesn't depend on what is scaled with it."""
+    rng = np.random.default_rng(1)
+    problems = []
+    for _ in range(40):
+        n, m = rng.integers(1, 9, 2)
+        problems.append((rng.random((n, m)), rng.random(n) + 0.1, rng.random(m) + 0.1))
+    for (cost, a, b), t in zip(problems, bitext.transports(problems)):
+        assert t.shape == cost.shape and (t.sum(1) <= a + 1e-3 * (a.sum() + b.sum())).all() and (t.sum(0) <= b + 1e-3 * (a.sum() + b.sum())).all()
+        assert np.abs(t - bitext.transport(cost, a, b)).max() < 1e-12
+    assert bitext.transports([]) == []
+
+
 def test_sentences_and_numbers():
     assert bitext.en_sentences("A b. C d! E 3.5 f? tail") == ["A b.", "C d!", "E 3.5 f?", "tail"]
     assert bitext.zh_sentences("甲。乙！丙？丁") == ["甲。", "乙！", "丙？", "丁"]
@@ -505,6 +533,36 @@ def test_best_name_by_brute_force():
             assert abs(model.bits(got[0]) + sum(rates[u] for u in got[1]) - want) < 1e-9
 
 
+def test_best_path_by_brute_force():
+    rng = random.Random(16)
+    for _ in range(200):
+        words, counts = [], {}
+        for k in range(rng.randint(1, 5)):
+            options = [(f"r{k}{j}", f"w{rng.randint(0, 5)}", rng.uniform(0, 20), rng.uniform(2, 30), float(rng.choice([0, 3, 50, 900])), False) for j in range(rng.randint(1, 3))]
+            words.append((k, 1, "x", False, False, options))
+        for a, b in itertools.product(range(6), repeat=2):
+            if rng.random() < 0.6:
+                counts.setdefault(f"w{a}", {})[f"w{b}"] = rng.randint(1, 40)
+
+        def cost(path):
+            bits = path[0][3] + path[0][2]
+            for k, (p, o) in enumerate(itertools.pairwise(path)):
+                if len(words[k][5]) > 1 or len(words[k + 1][5]) > 1:
+                    n = min(counts.get(p[1], {}).get(o[1], 0), p[4], o[4])
+                    bits -= math.log2((n + 12.0 * 2.0 ** -o[3]) / (p[4] + 12.0))
+                bits += o[2]
+            return bits
+
+        want = min(cost(p) for p in itertools.product(*(w[5] for w in words)))
+        assert abs(cost(pagescans.best_path(words, counts)) - want) < 1e-9
+
+
+def test_bigram_filter(spark):
+    pairs = [("a", "b"), ("spell", "of"), ("é", "火")]
+    bits = pagescans._bigram_bits(spark.createDataFrame(pairs, "a string, b string")).value
+    assert all(pagescans.may_be(bits, *p) for p in pairs) and not pagescans.may_be(bits, "b", "a") and sum(bin(x).count("1") for x in bits) == 3
+
+
 def test_capitals_that_occur_once_are_text(spark):
     rows = [("a", "t", "BEWARE OF THE DRAGON\nthe cave is dark"), ("b", "t", "THE OLD BOOK\nthe cave is dark"), ("c", "t", "the cave\nTHE OLD BOOK   1234567\n1234567")]
     got = {tuple(r) for r in pagescans.defects(spark.createDataFrame(rows, "case_id string, field string, text string")).collect()}

@@ -2,7 +2,9 @@
 
 After compatibility normalization and deletion of ignorable characters, every character that has look-alikes in
 another script opens a column of a lattice. Viterbi picks the path with the best script-consistent character
-n-gram score; the n-grams are counted over all names, on characters that have no look-alike in another script.
+n-gram score; the n-grams are counted over all names, on characters that have no look-alike in another script. A word
+that has letters of one alphabet only, by their shape, is read in that alphabet as far as it goes: Latin letters that
+have strayed into a Cyrillic or Greek word are look-alikes there too.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУԚԜҮаԁеһіјорԛѕԝ
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρκυϲϳ", "ABEZHIKMNOPTYXoavipkucj"))
 OTHER = dict(zip("ՕօսհոցԼꓐꓚꓓꓰꓖꓧꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓮℓℯℊℴıɩɡɑƖ", "OouhnglBCDEGHJKLMNOPRSTUVWXYAlegoiigaI"))
 LOOKALIKES = CYRILLIC | GREEK | OTHER
+#: Latin letters and what they may stand for in a word of another alphabet.
+_BACK = {script: {latin: c for c, latin in reversed(table.items())} for script, table in (("C", CYRILLIC), ("G", GREEK))}
 # Punctuation that compatibility normalization leaves alone.
 PUNCTUATION = str.maketrans({**dict.fromkeys("‘’‛ʼʹ′`´ˈ＇", "'"), **dict.fromkeys("“”„‟″〝〞", '"'), **dict.fromkeys("‐‑‒–—―−﹘﹣⁃", "-"), **dict.fromkeys("•‧・･∙⋅●ᐧ⸱", "·"), "。": ".", "、": ",", "⁄": "/", "∕": "/", "：": ":", "‚": ","})
 #: Letters and marks without width or ink.
@@ -96,6 +100,21 @@ class Lattice:
             cost += self.SWITCH
         return cost + (self.FOREIGN if sb in "CGO" else 0.0)
 
+    @staticmethod
+    def _columns(base: list[str]) -> list[list[str]]:
+        """What each character may be: itself or its Latin look-alike, and in a word with letters that only Cyrillic or Greek has, a Latin letter's look-alike there."""
+        out: list[list[str]] = [[LOOKALIKES[c], c] if c in LOOKALIKES else [c] for c in base]
+        if not any(c in LOOKALIKES or script_of(c) in "CG" for c in base):
+            return out
+        start = 0
+        for i in range(len(base) + 1):
+            if i == len(base) or not base[i].isalpha():
+                own = {s for c in base[start:i] if c not in LOOKALIKES and (s := script_of(c)) in "CG"}
+                for k in range(start, i):
+                    out[k] += [_BACK[s][base[k]] for s in sorted(own) if base[k] in _BACK[s]]
+                start = i + 1
+        return out
+
     def _best(self, name: str) -> str:
         s = fold(name)
         base, marks = [], []
@@ -105,21 +124,22 @@ class Lattice:
             else:
                 base.append(c)
                 marks.append("")
-        if any(c in LOOKALIKES for c in base):
+        columns = self._columns(base)
+        if any(len(x) > 1 for x in columns):
             paths = {" ": (0.0, "")}
-            for c in base:
-                options = [LOOKALIKES[c], c] if c in LOOKALIKES else [c]
+            for options in columns:
                 paths = {o: min((p[0] + self._edge(a, o), p[1] + o) for a, p in paths.items()) for o in options}
             _, path = min((p[0] + self._edge(a, " "), p[1]) for a, p in paths.items())
             base = list(path)
         return unicodedata.normalize("NFC", "".join(c + m for c, m in zip(base, marks)))
 
 
-def consistent_names(names: DataFrame) -> DataFrame:
+def consistent_names(names: DataFrame, changed_only: bool = False) -> DataFrame:
     """names with clean_name, the consistent form of column name; null stays null, a name of invisible characters becomes ''.
 
     Two passes: the bigram counts (bounded by the alphabet, so they may be sent to every task), then a map over the
-    rows without any shuffle. Idempotent: a consistent name maps to itself.
+    rows without any shuffle, in which each row goes through Python once. changed_only leaves out names that are in the
+    consistent form already. Idempotent: a consistent name maps to itself.
     """
     counts = {r["gram"]: r["n"] for r in count_bigrams(names).collect()}
 
@@ -131,7 +151,9 @@ def consistent_names(names: DataFrame) -> DataFrame:
         best = _MODEL[1].best
         return s.map(lambda x: None if x is None else best(x))
 
-    return names.withColumn("clean_name", clean("name"))
+    # marked as if it weren't deterministic, so that filters on its result don't have it computed twice
+    out = names.withColumn("clean_name", clean.asNondeterministic()("name"))
+    return out.where("clean_name != name") if changed_only else out
 
 
 _MODEL = None

@@ -56,7 +56,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(i18n.select(*key("i18n_spell_text", "name", "id", "name")))
         .where("name is not null")
     )
-    return lookalikes.consistent_names(names).where("clean_name != name").select("table_name", "field", "row_key", "clean_name").distinct()
+    return lookalikes.consistent_names(names, changed_only=True).select("table_name", "field", "row_key", "clean_name").distinct()
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,15 @@ def test_lookalikes(spark):
     assert cleaned(spark, got) == got
 
 
+def test_lookalikes_in_both_directions(spark):
+    """Latin letters that strayed into Cyrillic and Greek words, and the other way, by what the word's other letters say."""
+    assert cleaned(spark, ["Огнeнный шар", "Tёмный лeс", "Δελτα φωs", "Mооn", "COMET", "СОМЕТ Bell"]) == ["Огненный шар", "Тёмный лес", "Δελτα φωs", "Moon", "COMET", "COMET Bell"]
+    corpus = ["Огненный шар", "Тёмный лес", "Ледяной удар", "Каменная стена"] * 20
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*corpus, "Огнeнный шар", "Tёмный лeс", "Fire"])], "i int, name string")
+    assert [r["clean_name"] for r in lookalikes.consistent_names(df).orderBy("i").collect()][80:] == ["Огненный шар", "Тёмный лес", "Fire"]
+    assert [r["i"] for r in lookalikes.consistent_names(df, changed_only=True).orderBy("i").collect()] == [80, 81]
+
+
 def test_lookalikes_empty(spark):
     assert lookalikes.consistent_names(spark.createDataFrame([], "name string, clash int")).count() == 0
 

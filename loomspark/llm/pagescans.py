@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -381,8 +382,9 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), _WORD)
     texts = lattice.groupBy("case_id", "field").agg(words.alias("words"), F.max("unsure").alias("unsure"))
     texts = materialize(texts, "lattices")
-    edges = texts.where("unsure").mapInPandas(_edges, "case_id string, field string, a string, b string")
-    counted = edges.join(_bigrams(whole), ["a", "b"]).groupBy("case_id", "field").agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "a", "b", text(F.col("n")))), _WORD).alias("pairs"))
+    bigrams = materialize(_bigrams(whole), "bigrams")
+    edges = texts.where("unsure").mapInPandas(_edges(_bigram_bits(bigrams)), "case_id string, field string, a string, b string")
+    counted = edges.join(bigrams, ["a", "b"]).groupBy("case_id", "field").agg(F.array_join(F.collect_list(F.concat_ws(_FIELD, "a", "b", text(F.col("n")))), _WORD).alias("pairs"))
     ready = texts.join(counted, ["case_id", "field"], "left")
     return ready.mapInPandas(_viterbi, "case_id string, field string, pos int, line_no int, word string, broken boolean, start boolean, reading string")
 
@@ -443,38 +445,72 @@ def _bigrams(words: DataFrame) -> DataFrame:
     return words.where("after is not null").groupBy(F.col("key").alias("a"), F.col("after").alias("b")).agg(F.count("*").alias("n"))
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            for c, f, ws in zip(b["case_id"], b["field"], b["words"]):
-                pairs = {(o[1], p[1]) for x, y in itertools.pairwise(_lattice(ws)) if len(x[5]) > 1 or len(y[5]) > 1 for o in x[5] for p in y[5]}
-                yield from ((c, f, *p) for p in pairs)
+#: Bits of the filter that says which bigrams there may be: it has a fixed size, and where it is full it only keeps nothing out.
+_FILTER_BITS = 27
+
+
+def _bigram_bits(bigrams: DataFrame):
+    """The filter, broadcast: a bit for the hash of every bigram."""
+    h = F.pmod(F.xxhash64(F.concat("a", F.lit(_FIELD), "b")), F.lit(1 << _FILTER_BITS)) + 1
+    rows = bigrams.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    bits = bytearray(1 << (_FILTER_BITS - 3))
+    for r in rows:
+        at = (r["bucket"] - 1) * len(r["bits"])
+        bits[at : at + len(r["bits"])] = r["bits"]
+    return bigrams.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def may_be(bits: bytes, a: str, b: str) -> bool:
+    h = xxhash.xxh64_intdigest(f"{a}{_FIELD}{b}".encode(), 42) & ((1 << _FILTER_BITS) - 1)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
+def _edges(held):
+    """The bigrams that a text's lattice may ask for: of neighbours that are counted as words, where either is in doubt."""
 
-    return _frames(rows(), ["case_id", "field", "a", "b"])
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for c, f, ws in zip(b["case_id"], b["field"], b["words"]):
+                    pairs = {(o[1], p[1]) for x, y in itertools.pairwise(_lattice(ws)) if len(x[5]) > 1 or len(y[5]) > 1 for o in x[5] if o[4] > 0 for p in y[5] if p[4] > 0}
+                    yield from ((c, f, *p) for p in pairs if may_be(bits, *p))
+
+        return _frames(rows(), ["case_id", "field", "a", "b"])
+
+    return edges
 
 
 _BACKOFF = 12.0
 
 
-def best_path(words: list[tuple], counts: dict[tuple[str, str], int]) -> list[tuple]:
-    """The option of each word on the cheapest path, in bits of channel and bigrams."""
+def best_path(words: list[tuple], counts: dict[str, dict[str, int]]) -> list[tuple]:
+    """The option of each word on the cheapest path, in bits of channel and bigrams.
+
+    Without a common bigram a step costs the option's own bits and what its predecessor's frequency says, so the cheapest
+    predecessor is the same for all options; steps with a bigram are looked at one by one.
+    """
     paths: list[tuple] = [(0.0, None, None)]  # (bits, option, path before)
     for w in words:
-        best = []
-        for o in w[5]:
-            step = []
-            for bits, prev, _ in paths:
-                if prev is None:
-                    lm = o[3]
-                elif len(paths) > 1 or len(w[5]) > 1:
+        options = w[5]
+        if paths[0][1] is None:
+            paths = [(o[3] + o[2], o, paths[0]) for o in options]
+            continue
+        if len(paths) == 1 and len(options) == 1:
+            paths = [(paths[0][0] + options[0][2], options[0], paths[0])]
+            continue
+        any_, before = min(((p[0] + math.log2((p[1][4] + _BACKOFF) / _BACKOFF), p) for p in paths), key=lambda x: x[0])
+        best = [(any_ + o[3] + o[2], before) for o in options]
+        for p in paths:
+            if (after := counts.get(p[1][1])) and p[1][4] > 0:
+                for k, o in enumerate(options):
                     # a form that isn't counted as a word isn't counted beside others either
-                    lm = -math.log2((min(counts.get((prev[1], o[1]), 0), prev[4], o[4]) + _BACKOFF * 2.0 ** -o[3]) / (prev[4] + _BACKOFF))
-                else:
-                    lm = 0.0
-                step.append(bits + lm + o[2])
-            k = min(range(len(step)), key=step.__getitem__)
-            best.append((step[k], o, paths[k]))
-        paths = best
+                    if (n := min(after.get(o[1], 0), p[1][4], o[4])) > 0:
+                        bits = p[0] - math.log2((n + _BACKOFF * 2.0 ** -o[3]) / (p[1][4] + _BACKOFF)) + o[2]
+                        if bits < best[k][0]:
+                            best[k] = (bits, p)
+        paths = [(bits, o, p) for (bits, p), o in zip(best, options)]
     node, chosen = min(paths, key=lambda x: x[0]), []
     while node[1] is not None:
         chosen.append(node[1])
@@ -489,7 +525,10 @@ def _viterbi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for c, f, ws, pairs in zip(b["case_id"], b["field"], b["words"], b["pairs"]):
                 words = _lattice(ws)
-                counts = {tuple(p.split(_FIELD)[:2]): int(p.split(_FIELD)[2]) for p in pairs.split(_WORD)} if pairs else {}
+                counts: dict[str, dict[str, int]] = {}
+                for p in pairs.split(_WORD) if pairs else ():
+                    x, y, n = p.split(_FIELD)
+                    counts.setdefault(x, {})[y] = int(n)
                 for w, o in zip(words, best_path(words, counts)):
                     reading = as_printed(w[2], o[0], o[5], w[4])
                     if w[3] or reading != w[2]:

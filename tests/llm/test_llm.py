@@ -97,11 +97,38 @@ def test_distance_by_brute_force():
     rng = random.Random(4)
     for _ in range(300):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(2))
-        # edits go with the least weight, which may take one more of a cheap kind; never fewer than the distance
-        assert canonical.weighted_distance(a, b)[0] >= plain(a, b)
+        edits, weight = canonical.weighted_distance(a, b)
+        assert edits == plain(a, b)
+        for most in range(4):
+            banded = canonical.weighted_distance(a, b, most)
+            assert banded == (edits, weight) if edits <= most else banded[0] > most
     assert canonical.weighted_distance("crimson", "criomn")[0] == 2
 
 
+def test_canonical_in_parts(spark, monkeypatch):
+    """A reference list in several parts gives what the whole list gives, and what a scan of all entries gives."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdeilmnorst") for _ in range(rng.randint(4, 11)))
+    names = sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(60)})
+    ref = spark.createDataFrame([(i, n, None, None) for i, n in enumerate(names)], "id int, name string, abbr string, name_zh string")
+    values = []
+    for n in names * 3:
+        s = list(n)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s[i : i + 1] = rng.choice([[], ["x"], [s[i], s[i]], ["q", s[i]]])
+        values.append("".join(s))
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    whole = {r["v"]: r["entry_id"] for r in canonical.map_values(df, "v", ref).collect()}
+    monkeypatch.setattr(canonical, "PART_ENTRIES", 7)
+    assert {r["v"]: r["entry_id"] for r in canonical.map_values(df, "v", ref).collect()} == whole
+    for v, got in whole.items():
+        key = canonical.compact(canonical.plain(v))
+        near = [(w, i) for i, n in enumerate(names) if (k := canonical.compact(n)) and (d := canonical.weighted_distance(key, k)) and (w := d[1]) is not None and d[0] <= min(canonical.budget(len(key)), canonical.budget(len(k)))]
+        assert (got == -1) == (not near), (v, near)
+        assert got == -1 or any(i == got and w == min(x for x, _ in near) for w, i in near)
+
+
 # --- leaks
 
 

@@ -182,14 +182,6 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(part, columns=["raw", "dialect", "rank", "on", "off", "vals", "contested"])
 
 
-def _spelling_bits(chars: dict[str, float], unseen: float):
-    @F.pandas_udf(T.DoubleType())
-    def bits(v: pd.Series) -> pd.Series:
-        return v.map(lambda s: sum(chars.get(c, unseen) for c in s) + _SPELL_BITS)
-
-    return bits
-
-
 def _mark_bits(on_bits: list[float], off_bits: list[float]):
     dot = lambda col, ws: sum((F.col(col)[i] * F.lit(w) for i, w in enumerate(ws)), F.lit(0.0))
     return dot("on", on_bits) + dot("off", off_bits)
@@ -207,21 +199,25 @@ def choose_dialects(fields: DataFrame) -> DataFrame:
     character of Unicode at most) and the rates of marks (one row) are sent to the tasks. Hot values are split by
     adaptive skew joins, as the value table has one row each.
     """
-    raws = fields.select("raw").where("raw is not null").distinct()
+    # distinct texts are dealt out evenly before they are parsed: they are few bytes and much work
+    raws = fields.select("raw").where("raw is not null").distinct().repartition(max(fields.sparkSession.sparkContext.defaultParallelism, int(fields.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cand = materialize(raws.mapInPandas(_candidates, "raw string, dialect string, rank int, on array<int>, off array<int>, vals array<string>, contested boolean"), "dialects")
     full = cand.where("rank = 0").select("raw", F.explode("vals").alias("v"))
-    chars = {r["c"]: r["n"] for r in full.select(F.explode(F.split("v", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    total = sum(chars.values())
-    unseen = math.log2(total + 2)
-    spell = _spelling_bits({c: -math.log2(n / (total + 1)) for c, n in chars.items()}, unseen)(F.coalesce("v", F.lit("")))
     # a value counts once for each field whose finest parse has it
-    code = full.distinct().groupBy("v").agg(F.count("*").alias("n"))
-    n_values = full.count() or 1
-    each = cand.where("contested").select("raw", "dialect", "rank", "on", "off", F.explode_outer("vals").alias("v"))
-    known = -F.log2(F.col("n") / F.lit(float(n_values + 1)))
-    # a value that one field alone has is new to the code
-    cost = F.when(F.col("v").isNull(), F.lit(0.0)).otherwise(F.least(F.when(F.col("n") > 1, known), spell) + _VALUE_BITS)
-    scored = materialize(each.join(code, "v", "left").groupBy("raw", "dialect", "rank", "on", "off").agg(F.sum(cost).alias("value_bits")), "parses")
+    code = materialize(full.groupBy("v").agg(F.count("*").alias("m"), F.count_distinct("raw").alias("n")), "values")
+    chars = code.select("m", F.explode(F.split("v", "")).alias("c")).groupBy("c").agg(F.sum("m").alias("m"))
+    counts = {r["c"]: r["m"] for r in chars.collect()}
+    total, n_values = sum(counts.values()), code.agg(F.sum("m")).first()[0] or 1
+    bits = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, -math.log2(n / (total + 1)))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    spell = F.aggregate(F.split("v", ""), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.try_element_at(bits, c), F.lit(math.log2(total + 2)))) + _SPELL_BITS
+    # a value that one field alone has is new to the code; every other is joined with its share
+    cost = F.when(F.col("n") > 1, F.least(-F.log2(F.col("n") / F.lit(float(n_values + 1))), F.col("spell"))).otherwise(F.col("spell")) + _VALUE_BITS
+    contested = cand.where("contested")
+    each = contested.select("raw", "rank", F.explode("vals").alias("v"))
+    known = code.withColumn("spell", spell).select("v", cost.alias("cost"))
+    paid = each.join(known, "v", "left").groupBy("raw", "rank").agg(F.sum(F.coalesce("cost", spell + _VALUE_BITS)).alias("value_bits"))
+    # a parse without any value costs nothing for values
+    scored = materialize(contested.select("raw", "dialect", "rank", "on", "off").join(paid, ["raw", "rank"], "left").na.fill(0.0, ["value_bits"]), "parses")
     first = _cheapest(scored, [_FIRST_LIVE] * len(_MARKS), [_FIRST_INERT] * len(_MARKS))
     sums = first.agg(*(F.sum(F.col(f"m.{c}")[i]).alias(f"{c}{i}") for c in ("on", "off") for i in range(len(_MARKS)))).first()
     on_bits, off_bits = [], []

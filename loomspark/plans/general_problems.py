@@ -19,12 +19,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.unpack(fields).select("table_name", "row_key", "pos", "val").distinct()
 
 
+def _change_log(spark: SparkSession, sf_dir: str) -> changefeed.ChangeLogTable:
+    log = changefeed.ChangeLogTable(spark, scratch(spark, "changes"))
+    log.append(table(spark, sf_dir, "spell_runtime"), "0")
+    return log
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changefeed.live_keys(changefeed.split_feed(table(spark, sf_dir, "spell_runtime"))).select("table_name", "row_key", "last_seq")
+    return _change_log(spark, sf_dir).read().select("table_name", "row_key", "last_seq")
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changefeed.current_values(changefeed.split_feed(table(spark, sf_dir, "spell_runtime"))).select("table_name", "row_key", "column_name", "value")
+    return changefeed.current_values(_change_log(spark, sf_dir).logs()).select("table_name", "row_key", "column_name", "value")
 
 
 #: Batches in which the orphan queries feed their tables, in the order of time.
@@ -97,6 +103,10 @@ found AS (SELECT DISTINCT table_name, ref_field, row_key, CASE WHEN p.id IS NULL
 QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_values, p5_found, p5_counts, p5_snapshots)}
 
 SQL = {
+    "p4_values": f"""WITH {P4_OPS},
+sets AS (SELECT n.table_name, n.row_key, n.seq, u.c AS column_name, json_extract_string(n.data, '$."' || u.c || '"') AS value, l.i FROM norm n JOIN live l USING (table_name, row_key), unnest(json_keys(CASE WHEN json_valid(n.data) AND json_type(n.data) = 'OBJECT' THEN n.data ELSE '{{}}' END)) AS u(c) WHERE n.k IN ('i', 'u')),
+last AS (SELECT table_name, row_key, column_name, seq, i, value, row_number() OVER (PARTITION BY table_name, row_key, column_name ORDER BY seq DESC) AS rn FROM sets)
+SELECT table_name, row_key, column_name, value FROM last WHERE rn = 1 AND seq >= i""",
     "p4_found": f"WITH {P4_OPS} SELECT table_name, row_key, last_seq FROM live",
     "p5_found": f"WITH {P5_REFS} SELECT * FROM found WHERE reason IS NOT NULL",
     "p5_counts": f"WITH {P5_REFS} SELECT table_name, ref_field, period, reason, count(*) AS n FROM found WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",

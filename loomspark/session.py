@@ -82,6 +82,11 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file(spark, path)
+    return fs.exists(p)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names of the files and folders in a folder."""
     p, fs = _file(spark, path)

@@ -50,7 +50,14 @@ def test_changefeed_equals_replay(spark, tmp_path):
         log.append(spark.createDataFrame(rows[i::3], FEED), str(i))
     log.append(spark.createDataFrame(rows[0::3], FEED), "0")  # a replayed batch changes nothing
     assert {tuple(r) for r in log.read().select("table_name", "row_key", "last_seq").collect()} == want
+    log.compact()
+    assert {tuple(r) for r in log.read().select("table_name", "row_key", "last_seq").collect()} == want
+    # what comes after, of any age, counts as if nothing had been put together
+    late = [("delete", "t", "k:1", None, 1000, None), ("insert", "t", "k:7", "{}", 5, None), ("update", "t", "k:7", None, 6, None), ("insert", "t", "k:1", "{}", 999, None)]
+    log.append(spark.createDataFrame(late, FEED))
+    assert {tuple(r) for r in log.read().select("table_name", "row_key", "last_seq").collect()} == brute_state([r for r in rows + late if r[0] != "wat"])
     assert changefeed.live_keys(changefeed.split_feed(feed.limit(0))).count() == 0
+    assert changefeed.ChangeLogTable(spark, str(tmp_path / "none")).read().count() == 0
 
 
 def test_changefeed_values(spark):

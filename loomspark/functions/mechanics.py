@@ -1,140 +1,125 @@
 """Mechanic texts read into struct(category, amount, unit, flags, normalized_text, coverage, issue_code).
 
-Every reader is one chain of column expressions, first match wins: forms known in full are complete, forms of which
-the kind is known partial, blank texts empty, and all others go to review with an issue code.
+The rules are a table: a form that a text may have, what it is then, and whether the form covers the whole text. One
+evaluator reads it for all mechanics: the first form that fits counts. A text covered whole is complete and gets its
+normalized text by rewriting (numbers agree with their nouns, short forms are written out); one of which a form tells
+the kind only is partial, a blank one empty, and any other goes to review with an issue code. Null counts as blank.
 """
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Categories and wordings of the rules texts.
-ACTIONS = [("immediate action", "immediate_action"), ("swift action", "swift_action"), ("free action", "free_action"), ("standard action", "standard_action"), ("full-round action", "full_round_action")]
-RANGES = [("personal", "Personal", []), ("touch", "Touch", []), ("close", "Close (25 ft. + 5 ft./2 levels)", ["close (25 ft. + 5 ft./2 levels)"]), ("medium", "Medium (100 ft. + 10 ft./level)", ["medium (100 ft. + 10 ft./level)"]), ("long", "Long (400 ft. + 40 ft./level)", ["long (400 ft. + 40 ft./level)"]), ("unlimited", "Unlimited", [])]
-TARGETS = ["creature", "object", "area", "emanation", "burst", "spread", "ray"]
-SAVES = ["fortitude", "reflex", "will"]
 TYPES = ["casting_time", "range", "target", "effect", "area", "duration", "saving_throw", "spell_resistance"]
 
 
-def _norm(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-
-
-def _part(t: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
-
-
-def amount_unit(t: Column) -> tuple[Column, Column]:
-    """First number followed by a word."""
-    p = r"(\d+)\s*([a-z-]+)"
-    return _part(t, p, 1).cast("int"), _part(t, p, 2)
-
-
-def _result(category, amount=None, unit=None, text=None, coverage="partial", issue=None, flags=None) -> Column:
-    lit = lambda x, kind: x if isinstance(x, Column) else F.lit(x).cast(kind)
-    return F.struct(
-        lit(category, "string").alias("category"), lit(amount, "int").alias("amount"), lit(unit, "string").alias("unit"), (F.lit("").cast("string") if flags is None else flags).alias("flags"),
-        lit(text, "string").alias("normalized_text"), F.lit(coverage).alias("coverage"), F.lit(issue).cast("string").alias("issue_code"),
-    )
-
-
-def _flags(t: Column, words: dict[str, str]) -> Column:
-    """Names of the flags whose words occur, in alphabetical order."""
-    return F.array_join(F.array_compact(F.array(*[F.when(t.rlike(p), n) for n, p in sorted(words.items())])), ",")
-
-
-def _plural(amount: Column, unit: Column) -> Column:
-    return F.concat(amount.cast("string"), F.lit(" "), unit, F.when(amount == 1, "").otherwise("s"))
-
-
-def casting_time(c: Column) -> Column:
-    t = _norm(c)
-    action_form, time_form = r"^(\d+) (immediate action|swift action|free action|standard action|full-round action)s?$", r"^(\d+) (round|minute|hour)s?$"
-    amount, _ = amount_unit(t)
-    n, what = _part(t, action_form, 1).cast("int"), _part(t, action_form, 2)
-    m, unit = _part(t, time_form, 1).cast("int"), _part(t, time_form, 2)
-    out = F.when(t == "", _result("empty", coverage="empty"))
-    out = out.when(t.rlike(action_form), _result(F.replace(F.replace(what, F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_")), n, "action", _plural(n, what), "complete"))
-    out = out.when(t.rlike(time_form), _result(unit, m, unit, _plural(m, unit), "complete"))
-    for words, category in ACTIONS:
-        out = out.when(t.contains(words), _result(category, amount, "action"))
-    for u in ("round", "minute", "hour"):
-        out = out.when(t.contains(u), _result(u, amount, u))
-    return out.otherwise(_result("special", coverage="review", issue="casting_time.review"))
-
-
-def range_(c: Column) -> Column:
-    t = _norm(c)
-    out = F.when(t == "", _result("empty", coverage="empty"))
-    for category, text, forms in RANGES:
-        out = out.when(t.isin([category, *forms]), _result(category, text=text, coverage="complete")).when(t.startswith(category), _result(category))
-    fixed = r"^(\d+) (ft\.?|foot|feet|mile|miles)$"
-    n, feet = _part(t, fixed, 1).cast("int"), F.regexp_extract(t, fixed, 2).startswith("f")
-    text = F.when(feet, F.concat(n.cast("string"), F.lit(" ft."))).otherwise(_plural(n, F.lit("mile")))
-    amount, unit = amount_unit(t)
-    out = out.when(t.rlike(fixed), _result("fixed", n, F.when(feet, "ft").otherwise("mile"), text, "complete")).when(t.rlike(r"^\d"), _result("fixed", amount, unit))
-    return out.otherwise(_result("special", coverage="review", issue="range.review"))
-
-
-def target_like(c: Column) -> Column:
-    t = _norm(c)
-    out = F.when(t == "", _result("empty", coverage="empty"))
-    for category in TARGETS:
-        out = out.when(t.contains(category), _result(category))
-    return out.otherwise(_result("text", coverage="review", issue="target_effect_area.review"))
-
-
-def duration(c: Column) -> Column:
-    t = _norm(c)
-    words = {"concentration": "concentration", "discharge": "discharge", "dismissible": r"\(d\)|dismissible"}
-    flags, ends = _flags(t, words), F.when(t.rlike(r"\(d\)|dismissible"), " (D)").otherwise("")
-    simple, timed = r"^(instantaneous|permanent)(?: \(d\))?$", r"^(\d+) (round|minute|hour|day)s?(/level)?(?: \(d\))?$"
-    n, unit, per = _part(t, timed, 1).cast("int"), _part(t, timed, 2), t.rlike(timed) & t.contains("/level")
-    amount, word = amount_unit(t)
-    timed_flags = _flags(t, words | {"per_level": "/level"})
-    return (
-        F.when(t == "", _result("empty", coverage="empty"))
-        .when(t.rlike(simple), _result(_part(t, simple, 1), text=F.concat(F.initcap(_part(t, simple, 1)), ends), coverage="complete", flags=flags))
-        .when(t.isin("concentration", "concentration (d)"), _result("concentration", text=F.concat(F.lit("Concentration"), ends), coverage="complete", flags=flags))
-        .when(t.rlike(timed), _result("timed", n, unit, F.concat(_plural(n, unit), F.when(per, "/level").otherwise(""), ends), "complete", flags=timed_flags))
-        .when(t.contains("instantaneous"), _result("instantaneous", flags=flags))
-        .when(t.contains("permanent"), _result("permanent", flags=flags))
-        .when(t.contains("concentration"), _result("concentration", flags=flags))
-        .when(amount.isNotNull(), _result("timed", amount, word, flags=flags))
-        .otherwise(_result("special", coverage="review", issue="duration.review", flags=flags))
-    )
-
-
-def saving_throw(c: Column) -> Column:
-    t = _norm(c)
-    exact = r"^(fortitude|reflex|will)(?: (negates|partial|half))?(?: \((harmless|object)(?:, (harmless|object))?\))?$"
-    flags = _flags(t, {w: w for w in ("fortitude", "reflex", "will", "partial", "negates", "half", "harmless", "object")} | {"allows_save": "^"})
-    out = F.when(t == "", _result("none", coverage="empty")).when(t.isin("none", "no"), _result("none", text="None", coverage="complete"))
-    out = out.when(t.rlike(exact), _result(_part(t, exact, 1), text=F.concat(F.upper(F.substring(t, 1, 1)), t.substr(F.lit(2), F.length(t))), coverage="complete", flags=flags))
-    for s in SAVES:
-        out = out.when(t.contains(s), _result(s, flags=flags))
-    return out.when(t.startswith("no "), _result("none", flags=flags)).otherwise(_result("special", coverage="review", issue="saving_throw.review", flags=flags))
-
-
-def spell_resistance(c: Column) -> Column:
-    t = _norm(c)
-    exact = r"^(yes|no)(?: \((harmless|object)(?:, (harmless|object))?\))?$"
-    flags = _flags(t, {"harmless": "harmless", "object": "object"})
-    return (
-        F.when(t == "", _result("empty", coverage="empty"))
-        .when(t.rlike(exact), _result(_part(t, exact, 1), text=F.concat(F.upper(F.substring(t, 1, 1)), t.substr(F.lit(2), F.length(t))), coverage="complete", flags=flags))
-        .when(t.startswith("yes"), _result("yes", flags=flags))
-        .when(t.startswith("no"), _result("no", flags=flags))
-        .otherwise(_result("special", coverage="review", issue="spell_resistance.review", flags=flags))
-    )
-
-
-READERS = {"casting_time": casting_time, "range": range_, "target": target_like, "effect": target_like, "area": target_like, "duration": duration, "saving_throw": saving_throw, "spell_resistance": spell_resistance}
+class Rule(NamedTuple):
+    """form: a pattern found in the lower-case text. category and unit may name its groups ($1); amount is a group, and # stands for the first number that a word follows, or that word."""
+
+    form: str
+    category: str
+    amount: str | None = None
+    unit: str | None = None
+    whole: bool = False
+
+
+# Wordings of the rules texts, in the order in which they count, with their categories.
+_ACTIONS = ["immediate", "swift", "free", "standard", "full-round"]
+_TIMES = ["round", "minute", "hour"]
+_REACH = {"personal": "", "touch": "", "close": "25 ft. + 5 ft./2 levels", "medium": "100 ft. + 10 ft./level", "long": "400 ft. + 40 ft./level", "unlimited": ""}
+_AIMS = ["creature", "object", "area", "emanation", "burst", "spread", "ray"]
+_SAVES = ["fortitude", "reflex", "will"]
+_NOTES = r"(?: \((?:harmless|object)(?:, (?:harmless|object))?\))?$"
+_FOUND = Rule(r"\d\s*[a-z-]", "timed", "#", "#")
+
+_aims = [Rule(w, w) for w in _AIMS]
+RULES: dict[str, list[Rule]] = {
+    "casting_time": [
+        Rule(rf"^(\d+) ({'|'.join(_ACTIONS)}) actions?$", "$2_action", "$1", "action", True),
+        Rule(rf"^(\d+) ({'|'.join(_TIMES)})s?$", "$2", "$1", "$2", True),
+        *[Rule(f"{w} action", f"{w}_action", "#", "action") for w in _ACTIONS],
+        *[Rule(w, w, "#", w) for w in _TIMES],
+    ],
+    "range": [
+        *[r for w, reach in _REACH.items() for r in (Rule(rf"^{w}(?: \({re.escape(reach)}\))?$" if reach else f"^{w}$", w, whole=True), Rule(f"^{w}", w))],
+        Rule(r"^(\d+) (?:ft\.?|foot|feet)$", "fixed", "$1", "ft", True),
+        Rule(r"^(\d+) miles?$", "fixed", "$1", "mile", True),
+        Rule(r"^\d", "fixed", "#", "#"),
+    ],
+    "target": _aims,
+    "effect": _aims,
+    "area": _aims,
+    "duration": [
+        Rule(r"^(instantaneous|permanent|concentration)(?: \(d\))?$", "$1", whole=True),
+        Rule(rf"^(\d+) ({'|'.join(_TIMES)}|day)s?(?:/level)?(?: \(d\))?$", "timed", "$1", "$2", True),
+        *[Rule(w, w) for w in ("instantaneous", "permanent", "concentration")],
+        _FOUND,
+    ],
+    "saving_throw": [Rule("^(?:none|no)$", "none", whole=True), Rule(rf"^({'|'.join(_SAVES)})(?: (?:negates|partial|half))?{_NOTES}", "$1", whole=True), *[Rule(w, w) for w in _SAVES], Rule("^no ", "none")],
+    "spell_resistance": [Rule(f"^(yes|no){_NOTES}", "$1", whole=True), Rule("^yes", "yes"), Rule("^no", "no")],
+}
+# What blank texts and texts of no known form are.
+_BLANK = {"saving_throw": "none"}
+_OTHER = dict.fromkeys(("target", "effect", "area"), ("text", "target_effect_area.review"))
+# Flags by the words that set them.
+FLAGS: dict[str, dict[str, str]] = {
+    "duration": {"concentration": "concentration", "discharge": "discharge", "dismissible": r"\(d\)|dismissible", "per_level": rf"^\d+ (?:{'|'.join(_TIMES)}|day)s?/level(?: \(d\))?$"},
+    "saving_throw": {"allows_save": "^(?!none$|no$|$)"} | {w: w for w in (*_SAVES, "partial", "negates", "half", "harmless", "object")},
+    "spell_resistance": {"harmless": "harmless", "object": "object"},
+}
+#: How a text that is covered whole is rewritten.
+_AGREE = [(r"^0+(?=\d)", ""), (r"^1 ([a-z -]+?)s?(?=$|/| \()", "1 $1"), (r"^(?!1 )(\d+ [a-z -]+?)s?(?=$|/| \()", "$1s")]
+_REWRITE: dict[str, list[tuple[str, str]]] = {
+    "casting_time": _AGREE,
+    "range": [(f"^{w}$", f"{w} ({reach})") for w, reach in _REACH.items() if reach] + [(r"(?<=\d) (?:ft\.?|foot|feet)$", " ft."), *_AGREE],
+    "duration": [*_AGREE, (r"\(d\)$", "(D)")],
+    "saving_throw": [("^no$", "none")],
+}
+
+
+def _fill(template: str | None, t: Column, form: str) -> Column:
+    """A template with the groups of a form put in; blanks and hyphens of categories become underscores."""
+    if template is None:
+        return F.lit(None).cast("string")
+    parts = re.split(r"(\$\d)", template)
+    return F.concat(*[F.regexp_extract(t, form, int(p[1])) if p.startswith("$") else F.lit(p) for p in parts if p])
+
+
+def _read(kind: str, c: Column) -> Column:
+    t = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    number = lambda g: F.nullif(F.regexp_extract(t, r"(\d+)\s*([a-z-]+)", g), F.lit(""))
+    text = t
+    for old, new in _REWRITE.get(kind, []):
+        text = F.regexp_replace(text, old, new)
+    text = F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))
+    flags = F.array_join(F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in sorted(FLAGS.get(kind, {}).items())])), ",") if kind in FLAGS else F.lit("")
+
+    def told(category: Column, amount: Column, unit: Column, normalized: Column, coverage: str, issue: str | None) -> Column:
+        values = {"category": category, "amount": amount.cast("int"), "unit": unit, "flags": flags, "normalized_text": normalized, "coverage": F.lit(coverage), "issue_code": F.lit(issue).cast("string")}
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    none = F.lit(None).cast("string")
+    found = [F.when(t == "", told(F.lit(_BLANK.get(kind, "empty")), none, none, none, "empty", None))]
+    for r in RULES[kind]:
+        category = F.translate(_fill(r.category, t, r.form), "- ", "__")
+        amount = number(1) if r.amount == "#" else _fill(r.amount, t, r.form)
+        unit = number(2) if r.unit == "#" else _fill(r.unit, t, r.form)
+        found.append(F.when(t.rlike(r.form), told(category, amount, unit, text if r.whole else none, "complete" if r.whole else "partial", None)))
+    category, issue = _OTHER.get(kind, ("special", f"{kind}.review"))
+    return F.coalesce(*found, told(F.lit(category), none, none, none, "review", issue))
+
+
+READERS = {kind: (lambda c, kind=kind: _read(kind, c)) for kind in TYPES}
 
 
 def display_errors(value: Column) -> Column:
-    """Broken invariants of a mechanic struct: complete has a text and no other coverage has, review has an issue and no other has."""
-    complete, review = value["coverage"] == "complete", value["coverage"] == "review"
-    has_text, has_issue = value["normalized_text"].isNotNull(), value["issue_code"].isNotNull()
-    return F.array_compact(F.array(F.when(complete & ~has_text, "text-missing"), F.when(~complete & has_text, "text-unexpected"), F.when(review & ~has_issue, "issue-missing"), F.when(~review & has_issue, "issue-unexpected")))
+    """Names of the invariants that a mechanic struct breaks: complete has a text and no other coverage has, review has an issue and no other has."""
+    broken = []
+    for coverage, field, name in (("complete", "normalized_text", "text"), ("review", "issue_code", "issue")):
+        due, there = value["coverage"] == coverage, value[field].isNotNull()
+        broken += [F.when(due & ~there, f"{name}-missing"), F.when(~due & there, f"{name}-unexpected")]
+    return F.array_compact(F.array(*broken))

@@ -250,49 +250,79 @@ def q_components_wide(spark, d):
 _N = "lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')))"
 
 
-def _when_chain(t: str, field: str) -> str:
-    """category|amount|unit|coverage of a mechanic text, in SQL."""
-    num, unit = f"nullif(regexp_extract({t}, '([0-9]+)\\s*([a-z-]+)', 1), '')", f"nullif(regexp_extract({t}, '([0-9]+)\\s*([a-z-]+)', 2), '')"
-    row = lambda c, a, u, v: f"concat_ws('|', {c}, coalesce({a}, ''), coalesce({u}, ''), '{v}')"
+# What the rules texts say of each field, for SQL: (condition, category, amount, unit, text) in order; a text makes it complete.
+_N1, _N2 = "regexp_extract(t, '^([0-9]+)', 1)", "nullif(regexp_extract(t, '([0-9]+)\\s*([a-z-]+)', 1), '')"
+_U2 = "nullif(regexp_extract(t, '([0-9]+)\\s*([a-z-]+)', 2), '')"
+_D = "CASE WHEN t LIKE '% (d)' THEN ' (D)' ELSE '' END"
+_CAP = "upper(t[1]) || t[2:]"
+
+
+def _count_of(noun: str) -> str:
+    return f"CAST({_N1} AS INT) || ' {noun}' || CASE WHEN CAST({_N1} AS INT) = 1 THEN '' ELSE 's' END"
+
+
+def _mechanic_rows(field: str) -> list[tuple[str, str, str, str, str | None]]:
+    has = lambda w: f"contains(t, '{w}')"
+    none = "NULL"
     if field == "casting_time":
-        acts = "immediate action|swift action|free action|standard action|full-round action"
-        a, b = f"^([0-9]+) ({acts})s?$", "^([0-9]+) (round|minute|hour)s?$"
-        out = [f"WHEN {t} = '' THEN 'empty|||empty'", f"WHEN regexp_matches({t}, '{a}') THEN {row(f"replace(replace(regexp_extract({t}, '{a}', 2), '-', '_'), ' ', '_')", f"regexp_extract({t}, '{a}', 1)", "'action'", 'complete')}", f"WHEN regexp_matches({t}, '{b}') THEN {row(f"regexp_extract({t}, '{b}', 2)", f"regexp_extract({t}, '{b}', 1)", f"regexp_extract({t}, '{b}', 2)", 'complete')}"]
-        out += [f"WHEN contains({t}, '{w}') THEN {row(repr(w.replace('-', '_').replace(' ', '_')), num, chr(39) + 'action' + chr(39), 'partial')}" for w in acts.split("|")]
-        out += [f"WHEN contains({t}, '{w}') THEN {row(repr(w), num, repr(w), 'partial')}" for w in ("round", "minute", "hour")]
-        return f"CASE {' '.join(out)} ELSE 'special|||review' END"
+        acts, times = ["immediate", "swift", "free", "standard", "full-round"], ["round", "minute", "hour"]
+        out = [(f"regexp_full_match(t, '[0-9]+ {a} actions?')", f"'{a.replace('-', '_')}_action'", _N1, "'action'", _count_of(f"{a} action")) for a in acts]
+        out += [(f"regexp_full_match(t, '[0-9]+ {u}s?')", f"'{u}'", _N1, f"'{u}'", _count_of(u)) for u in times]
+        out += [(has(f"{a} action"), f"'{a.replace('-', '_')}_action'", _N2, "'action'", None) for a in acts]
+        return out + [(has(u), f"'{u}'", _N2, f"'{u}'", None) for u in times]
     if field == "range_text":
-        f = "^([0-9]+) (ft\\.?|foot|feet|mile|miles)$"
-        out = [f"WHEN {t} = '' THEN 'empty|||empty'"]
-        for w in ("personal", "touch", "close", "medium", "long", "unlimited"):
-            full = {"close": "close (25 ft. + 5 ft./2 levels)", "medium": "medium (100 ft. + 10 ft./level)", "long": "long (400 ft. + 40 ft./level)"}.get(w, w)
-            out += [f"WHEN {t} IN ('{w}', '{full}') THEN '{w}|||complete'", f"WHEN starts_with({t}, '{w}') THEN '{w}|||partial'"]
-        out += [f"WHEN regexp_matches({t}, '{f}') THEN {row(repr('fixed'), f"regexp_extract({t}, '{f}', 1)", f"CASE WHEN starts_with(regexp_extract({t}, '{f}', 2), 'f') THEN 'ft' ELSE 'mile' END", 'complete')}", f"WHEN regexp_matches({t}, '^[0-9]') THEN {row(repr('fixed'), num, unit, 'partial')}"]
-        return f"CASE {' '.join(out)} ELSE 'special|||review' END"
+        full = {"personal": "Personal", "touch": "Touch", "close": "Close (25 ft. + 5 ft./2 levels)", "medium": "Medium (100 ft. + 10 ft./level)", "long": "Long (400 ft. + 40 ft./level)", "unlimited": "Unlimited"}
+        out = []
+        for w, text in full.items():
+            out += [(f"t IN ('{w}', '{text.lower()}')", f"'{w}'", none, none, f"'{text}'"), (f"starts_with(t, '{w}')", f"'{w}'", none, none, None)]
+        out.append(("regexp_full_match(t, '[0-9]+ (ft|ft\\.|foot|feet)')", "'fixed'", _N1, "'ft'", f"CAST({_N1} AS INT) || ' ft.'"))
+        return [*out, ("regexp_full_match(t, '[0-9]+ miles?')", "'fixed'", _N1, "'mile'", _count_of("mile")), ("regexp_matches(t, '^[0-9]')", "'fixed'", _N2, _U2, None)]
     if field == "duration":
-        f = "^([0-9]+) (round|minute|hour|day)s?(/level)?( \\(d\\))?$"
-        return (
-            f"CASE WHEN {t} = '' THEN 'empty|||empty' WHEN regexp_matches({t}, '^(instantaneous|permanent)( \\(d\\))?$') THEN {row(f"regexp_extract({t}, '^(instantaneous|permanent)', 1)", "''", "''", 'complete')} WHEN {t} IN ('concentration', 'concentration (d)') THEN 'concentration|||complete' "
-            f"WHEN regexp_matches({t}, '{f}') THEN {row(repr('timed'), f"regexp_extract({t}, '{f}', 1)", f"regexp_extract({t}, '{f}', 2)", 'complete')} WHEN contains({t}, 'instantaneous') THEN 'instantaneous|||partial' WHEN contains({t}, 'permanent') THEN 'permanent|||partial' WHEN contains({t}, 'concentration') THEN 'concentration|||partial' "
-            f"WHEN {num} IS NOT NULL THEN {row(repr('timed'), num, unit, 'partial')} ELSE 'special|||review' END"
-        )
+        out = [(f"t IN ('{w}', '{w} (d)')", f"'{w}'", none, none, f"'{w.capitalize()}' || {_D}") for w in ("instantaneous", "permanent", "concentration")]
+        out += [(f"regexp_full_match(t, '[0-9]+ {u}s?(/level)?( \\(d\\))?')", "'timed'", _N1, f"'{u}'", f"{_count_of(u)} || CASE WHEN contains(t, '/level') THEN '/level' ELSE '' END || {_D}") for u in ("round", "minute", "hour", "day")]
+        return [*out, *[(has(w), f"'{w}'", none, none, None) for w in ("instantaneous", "permanent", "concentration")], (f"{_N2} IS NOT NULL", "'timed'", _N2, _U2, None)]
+    notes = "( \\((harmless|object)(, (harmless|object))?\\))?"
     if field == "saving_throw":
-        x = "^(fortitude|reflex|will)( (negates|partial|half))?( \\((harmless|object)(, (harmless|object))?\\))?$"
-        return f"CASE WHEN {t} = '' THEN 'none|||empty' WHEN {t} IN ('none', 'no') THEN 'none|||complete' WHEN regexp_matches({t}, '{x}') THEN {row(f"regexp_extract({t}, '{x}', 1)", "''", "''", 'complete')} WHEN contains({t}, 'fortitude') THEN 'fortitude|||partial' WHEN contains({t}, 'reflex') THEN 'reflex|||partial' WHEN contains({t}, 'will') THEN 'will|||partial' WHEN starts_with({t}, 'no ') THEN 'none|||partial' ELSE 'special|||review' END"
+        out = [("t IN ('none', 'no')", "'none'", none, none, "'None'")]
+        out += [(f"regexp_full_match(t, '{w}( (negates|partial|half))?{notes}')", f"'{w}'", none, none, _CAP) for w in ("fortitude", "reflex", "will")]
+        return [*out, *[(has(w), f"'{w}'", none, none, None) for w in ("fortitude", "reflex", "will")], ("starts_with(t, 'no ')", "'none'", none, none, None)]
     if field == "spell_resistance":
-        x = "^(yes|no)( \\((harmless|object)(, (harmless|object))?\\))?$"
-        return f"CASE WHEN {t} = '' THEN 'empty|||empty' WHEN regexp_matches({t}, '{x}') THEN {row(f"regexp_extract({t}, '{x}', 1)", "''", "''", 'complete')} WHEN starts_with({t}, 'yes') THEN 'yes|||partial' WHEN starts_with({t}, 'no') THEN 'no|||partial' ELSE 'special|||review' END"
-    return f"CASE WHEN {t} = '' THEN 'empty|||empty' {' '.join(f"WHEN contains({t}, '{w}') THEN '{w}|||partial'" for w in ('creature', 'object', 'area', 'emanation', 'burst', 'spread', 'ray'))} ELSE 'text|||review' END"
+        return [*[(f"regexp_full_match(t, '{w}{notes}')", f"'{w}'", none, none, _CAP) for w in ("yes", "no")], *[(f"starts_with(t, '{w}')", f"'{w}'", none, none, None) for w in ("yes", "no")]]
+    return [(has(w), f"'{w}'", none, none, None) for w in ("creature", "object", "area", "emanation", "burst", "spread", "ray")]
+
+
+_SQL_FLAGS = {
+    "duration": [("concentration", "contains(t, 'concentration')"), ("discharge", "contains(t, 'discharge')"), ("dismissible", "contains(t, '(d)') OR contains(t, 'dismissible')"), ("per_level", "regexp_full_match(t, '[0-9]+ (round|minute|hour|day)s?/level( \\(d\\))?')")],
+    "saving_throw": [("allows_save", "t NOT IN ('', 'none', 'no')"), *[(w, f"contains(t, '{w}')") for w in ("fortitude", "half", "harmless", "negates", "object", "partial", "reflex", "will")]],
+    "spell_resistance": [(w, f"contains(t, '{w}')") for w in ("harmless", "object")],
+}
+
+
+def _when_chain(t: str, field: str) -> str:
+    """category|amount|unit|flags|text|coverage|issue of a mechanic text, in SQL."""
+    kind = {"range_text": "range"}.get(field, field)
+    review = f"{kind}.review" if field in ("casting_time", "range_text", "duration", "saving_throw", "spell_resistance") else "target_effect_area.review"
+    flags = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _SQL_FLAGS[field]) + ")" if field in _SQL_FLAGS else "''"
+    row = lambda c, a, u, x, v, i: f"concat_ws('|', {c}, coalesce(CAST(CAST({a} AS INT) AS VARCHAR), ''), coalesce({u}, ''), {flags}, {x or chr(39) * 2}, '{v}', '{i}')"
+    blank = "'none'" if field == "saving_throw" else "'empty'"
+    out = [f"WHEN t = '' THEN {row(blank, 'NULL', 'NULL', None, 'empty', '')}"]
+    out += [f"WHEN {cond} THEN {row(c, a, u, x, 'complete' if x else 'partial', '')}" for cond, c, a, u, x in _mechanic_rows(field)]
+    other = "'text'" if "target" in review else "'special'"
+    return f"(SELECT CASE {' '.join(out)} ELSE {row(other, 'NULL', 'NULL', None, 'review', review)} END FROM (SELECT {t} AS t))"
 
 
 _MECH = " UNION ALL ".join(f"SELECT id AS spell_id, '{t}' AS mechanic_type, {_when_chain(_N.format(c=c), c)} AS parsed FROM s" for t, c in normalize.MECHANIC_COLUMNS.items())
 
 
+def _flat(of):
+    """A mechanic's fields in one text; of gives a field by name."""
+    return F.concat_ws("|", *[F.coalesce(of(c).cast("string"), F.lit("")) for c in ("category", "amount", "unit", "flags", "normalized_text", "coverage", "issue_code")])
+
+
 @query(f"WITH {S} {_MECH}")
 def q_mechanics(spark, d):
     m = normalize.mechanics_of(spells(spark, d))
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return m.select("spell_id", "mechanic_type", F.concat_ws("|", "category", empty("amount"), empty("unit"), "coverage").alias("parsed"))
+    return m.select("spell_id", "mechanic_type", _flat(F.col).alias("parsed"))
 
 
 _MADE = """made AS (SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN p_size || ' round' || CASE WHEN p_size = 1 THEN '' ELSE 's' END WHEN 1 THEN '1 standard action' WHEN 2 THEN p_size || ' minutes or a swift action' WHEN 3 THEN '2 Full-Round  Actions' WHEN 4 THEN 'see text' WHEN 5 THEN '' ELSE 'one hour' END AS casting_time,
@@ -315,8 +345,7 @@ def q_mechanics_made(spark, d):
         "spell_resistance": case(3, ["Yes (harmless, object)", "no", "yes, see text"]),
     }
     readers = {"casting_time": "casting_time", "range_text": "range", "duration": "duration", "saving_throw": "saving_throw", "spell_resistance": "spell_resistance"}
-    flat = lambda m: F.concat_ws("|", m["category"], F.coalesce(m["amount"].cast("string"), F.lit("")), F.coalesce(m["unit"], F.lit("")), m["coverage"])
-    return p.select(k.alias("id"), *[flat(mechanics.READERS[readers[c]](v)).alias(c) for c, v in made.items()])
+    return p.select(k.alias("id"), *[_flat(lambda f, m=mechanics.READERS[readers[c]](v): m[f]).alias(c) for c, v in made.items()])
 
 
 @query("""WITH l AS (SELECT DISTINCT id, spell_id, level, nullif(trim(coalesce(extra, '')), '') AS t FROM dnd_spellclasslevel)
@@ -327,7 +356,7 @@ def q_list_extras(spark, d):
     return table(spark, d, "dnd_spellclasslevel").select("id", "spell_id", "level", "extra").distinct().select("id", e["variant_label"].alias("variant_label"), e["issue_code"].alias("issue_code"))
 
 
-@query(f"WITH {S}, m AS ({_MECH}) SELECT mechanic_type AS source_field, count(*) AS n FROM m WHERE split_part(parsed, '|', 4) = 'review' GROUP BY 1")
+@query(f"WITH {S}, m AS ({_MECH}) SELECT mechanic_type AS source_field, count(*) AS n FROM m WHERE split_part(parsed, '|', 6) = 'review' GROUP BY 1")
 def q_issues(spark, d):
     i = normalize.issues(spells(spark, d), table(spark, d, "dnd_spellclasslevel"))
     return i.where("source_table = 'dnd_spell'").groupBy("source_field").agg(F.count("*").alias("n"))

@@ -172,6 +172,14 @@ def test_mechanics(spark):
     assert m("duration", "1 round/level (D)", "Permanent", "Concentration + 2 rounds") == [("timed", 1, "round", "1 round/level (D)", "complete"), ("permanent", None, None, "Permanent", "complete"), ("concentration", None, None, None, "partial")]
     assert m("saving_throw", "Will negates (harmless)", "none", "no save") == [("will", None, None, "Will negates (harmless)", "complete"), ("none", None, None, "None", "complete"), ("none", None, None, None, "partial")]
     assert m("spell_resistance", "Yes (object)", "no; see text", "maybe")[0][3] == "Yes (object)"
+    full = lambda t, v: one(spark, mechanics.READERS[t], "a string", v)[0].asDict()
+    assert full("duration", "1 round/level (D)") == {"category": "timed", "amount": 1, "unit": "round", "flags": "dismissible,per_level", "normalized_text": "1 round/level (D)", "coverage": "complete", "issue_code": None}
+    assert (x := full("duration", "1 round/level or until discharged"))["category"] == "timed" and x["coverage"] == "partial" and x["normalized_text"] is None and x["flags"] == "discharge"
+    assert (x := full("target", "One creature/level, no two of which can be more than 30 ft. apart"))["category"] == "creature" and x["coverage"] == "partial"
+    assert full("range", "See text")["issue_code"] == "range.review" and full("spell_resistance", None)["coverage"] == "empty"
+    assert full("casting_time", "2 full-round action")["normalized_text"] == "2 full-round actions" and full("casting_time", "swift action or 1 immediate action")["category"] == "immediate_action"
+    assert full("range", "1 miles")["normalized_text"] == "1 mile" and full("range", "close")["normalized_text"] == "Close (25 ft. + 5 ft./2 levels)" and full("range", "20 feet")["normalized_text"] == "20 ft."
+    assert full("saving_throw", "Reflex half (object, harmless)")["flags"] == "allows_save,half,harmless,object,reflex" and full("saving_throw", "no")["normalized_text"] == "None"
     for t in mechanics.TYPES:
         assert all(x == [] for x in one(spark, lambda c: mechanics.display_errors(mechanics.READERS[t](c)), "a string", "1 round", "x", None, "will half", "yes"))
 

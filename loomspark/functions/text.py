@@ -169,12 +169,117 @@ def locale_order(c: Column) -> Column:
     return F.collate(c, "UNICODE")
 
 
-def numeric_order(c: Column, width: int = 12) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
+def numeric_order(c: Column) -> Column:
+    """Sort key in which runs of digits of any length compare as numbers: each has its number of digits before it, leading zeros away."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, width, "0")).otherwise(x)), "")
+    bare = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 10, "0"), F.lit("."), bare(x))).otherwise(x)), "")
 
 
 def true_flags(keys: Column, values: Column) -> Column:
     """Map of the flags that hold."""
     return F.map_filter(F.map_from_arrays(keys, values), lambda k, v: v)
+
+
+def typography(c: Column) -> Column:
+    """Compatibility form with straight quotes and single blanks, none outside."""
+    return squeeze(F.translate(nfkc(c), "‘’“”", "\'\'\"\""))
+
+
+# Component marks that may follow a name, and the modifiers that follow a comma.
+_MARK = r"\s*\((?:m|f|df|xp|v|s|af|x)\)\s*$"
+_MODIFIER = r",\s*(greater|lesser)$"
+
+
+def match_name(c: Column) -> Column:
+    """A name to be compared: lower case, without a component mark at the end, and 'x, greater' without its comma."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(squeeze(c)), _MARK, ""), _MODIFIER, " $1"))
+
+
+def name_variants(c: Column, aliases: Column | None = None) -> Column:
+    """Array of the names that a name stands for: its parts between ' / ', or between slashes that only repeat one name, without a running number at the end; aliases maps match names to more names."""
+    parts = lambda by: F.filter(F.transform(F.split(c, by), lambda x: F.trim(x)), lambda x: x != "")
+    spaced, close = parts(r"\s+/\s+"), parts("/")
+    one = F.size(F.array_distinct(F.transform(close, lambda x: F.regexp_replace(F.lower(x), r"\s+", "")))) == 1
+    named = F.when((F.size(spaced) == 1) & (F.size(close) > 1) & one, F.concat(spaced, close)).otherwise(spaced)
+    named = F.when(F.size(named) == 0, F.array(c)).otherwise(named)
+    bare = F.filter(F.transform(named, lambda x: F.trim(F.regexp_replace(x, r"\s+\d+$", ""))), lambda x: x != "")
+    every = F.array_distinct(F.concat(named, bare))
+    if aliases is None:
+        return every
+    more = F.flatten(F.transform(every, lambda x: F.coalesce(F.try_element_at(aliases, match_name(x)), F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(every, more))
+
+
+def school_key(c: Column) -> Column:
+    """'Evocation (b, a) [Fire and cold]' as 'evocation|a,b|cold,fire': case, order and spelling of the lists don't count; a text of another form gives its words."""
+    whole = r"^([^\[(]+?)(?:\s*\(([^)]*)\))?(?:\s*\[([^\]]*)\])?$"
+    t = squeeze(c)
+    words = lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), 0), " ")
+    listed = lambda g: F.array_join(F.array_sort(F.filter(F.transform(F.split(F.regexp_extract(t, whole, g), r"(?i)\s*(?:,|\band\b)\s*"), words), lambda x: x != "")), ",")
+    return F.when(t.rlike(whole), F.concat_ws("|", words(F.regexp_extract(t, whole, 1)), listed(2), listed(3))).otherwise(words(t))
+
+
+# Short forms of the owners in level lines.
+OWNER_ALIASES = {"brd": "Bard", "clr": "Cleric", "drd": "Druid", "pal": "Paladin", "rgr": "Ranger", "sor/wiz": "Sorcerer/Wizard", "wiz": "Wizard"}
+
+
+def level_entries(c: Column) -> Column:
+    """Array of struct(owner, level, domain) of a line such as 'Clr 3, Fire 4'; an owner without a short form is a domain."""
+    names = F.create_map(*[F.lit(x) for k, v in OWNER_ALIASES.items() for x in (k, v)])
+    good = F.filter(F.transform(F.split(c, r",\s*"), lambda x: F.trim(x)), lambda x: x.rlike(r"^.*?\s+\d+$"))
+    raw = lambda x: F.regexp_extract(x, r"^(.*?)\s+\d+$", 1)
+    return F.transform(good, lambda x: F.struct(F.coalesce(F.try_element_at(names, F.lower(raw(x))), raw(x)).alias("owner"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").alias("level"), F.try_element_at(names, F.lower(raw(x))).isNull().alias("domain")))
+
+
+def owner_key(c: Column) -> Column:
+    return F.regexp_replace(F.replace(F.lower(c), F.lit("sorcerer/wizard"), F.lit("sor/wiz")), "[^a-z/]", "")
+
+
+def level_key(c: Column) -> Column:
+    """A level line in one form: owners in letters only, sorted."""
+    return F.array_join(F.array_sort(F.transform(level_entries(c), lambda e: F.concat_ws(" ", owner_key(e["owner"]), e["level"].cast("string")))), ",")
+
+
+def component_key(flags: dict[str, Column], extra: Column) -> Column:
+    """V, S, M, F, DF, XP and the extra text of a spell's component flags, in that order; both foci are F/DF."""
+    f = {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
+    focus = F.when(f["arcane_focus"] & f["divine_focus"], "F/DF").when(f["arcane_focus"], "F").when(f["divine_focus"], "DF")
+    marks = [F.when(f["verbal"], "V"), F.when(f["somatic"], "S"), F.when(f["material"], "M"), focus, F.when(f["xp"], "XP"), F.nullif(F.trim(extra), F.lit(""))]
+    return F.concat_ws(", ", *marks)
+
+
+def tolerant_json(c: Column, schema: str) -> Column:
+    """JSON read as schema; null where the text isn't JSON of that kind."""
+    return F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp as 2021-03-01T10:00:00.000Z; null stays null."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def iso_date(c: Column) -> Column:
+    """2021-03-01 from '2021-3-1', 'March 1, 2021' and the like; a year or a year and month alone are kept as such; null for other texts."""
+    t = F.trim(c)
+    pad = lambda g: F.lpad(F.regexp_extract(t, r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?$", g), 2, "0")
+    year = F.regexp_extract(t, r"^(\d{4})", 1)
+    months = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+    named = r"(?i)^([a-z]+)\.?\s+(\d{1,2}),?\s+(\d{4})$"
+    month = F.array_position(F.array(*[F.lit(m[:3]) for m in months]), F.lower(F.substring(F.regexp_extract(t, named, 1), 1, 3)))
+    return (
+        F.when(t.rlike(r"^\d{4}$"), t)
+        .when(t.rlike(r"^\d{4}[-/.]\d{1,2}$"), F.concat_ws("-", year, pad(2)))
+        .when(t.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"), F.concat_ws("-", year, pad(2), pad(3)))
+        .when(t.rlike(named) & (month > 0), F.concat_ws("-", F.regexp_extract(t, named, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(t, named, 2), 2, "0")))
+    )
+
+
+def stable_json(columns: dict[str, Column]) -> Column:
+    """JSON of the columns with keys in order, nulls included."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def composite_id(*parts: Column) -> Column:
+    """Parts joined by ':'; null parts are '-', so that ids of different parts differ."""
+    return F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])

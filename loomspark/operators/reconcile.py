@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -146,71 +147,115 @@ def patch_errors(patch: DataFrame, base: DataFrame, parents: DataFrame, key: str
     return dup(key, "duplicate-id").unionByName(dup(name, "duplicate-name")).unionByName(exists).unionByName(orphan).distinct()
 
 
-def merge_reviews(previous: DataFrame, proposed: DataFrame, key: str) -> DataFrame:
-    """proposed (key, fingerprint, status) with the earlier status where the fingerprint is the same; carried says so."""
-    p = previous.select(key, F.col("fingerprint").alias("_f"), F.col("status").alias("_s"))
-    keep = F.equal_null("fingerprint", "_f") & F.col("_s").isNotNull()
-    return proposed.join(p, key, "left").select(key, "fingerprint", F.when(keep, F.col("_s")).otherwise(F.col("status")).alias("status"), keep.alias("carried"))
+#: What must be as it was for an earlier review to hold.
+EVIDENCE = ["category", "evidence_ids", "flags", "fingerprint"]
 
 
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
+def merge_reviews(previous: DataFrame, proposed: DataFrame, key: str, full: bool = False) -> DataFrame:
+    """proposed (key, EVIDENCE, status) with the earlier status where all of EVIDENCE is the same; carried says so.
 
+    full: a new status that is no longer 'proposed' takes the place of one that still is. One row per key is expected.
+    """
+    p = previous.select(key, *[F.col(c).alias(f"_{c}") for c in EVIDENCE], F.col("status").alias("_status"))
+    same = F.col("_status").isNotNull()
+    for c in EVIDENCE:
+        same = same & F.equal_null(c, f"_{c}")
+    if full:
+        same = same & ~((F.col("_status") == "proposed") & (F.col("status") != "proposed"))
+    carried = F.coalesce(same, F.lit(False))
+    return proposed.join(p, key, "left").select(key, *EVIDENCE, F.when(carried, F.col("_status")).otherwise(F.col("status")).alias("status"), carried.alias("carried"))
+
+
+def _typography(t: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", t).translate(_QUOTES).split())
+
+
+_QUOTES = str.maketrans("‘’“”", "''\"\"")
+_STOP = re.compile(r"[.!?](?=\s|$)")
 
-def _edit(text: str, op: str, find: str | None, value: str | None) -> tuple[str, str]:
-    find, value = find or "", value or ""
-    if op == "replace_full_body":
-        return (text, "already-present") if text == value else (value, "applied")
+
+def _edit_sentences(text: str, op: str, find: str, value: str, count: int) -> tuple[str, str]:
     if op == "replace_first_sentence":
-        m = _SENTENCE.match(text)
-        if m is None:
-            return text, "target-not-found"
-        new = value + text[m.end() :] if not m[0].endswith(" ") else value + " " + text[m.end() :]
-        return (text, "already-present") if text.startswith(value) and value else (new, "applied")
-    n = text.count(find) if find else 0
-    if op == "insert_before" and value + find in text or op == "insert_before_sentence_end" and value and value in text:
+        if text.startswith(value):
+            return text, "already-present"
+        cut = re.search(r"(?<=[.!?])\s+(?=[A-Z])", text)
+        return (f"{value} {text[cut.start():].strip()}", "applied") if cut else (text, "target-not-found")
+    at = text.find(find)
+    if op == "insert_before_sentence_end":
+        if value in text:
+            return text, "already-present"
+        stop = max(text.rfind(c, 0, len(text[:at].rstrip())) for c in ".!?") if at >= 0 else -1
+        return (f"{text[:stop]} {value}{text[stop:]}", "applied") if stop >= 0 else (text, "target-not-found")
+    if at < 0:
         return text, "already-present"
-    if n == 0:
-        return (text, "already-present") if op == "replace" and value and value in text or op in ("delete", "delete_sentences") else (text, "target-not-found")
-    if n > 1 and op != "delete_sentences":
-        return text, "target-ambiguous"
-    if op == "replace":
-        return text.replace(find, value), "applied"
-    if op == "insert_before":
-        return text.replace(find, value + find), "applied"
+    ends = [m.end() for m in _STOP.finditer(text, at)]
+    if len(ends) < count:
+        return text, "target-not-found"
+    rest = text[ends[count - 1] :] if count else text[at:]
+    return re.sub(r"\s+", " ", text[:at] + rest.lstrip()), "applied"
+
+
+def _edit_words(parts: dict[str, str], op: str, find: str, value: str, separator: str, last: bool) -> str:
+    """Edit the first of the parts (the text, then the fields) that holds the target; gives the status."""
+    target = _typography(find)
+    new = "" if op == "delete" else f"{value}{separator}{find}" if op == "insert_before" else value
+    plain = {k: _typography(v) for k, v in parts.items()}
     if op == "delete":
-        return text.replace(find, ""), "applied"
-    if op == "delete_sentences":
-        return "".join(m[0] for m in _SENTENCE.finditer(text) if find not in m[0]).rstrip(), "applied"
-    if op == "insert_before_sentence_end":
-        m = next(m for m in _SENTENCE.finditer(text) if find in m[0] or m.end() > text.index(find))
-        body = m[0].rstrip()
-        stop = len(body) - len(body.rstrip(".!?"))
-        at = m.start() + len(body) - stop
-        return text[:at] + value + text[at:], "applied"
-    return text, "unknown-op"
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("statuses", T.ArrayType(T.StringType()))]))
-def _fold_edits(text: pd.Series, edits: pd.Series) -> pd.DataFrame:
+        if not any(target in v for v in plain.values()):
+            return "already-present"
+    else:
+        wanted = _typography(new)
+        if any(wanted in v or re.sub(r"[.;:]$", "", wanted) in v for v in plain.values()):
+            return "already-present"
+    for k, v in plain.items():
+        at = v.rfind(target) if last else v.find(target)
+        if at >= 0:
+            parts[k] = v[:at] + new + v[at + len(target) :]
+            return "applied"
+    return "target-not-found"
+
+
+_TEXT = ""
+_FOLDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("statuses", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_FOLDED)
+def _fold_edits(text: pd.Series, fields: pd.Series, edits: pd.Series) -> pd.DataFrame:
     rows = []
-    for t, es in zip(text, edits):
-        t, out = t or "", []
+    for t, f, es in zip(text, fields, edits):
+        parts, out = {_TEXT: t or "", **{k: v for k, v in (dict(f) if f is not None else {}).items() if v is not None}}, []
         for e in es if es is not None else []:
-            t, status = _edit(t, e["op"], e["find"], e["value"])
+            op, find, value = e["op"], e["find"] or "", e["value"] or ""
+            if op == "replace_full_body":
+                status = "already-present" if _typography(parts[_TEXT]) == _typography(value) else "applied"
+                parts[_TEXT] = value
+            elif op in ("replace_first_sentence", "insert_before_sentence_end", "delete_sentences"):
+                parts[_TEXT], status = _edit_sentences(parts[_TEXT], op, find, value, 1 if e["count"] is None else int(e["count"]))
+            elif op in ("replace", "insert_before", "delete"):
+                status = _edit_words(parts, op, find, value, " " if e["separator"] is None else e["separator"], e["occurrence"] == "last")
+            else:
+                status = "unknown-op"
             out.append(status)
-        rows.append((t, out))
-    return pd.DataFrame(rows, columns=["text", "statuses"])
+        rows.append((parts.pop(_TEXT), parts, out))
+    return pd.DataFrame(rows, columns=["text", "fields", "statuses"])
 
 
-def apply_text_edits(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text, statuses after a text's edits (key, edit_no, op, find, value) in order.
+def apply_text_edits(texts: DataFrame, edits: DataFrame, key: str, text: str, fields: str | None = None) -> DataFrame:
+    """key, text, fields, statuses after the edits of a text and its fields (a map column) in order of edit_no.
 
-    Edits: replace, insert_before, delete, replace_full_body, replace_first_sentence, delete_sentences and
-    insert_before_sentence_end. A target that isn't there, or stands several times, leaves the text as it is.
+    edits: key, edit_no, op, find, value and, where they are given, count, occurrence and separator. replace, delete and
+    insert_before (with separator, a blank if null) change the first (or last) place of find in the text or else in a
+    field, whatever its quotes and blanks; replace_full_body and replace_first_sentence put value in place;
+    insert_before_sentence_end puts value before the end of the sentence before the one that begins with find;
+    delete_sentences takes count sentences away from find on. A status is applied, already-present (also for what is to
+    go and isn't there) or target-not-found; only the first changes anything. An unknown op is unknown-op.
     """
-    listed = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("edit_no", "op", "find", "value"))).alias("_e"))
-    out = texts.select(key, text).join(listed, key, "left").withColumn("_r", _fold_edits(F.col(text), F.col("_e")))
-    return out.select(key, F.col("_r.text").alias("text"), F.coalesce("_r.statuses", F.array().cast("array<string>")).alias("statuses"))
+    optional = {"count": "int", "occurrence": "string", "separator": "string"}
+    given = [F.col(c).cast(t).alias(c) if c in edits.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
+    listed = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("edit_no", "op", "find", "value", *given))).alias("_e"))
+    kept = F.col(fields) if fields else F.lit(None).cast("map<string,string>")
+    out = texts.select(key, F.col(text).alias("_t"), kept.alias("_f")).join(listed, key, "left").withColumn("_r", _fold_edits("_t", "_f", "_e"))
+    return out.select(key, "_r.text", "_r.fields", F.coalesce("_r.statuses", F.array().cast("array<string>")).alias("statuses"))
 
 
 def inventory(rows: DataFrame, key: str, checks: list[tuple[str, Column]], default: str) -> DataFrame:

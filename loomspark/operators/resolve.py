@@ -11,8 +11,8 @@ MAX_HOPS = 8
 def alias_chain(names: DataFrame, aliases: DataFrame, column: str = "name") -> DataFrame:
     """names with final_name and hops: aliases (from_name, to_name) followed up to MAX_HOPS, whatever the case, stopping before a name is met twice.
 
-    Of several aliases of one name the smallest counts. Each hop is a hash join with the alias table, and the
-    plan has MAX_HOPS of them; nothing loops on the driver.
+    Of several aliases of one name the smallest counts here; alias_names gives them all. Each hop is a hash join with
+    the alias table, and the plan has MAX_HOPS of them; nothing loops on the driver.
     """
     step = aliases.where("from_name is not null and to_name is not null").groupBy(F.lower("from_name").alias("_from")).agg(F.min("to_name").alias("_to"))
     out = names.withColumn("final_name", F.col(column)).withColumn("hops", F.lit(0)).withColumn("_seen", F.array(F.lower(column)))
@@ -24,6 +24,14 @@ def alias_chain(names: DataFrame, aliases: DataFrame, column: str = "name") -> D
     return out.drop("_seen")
 
 
+def alias_names(names: DataFrame, chain: DataFrame, more: DataFrame, column: str = "name") -> DataFrame:
+    """column, candidate: every name to look a name up by: itself, the end of its alias chain, and what more (from_name, to_name) adds to either, each once whatever the case."""
+    ends = alias_chain(names.select(column).where(F.col(column).isNotNull()).distinct(), chain, column)
+    both = ends.select(column, F.explode(F.array(F.col(column), F.col("final_name"))).alias("candidate"))
+    added = both.join(more.where("to_name is not null").select(F.lower("from_name").alias("_k"), "to_name"), F.lower("candidate") == F.col("_k")).select(column, F.col("to_name").alias("candidate"))
+    return both.unionByName(added).groupBy(column, F.lower("candidate").alias("_k")).agg(F.min("candidate").alias("candidate")).drop("_k")
+
+
 def scoped_or_global(rows: DataFrame, targets: DataFrame, key: str, scope: str, target: str) -> DataFrame:
     """rows joined to targets by key within their scope, and across scopes where that finds none; match_scope says which."""
     scoped = rows.join(targets.select(key, scope, target), [key, scope]).withColumn("match_scope", F.lit("scoped"))
@@ -57,14 +65,31 @@ def first_that_matches(names: DataFrame, name: str, target: str, sources: list[D
 
 
 def resolve_label(rows: DataFrame, label: Column, rules: list[tuple[str, DataFrame]]) -> DataFrame:
-    """rows with target and rule: the first lookup (key, target) whose key the label equals, whatever the case; lookups with several targets for a key name none."""
-    out = rows.withColumn("_label", F.lower(F.trim(label))).withColumn("target", F.lit(None).cast("int")).withColumn("rule", F.lit(None).cast("string"))
+    """rows with target and rule: the first lookup (key, target) whose key the label, or what follows its last ':', equals, whatever the case; lookups with several targets for a key name none.
+
+    For each lookup the whole label is tried first; a hit by what follows the colon has ':suffix' after its rule.
+    """
+    whole = F.lower(F.trim(label))
+    tail = F.trim(F.element_at(F.split(whole, ":"), -1))
+    out = rows.withColumn("_label", whole).withColumn("_tail", F.when(tail != whole, tail)).withColumn("target", F.lit(None).cast("int")).withColumn("rule", F.lit(None).cast("string"))
     for name, lookup in rules:
-        sure = lookup.where("key is not null").groupBy(F.lower("key").alias("_label")).agg(F.min("target").alias("_target"), F.count_distinct("target").alias("_n")).where("_n = 1").drop("_n")
-        out = out.join(sure, "_label", "left")
-        hit = F.col("target").isNull() & F.col("_target").isNotNull()
-        out = out.withColumn("rule", F.when(hit, F.lit(name)).otherwise(F.col("rule"))).withColumn("target", F.coalesce("target", F.col("_target").cast("int"))).drop("_target")
-    return out.drop("_label")
+        sure = lookup.where("key is not null").groupBy(F.lower("key").alias("_k")).agg(F.min("target").cast("int").alias("_target"), F.count_distinct("target").alias("_n")).where("_n = 1").drop("_n")
+        out = out.join(sure.select(F.col("_k").alias("_label"), F.col("_target").alias("_t1")), "_label", "left").join(sure.select(F.col("_k").alias("_tail"), F.col("_target").alias("_t2")), "_tail", "left")
+        hit = F.when(F.col("_t1").isNotNull(), name).when(F.col("_t2").isNotNull(), f"{name}:suffix")
+        out = out.withColumn("rule", F.coalesce("rule", F.when(F.col("target").isNull(), hit))).withColumn("target", F.coalesce("target", "_t1", "_t2")).drop("_t1", "_t2")
+    return out.drop("_label", "_tail")
+
+
+def lookup_ids(rows: DataFrame, label: str, lookup: DataFrame, order: str, required: bool = False) -> DataFrame:
+    """rows with target and error: the lookup (key, target) whose key equals the label but for case and outer blanks; of several rows with one key the last by order counts.
+
+    error is required (a blank label, where one is required) or not-found; a label that may be blank and is has neither.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    last = lookup.where("key is not null").groupBy(fold(F.col("key")).alias("_k")).agg(F.max_by("target", order).alias("target"))
+    blank = F.coalesce(F.trim(label) == "", F.lit(True))
+    out = rows.withColumn("_k", fold(F.col(label))).join(last, "_k", "left").drop("_k")
+    return out.withColumn("error", F.when(blank, F.lit("required") if required else F.lit(None).cast("string")).when(F.col("target").isNull(), "not-found"))
 
 
 def same_key_pairs(df: DataFrame, key: str, row_id: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.operators import browse, filters, search
+from loomspark.operators import browse, filters, normalize, search
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,10 +72,10 @@ def q_facet_or(spark, d):
     return filters.with_facet(spells(spark, d).select("id"), f, "id", any_)
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) = 3)")
+@query(f"WITH {S}, c AS (SELECT id, 'verbal' AS k FROM s WHERE verbal_component UNION ALL SELECT id, 'material' FROM s WHERE material_component UNION ALL SELECT id, 'arcane_focus' FROM s WHERE arcane_focus_component) SELECT id FROM c GROUP BY id HAVING count(DISTINCT k) = 3")
 def q_component_all(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag")
-    return filters.with_all(table(spark, d, "part").select("p_partkey"), li, "p_partkey", "l_returnflag", ["A", "N", "R"])
+    held = normalize.components(spells(spark, d)).where("present").select(F.col("spell_id").alias("id"), "component_type")
+    return filters.with_all(spells(spark, d).select("id"), held, "id", "component_type", ["verbal", "material", "arcane_focus"])
 
 
 @query(f"""WITH {S}, {E} SELECT id, name FROM s WHERE EXISTS (SELECT 1 FROM e WHERE e.spell_id = s.id AND ((list_type = 'class' AND owner_id IN (1, 2)) OR (list_type = 'descriptor' AND owner_id IN (3))) AND level = 0)""")
@@ -187,12 +187,3 @@ def q_fts_trigram_index(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     maybe = search.candidates(search.postings(docs, "doc_id", ["text"]), "doc_id", "lantern")
     return docs.join(maybe, "doc_id", "left_semi").where(search.occurrences(F.col("text"), "lantern") > 0).select("doc_id")
-
-
-@query(f"""WITH {S}, t AS (SELECT DISTINCT spell_id, lang, variant, name, description_text FROM i18n_spell_text), l AS (SELECT s.id, t.lang, t.variant, CASE WHEN trim(coalesce(t.name, '')) = '' THEN s.name ELSE t.name END AS name, coalesce(t.description_text, s.description) AS body, s.name AS own
- FROM t JOIN s ON s.id = t.spell_id), al AS (SELECT id, 'en' AS lang, 'default' AS variant, name, description AS body FROM s WHERE id NOT IN (SELECT id FROM l WHERE lang = 'en' AND variant = 'default') UNION ALL SELECT id, lang, variant, name, body FROM l)
-SELECT lang, variant, count(*) AS docs, count(DISTINCT id) AS spells, CAST(sum(length(name)) AS BIGINT) AS name_chars, CAST(sum(length(body)) AS BIGINT) AS body_chars FROM al GROUP BY lang, variant""")
-def q_search_documents(spark, d):
-    t = table(spark, d, "i18n_spell_text").select(F.col("spell_id").alias("id"), "lang", "variant", "name", "description_text").distinct()
-    docs = search.build_documents(spells(spark, d).select("id", "name", "slug", "description"), t, "id")
-    return docs.groupBy("lang", "variant").agg(F.count("*").alias("docs"), F.count_distinct("id").alias("spells"), F.sum(F.length("name")).cast("long").alias("name_chars"), F.sum(F.length("body")).cast("long").alias("body_chars"))

@@ -69,9 +69,15 @@ def q_related_variants(spark, d):
     return ed.related_variants(spells(spark, d), "id", "name")
 
 
-@query("SELECT DISTINCT parsed_id, code FROM (SELECT parsed_id, 'long-name' AS code FROM parsed_spell WHERE length(trim(name)) > 60 UNION ALL SELECT parsed_id, 'colon' FROM parsed_spell WHERE contains(name, ':') UNION ALL SELECT parsed_id, 'digits' FROM parsed_spell WHERE regexp_matches(name, '[0-9]') UNION ALL SELECT parsed_id, 'lower-start' FROM parsed_spell WHERE regexp_matches(trim(name), '^[a-z]') UNION ALL SELECT parsed_id, 'empty' FROM parsed_spell WHERE trim(name) = '') q")
+_NAMED = "n AS (SELECT DISTINCT parsed_id, name || CASE parsed_id % 5 WHEN 0 THEN ': ' || source WHEN 1 THEN ' ' || page WHEN 2 THEN ' ' || repeat('of the old order ', 4) ELSE '' END AS name FROM parsed_spell UNION SELECT DISTINCT -parsed_id, lower(name) FROM parsed_spell)"
+
+
+@query(f"WITH {_NAMED} SELECT parsed_id, code FROM (SELECT parsed_id, 'long-name' AS code FROM n WHERE length(trim(name)) > 60 UNION SELECT parsed_id, 'colon' FROM n WHERE contains(name, ':') UNION SELECT parsed_id, 'digits' FROM n WHERE regexp_matches(name, '[0-9]') UNION SELECT parsed_id, 'lower-start' FROM n WHERE regexp_matches(trim(name), '^[a-z]') UNION SELECT parsed_id, 'empty' FROM n WHERE trim(coalesce(name, '')) = '') q")
 def q_parsed_name_issues(spark, d):
-    return table(spark, d, "parsed_spell").select("parsed_id", F.explode(ed.parsed_name_issues(F.col("name"))).alias("code")).distinct()
+    p, k = table(spark, d, "parsed_spell"), F.col("parsed_id") % 5
+    tail = F.when(k == 0, F.concat(F.lit(": "), "source")).when(k == 1, F.concat(F.lit(" "), "page")).when(k == 2, F.concat(F.lit(" "), F.repeat(F.lit("of the old order "), 4))).otherwise("")
+    named = p.select("parsed_id", F.concat("name", tail).alias("name")).unionByName(p.select((-F.col("parsed_id")).alias("parsed_id"), F.lower("name").alias("name")))
+    return named.select("parsed_id", F.explode(ed.parsed_name_issues(F.col("name"))).alias("code")).distinct()
 
 
 @query("SELECT id, CASE WHEN regexp_matches(lower(name), '^(handbook|manual)') THEN 'player' WHEN regexp_matches(lower(name), 'codex|compendium') THEN 'collection' WHEN regexp_matches(lower(name), 'atlas|gazetteer') THEN 'setting' ELSE 'other' END AS category FROM lookup_entry WHERE kind = 'rulebook'")
@@ -115,9 +121,9 @@ def q_apply_decisions(spark, d):
     return ed.apply_decisions(cand, dec, "rec_id", "spell_id")
 
 
-@query(f"WITH {S}, p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size % 22 END AS school_id, p_size AS page FROM part WHERE p_partkey % 3 = 0) SELECT p.id, CASE WHEN s.id IS NULL THEN 'missing' WHEN p.school_id IS NOT NULL AND p.school_id IS DISTINCT FROM s.school_id THEN 'mismatch' WHEN p.page IS NOT NULL AND p.page IS DISTINCT FROM s.page THEN 'mismatch' ELSE 'verified' END AS status, CASE WHEN s.id IS NULL THEN NULL WHEN p.school_id IS NOT NULL AND p.school_id IS DISTINCT FROM s.school_id THEN 'school_id' WHEN p.page IS NOT NULL AND p.page IS DISTINCT FROM s.page THEN 'page' END AS field FROM p LEFT JOIN s ON s.id = p.id")
+@query(f"WITH {S}, p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size % 22 END AS school_id, p_size AS page FROM part) SELECT p.id, CASE WHEN s.id IS NULL THEN 'missing' WHEN p.school_id IS NOT NULL AND p.school_id IS DISTINCT FROM s.school_id THEN 'mismatch' WHEN p.page IS NOT NULL AND p.page IS DISTINCT FROM s.page THEN 'mismatch' ELSE 'verified' END AS status, CASE WHEN s.id IS NULL THEN NULL WHEN p.school_id IS NOT NULL AND p.school_id IS DISTINCT FROM s.school_id THEN 'school_id' WHEN p.page IS NOT NULL AND p.page IS DISTINCT FROM s.page THEN 'page' END AS field FROM p LEFT JOIN s ON s.id = p.id")
 def q_verify_patch(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("int").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") % 22).cast("int").alias("school_id"), F.col("p_size").cast("int").alias("page"))
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") % 22).cast("int").alias("school_id"), F.col("p_size").cast("int").alias("page"))
     return ed.verify_patch(p, spells(spark, d), "id", ["school_id", "page"])
 
 

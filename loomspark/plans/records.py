@@ -31,9 +31,9 @@ def q_nullsafe_join(spark, d):
     return t.join(t.withColumnRenamed("id", "other_id"), ["spell_id", "level", "extra"]).where("other_id > id").select("id", "other_id")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT DISTINCT id, spell_id FROM dnd_spellclasslevel l WHERE NOT EXISTS (SELECT 1 FROM dnd_spell s WHERE s.id = l.spell_id)")
 def q_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "dnd_spellclasslevel").join(table(spark, d, "dnd_spell").select(F.col("id").alias("spell_id")), "spell_id", "left_anti").select("id", "spell_id").distinct()
 
 
 @query("SELECT coalesce(a.k, b.k) AS spell_id, CASE WHEN b.k IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT DISTINCT id AS k FROM dnd_spell) a FULL JOIN (SELECT DISTINCT spell_id AS k FROM i18n_spell_text) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
@@ -211,16 +211,6 @@ def q_multikey_match(spark, d):
     return resolve.match_any_key(z, spells(spark, d), "rec_id", "id", keys, [F.lower("name"), bare("name")])
 
 
-@query("""WITH n AS (SELECT DISTINCT parsed_id, source FROM parsed_spell WHERE source IS NOT NULL), b AS (SELECT id, name, abbr, name_zh FROM lookup_entry WHERE kind = 'rulebook'),
-u AS (SELECT rule, k, min(id) AS id FROM (SELECT 1 AS rule, lower(name) AS k, id FROM b UNION ALL SELECT 2, lower(abbr), id FROM b WHERE abbr IS NOT NULL UNION ALL SELECT 3, lower(name_zh), id FROM b) q GROUP BY rule, k HAVING count(DISTINCT id) = 1)
-SELECT parsed_id, target, rule FROM (SELECT n.parsed_id, u.id AS target, CASE u.rule WHEN 1 THEN 'name' WHEN 2 THEN 'abbr' WHEN 3 THEN 'zh' END AS rule, row_number() OVER (PARTITION BY n.parsed_id, n.source ORDER BY u.rule NULLS LAST) AS rk FROM n LEFT JOIN u ON u.k = lower(trim(n.source))) q WHERE rk = 1""")
-def q_label_cascade(spark, d):
-    b = table(spark, d, "lookup_entry").where("kind = 'rulebook'")
-    look = lambda c: b.where(F.col(c).isNotNull()).select(F.col(c).alias("key"), F.col("id").alias("target"))
-    rows = table(spark, d, "parsed_spell").where("source is not null").select("parsed_id", "source").distinct()
-    return resolve.resolve_label(rows, F.col("source"), [("name", look("name")), ("abbr", look("abbr")), ("zh", look("name_zh"))]).select("parsed_id", "target", "rule")
-
-
 @query(f"WITH {S} SELECT a.name, a.id AS id_a, b.id AS id_b, a.description = b.description AS same_text FROM s a JOIN s b ON a.name = b.name AND a.id < b.id")
 def q_self_join_reuse(spark, d):
     return resolve.same_key_pairs(spells(spark, d), "name", "id", "description")
@@ -311,7 +301,7 @@ def _when_chain(t: str, field: str) -> str:
     return f"(SELECT CASE {' '.join(out)} ELSE {row(other, 'NULL', 'NULL', None, 'review', review)} END FROM (SELECT {t} AS t))"
 
 
-_MECH = " UNION ALL ".join(f"SELECT id AS spell_id, '{t}' AS mechanic_type, {_when_chain(_N.format(c=c), c)} AS parsed FROM s" for t, c in normalize.MECHANIC_COLUMNS.items())
+MECHANIC_SQL = " UNION ALL ".join(f"SELECT id AS spell_id, '{t}' AS mechanic_type, {_when_chain(_N.format(c=c), c)} AS parsed FROM s" for t, c in normalize.MECHANIC_COLUMNS.items())
 
 
 def _flat(of):
@@ -319,7 +309,7 @@ def _flat(of):
     return F.concat_ws("|", *[F.coalesce(of(c).cast("string"), F.lit("")) for c in ("category", "amount", "unit", "flags", "normalized_text", "coverage", "issue_code")])
 
 
-@query(f"WITH {S} {_MECH}")
+@query(f"WITH {S} {MECHANIC_SQL}")
 def q_mechanics(spark, d):
     m = normalize.mechanics_of(spells(spark, d))
     return m.select("spell_id", "mechanic_type", _flat(F.col).alias("parsed"))
@@ -356,7 +346,7 @@ def q_list_extras(spark, d):
     return table(spark, d, "dnd_spellclasslevel").select("id", "spell_id", "level", "extra").distinct().select("id", e["variant_label"].alias("variant_label"), e["issue_code"].alias("issue_code"))
 
 
-@query(f"WITH {S}, m AS ({_MECH}) SELECT mechanic_type AS source_field, count(*) AS n FROM m WHERE split_part(parsed, '|', 6) = 'review' GROUP BY 1")
+@query(f"WITH {S}, m AS ({MECHANIC_SQL}) SELECT mechanic_type AS source_field, count(*) AS n FROM m WHERE split_part(parsed, '|', 6) = 'review' GROUP BY 1")
 def q_issues(spark, d):
     i = normalize.issues(spells(spark, d), table(spark, d, "dnd_spellclasslevel"))
     return i.where("source_table = 'dnd_spell'").groupBy("source_field").agg(F.count("*").alias("n"))
@@ -496,13 +486,13 @@ def q_dq_decisions(spark, d):
     return reconcile.decisions(table(spark, d, "i18n_spell_text").select("spell_id"), a, "spell_id", "match_method", ["alias", "slug", "exact-name"])
 
 
-@query("""WITH p AS (SELECT p_partkey % 1500 AS k, p_name || ' ' || (p_partkey % 300) AS name, CAST(p_size AS INTEGER) AS parent FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 30 = 0)
+@query("""WITH p AS (SELECT p_partkey % 1500 AS k, p_name || ' ' || (p_partkey % 300) AS name, CAST(p_size AS INTEGER) AS parent FROM part), b AS (SELECT 30 * p_partkey AS k FROM part)
 SELECT DISTINCT k, error FROM (SELECT k, 'duplicate-id' AS error FROM p WHERE k IN (SELECT k FROM p GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT k, 'duplicate-name' FROM p WHERE name IN (SELECT name FROM p GROUP BY 1 HAVING count(*) > 1)
  UNION ALL SELECT k, 'id-exists' FROM p WHERE k IN (SELECT k FROM b) UNION ALL SELECT k, 'parent-missing' FROM p WHERE parent NOT IN (SELECT n_nationkey FROM nation)) q""")
 def q_dq_patch(spark, d):
     p = table(spark, d, "part")
-    patch = p.where("p_partkey % 3 = 0").select((F.col("p_partkey") % 1500).alias("k"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 300).cast("string")).alias("name"), F.col("p_size").cast("int").alias("parent"))
-    base = p.where("p_partkey % 30 = 0").select(F.col("p_partkey").alias("k"))
+    patch = p.select((F.col("p_partkey") % 1500).alias("k"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 300).cast("string")).alias("name"), F.col("p_size").cast("int").alias("parent"))
+    base = p.select((F.col("p_partkey") * 30).alias("k"))
     return reconcile.patch_errors(patch, base, table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), "k", "name", "parent")
 
 
@@ -512,13 +502,6 @@ def q_label_audit(spark, d):
     return reconcile.label_audit(table(spark, d, "parsed_spell").select("parsed_id", "source").distinct(), "parsed_id", "source")
 
 
-@query(f"WITH {_A}, {_B} SELECT b.k, sha256(concat_ws(chr(31), CAST(b.k AS VARCHAR), coalesce(b.name, chr(0)))) AS fingerprint, CASE WHEN a.k IS NOT NULL AND a.name = b.name THEN 'accepted' ELSE 'proposed' END AS status, (a.k IS NOT NULL AND a.name = b.name) AS carried FROM b LEFT JOIN a ON a.k = b.k")
-def q_merge_reviews(spark, d):
-    a, b, _ = _snapshots(spark, d)
-    fp = lambda df, s: df.select("k", tx.fingerprint(F.col("k"), F.col("name")).alias("fingerprint"), F.lit(s).alias("status"))
-    return reconcile.merge_reviews(fp(a, "accepted"), fp(b, "proposed"), "k")
-
-
 @query(f"WITH {S} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM lookup_entry l WHERE l.kind = 'rulebook' AND l.id = s.rulebook_id AND l.deleted_at IS NOT NULL) THEN 'deferred' WHEN verified THEN 'verified' WHEN contains(name, ',') THEN 'variant' ELSE 'candidate' END AS disposition FROM s")
 def q_inventory(spark, d):
     gone = table(spark, d, "lookup_entry").where("kind = 'rulebook' and deleted_at is not null").select(F.col("id").alias("rulebook_id"), F.lit(True).alias("gone")).distinct()
@@ -526,30 +509,16 @@ def q_inventory(spark, d):
     return reconcile.inventory(s, "id", [("deferred", F.coalesce("gone", F.lit(False))), ("verified", F.col("verified")), ("variant", F.contains("name", F.lit(",")))], "candidate")
 
 
-def q_text_edits(spark, d):
-    """Rows only: a fold over edits in order has no SQL; the small tests hold it against a plain loop."""
-    s = spells(spark, d).select("id", "description")
-    edits = s.select("id", F.explode(F.array(
-        F.struct(F.lit(1).alias("edit_no"), F.lit("replace").alias("op"), F.lit("The caster").alias("find"), F.lit("Whoever casts").alias("value")),
-        F.struct(F.lit(2).alias("edit_no"), F.lit("delete_sentences").alias("op"), F.lit("temporary marks").alias("find"), F.lit(None).cast("string").alias("value")),
-        F.struct(F.lit(3).alias("edit_no"), F.lit("insert_before").alias("op"), F.lit("points of").alias("find"), F.lit("full ").alias("value")),
-    )).alias("e")).select("id", "e.*")
-    return reconcile.apply_text_edits(s, edits, "id", "description").select("id", "text", F.array_join("statuses", ",").alias("statuses"))
-
-
-QUERIES["q_text_edits"] = q_text_edits
-
-
 # --- layout
 
 
-@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y FROM lineitem), b AS (SELECT l_orderkey, l_linenumber AS box_id, l_quantity - 10 AS x0, l_quantity + 10 AS x1, l_discount * 100 - 3 AS y0, l_discount * 100 + l_linenumber AS y1 FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y FROM lineitem), b AS (SELECT l_orderkey, l_linenumber AS box_id, l_quantity - 10 AS x0, l_quantity + 10 AS x1, l_discount * 100 - 3 AS y0, l_discount * 100 + l_linenumber AS y1 FROM lineitem),
 h AS (SELECT p.l_orderkey, p.l_linenumber, box_id, round((x1 - x0) * (y1 - y0), 6) AS area FROM p JOIN b ON p.l_orderkey = b.l_orderkey WHERE x >= x0 AND x <= x1 AND y >= y0 AND y <= y1)
 SELECT l_orderkey, l_linenumber, min(box_id) AS box_id, area FROM h WHERE (l_orderkey, l_linenumber, area) IN (SELECT l_orderkey, l_linenumber, min(area) FROM h GROUP BY 1, 2) GROUP BY 1, 2, 4""")
 def q_box_join(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_discount") * 100).alias("y"))
     points = li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), "y")
-    boxes = li.where("l_linenumber <= 3").select("l_orderkey", F.col("l_linenumber").alias("box_id"), (F.col("l_quantity") - 10).alias("x0"), (F.col("l_quantity") + 10).alias("x1"), (F.col("y") - 3).alias("y0"), (F.col("y") + F.col("l_linenumber")).alias("y1"))
+    boxes = li.select("l_orderkey", F.col("l_linenumber").alias("box_id"), (F.col("l_quantity") - 10).alias("x0"), (F.col("l_quantity") + 10).alias("x1"), (F.col("y") - 3).alias("y0"), (F.col("y") + F.col("l_linenumber")).alias("y1"))
     hits = layout.smallest_box(points, boxes.distinct(), "l_orderkey", "l_linenumber")
     return hits.select("l_orderkey", "l_linenumber", "box_id", F.round("area", 6).alias("area"))
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import mechanics, text
@@ -161,7 +162,8 @@ def test_text_functions(spark):
 def test_orders_and_flags(spark):
     df = spark.createDataFrame([(w,) for w in ["Zebra", "acid", "élan", "Acid", "bolt"]], "a string")
     assert [r["a"] for r in df.orderBy(text.locale_order(F.col("a"))).collect()] == ["acid", "Acid", "bolt", "élan", "Zebra"]
-    assert one(spark, text.numeric_order, "a string", "Book 10", "Book 9", None) == ["book 000000000010", "book 000000000009", None]
+    ten, nine, none = one(spark, text.numeric_order, "a string", "Book 10", "Book 9", None)
+    assert nine < ten and none is None
     assert spark.range(1).select(text.true_flags(F.array(F.lit("x"), F.lit("y")), F.array(F.lit(True), F.lit(False)))).first()[0] == {"x": True}
 
 
@@ -238,14 +240,79 @@ def test_resolve(spark):
 
 
 def test_text_edits_fold(spark):
-    texts = spark.createDataFrame([(1, "One cat. Two dogs. Three cats."), (2, None), (3, "One cat.")], "id int, t string")
-    edits = spark.createDataFrame(
-        [(1, 1, "replace", "Two", "Four"), (1, 2, "delete_sentences", "cats", None), (1, 3, "insert_before_sentence_end", "dogs", " here"), (1, 4, "replace", "zzz", "q"), (3, 1, "replace_first_sentence", None, "A dog."), (3, 2, "replace_full_body", None, "New."), (3, 3, "delete", "nothing", None)],
-        "id int, edit_no int, op string, find string, value string",
-    )
-    got = {r["id"]: (r["text"], r["statuses"]) for r in reconcile.apply_text_edits(texts, edits, "id", "t").collect()}
-    assert got[1] == ("One cat. Four dogs here.", ["applied", "applied", "applied", "target-not-found"])
-    assert got[2] == ("", []) and got[3] == ("New.", ["applied", "applied", "already-present"])
+    texts = spark.createDataFrame([(1, "One cat. Two dogs. Three cats.", {"area": "two  dogs’ den"}), (2, None, None), (3, "One cat. A bird", {}), (4, "Keep A. Drop A x. Keep A too.", None), (5, "The spell slows them for 1d6 rounds. A slowed creature moves. It rests. The spell then ends.", None)], "id int, t string, f map<string,string>")
+    rows = [
+        (1, 1, "replace", "Two", "Four", None, None, None), (1, 2, "replace", "dogs' den", "cats' den", None, None, None), (1, 3, "delete", "Three cats.", None, None, None, None), (1, 4, "replace", "zzz", "q", None, None, None), (1, 5, "delete", "zzz", None, None, None, None), (1, 6, "replace", "cat", "cow", None, "last", None),
+        (3, 1, "replace_first_sentence", None, "A dog.", None, None, None), (3, 2, "replace_first_sentence", None, "A dog.", None, None, None), (3, 3, "insert_before", "bird", "blue", None, None, "-"), (3, 4, "fly", None, None, None, None, None),
+        (4, 1, "delete_sentences", "Drop A", None, 1, None, None), (4, 2, "delete_sentences", "Keep A too", None, 5, None, None),
+        (5, 1, "insert_before_sentence_end", "A slowed creature", "(see the slow spell)", None, None, None), (5, 2, "delete_sentences", "A slowed creature", None, 2, None, None),
+        (2, 1, "replace_full_body", None, "New.", None, None, None), (2, 2, "replace_full_body", None, " New. ", None, None, None),
+    ]
+    edits = spark.createDataFrame(rows, "id int, edit_no int, op string, find string, value string, count int, occurrence string, separator string")
+    got = {r["id"]: (r["text"], r["fields"], r["statuses"]) for r in reconcile.apply_text_edits(texts, edits, "id", "t", "f").collect()}
+    assert got[1] == ("One cow. Four dogs.", {"area": "two cats' den"}, ["applied", "applied", "applied", "target-not-found", "already-present", "applied"])
+    assert got[3] == ("A dog. A blue-bird", {}, ["applied", "already-present", "applied", "unknown-op"])
+    assert got[4][0] == "Keep A. Keep A too." and got[4][2] == ["applied", "target-not-found"]
+    assert got[5][0] == "The spell slows them for 1d6 rounds (see the slow spell). The spell then ends." and got[5][2] == ["applied"] * 2
+    assert got[2] == (" New. ", {}, ["applied", "already-present"])
+    bare = reconcile.apply_text_edits(texts, edits.select("id", "edit_no", "op", "find", "value").limit(0), "id", "t").collect()
+    assert all(r["statuses"] == [] for r in bare) and len(bare) == 5
+
+
+def test_merge_reviews(spark):
+    cols = "id int, category string, evidence_ids string, flags string, fingerprint string, status string"
+    prev = spark.createDataFrame([(1, "a", "e", None, "f", "accepted"), (2, "a", "e", "x", "f", "proposed"), (3, "a", "e", "x", "f", "accepted")], cols)
+    new = spark.createDataFrame([(1, "a", "e", None, "f", "proposed"), (2, "a", "e", "x", "f", "rejected"), (3, "a", "e", "y", "f", "proposed"), (4, "a", "e", "x", "f", "proposed")], cols)
+    status = lambda full: [(r["status"], r["carried"]) for r in reconcile.merge_reviews(prev, new, "id", full).orderBy("id").collect()]
+    assert status(False) == [("accepted", True), ("proposed", True), ("proposed", False), ("proposed", False)]
+    assert status(True)[1] == ("rejected", False)
+
+
+def test_search_index(spark, tmp_path):
+    docs = spark.createDataFrame([(100, "en", "default", "Wall of Fire", "", "", "", "x"), (2, "en", "default", "Shield", "wall and fire", "", "", ""), (2, "zh", "default", "墙", "", "", "", "none"), (3, "en", "default", "Walled", "", "", "", "")], "spell_id int, lang string, variant string, name string, aliases string, summary string, mechanics string, body string")
+    index = search.SearchIndex(spark, str(tmp_path))
+    index.write(docs)
+    assert [r["spell_id"] for r in index.search("wall fire").orderBy(F.col("score").desc()).collect()] == [100, 2]
+    scan = {r["spell_id"]: round(r["score"], 9) for r in search.bm25(docs, search.WEIGHTS, "wall").groupBy("spell_id").agg(F.max("score").alias("score")).collect()}
+    assert {r["spell_id"]: round(r["score"], 9) for r in index.search("WALL").collect()} == scan and len(scan) == 3
+    assert index.search("wall", eligible=docs.where("spell_id = 2")).count() == 1 and index.search("ab").count() == 0 and index.search("zzz").count() == 0
+    index.write(docs.limit(0))
+    with pytest.raises(search.IndexUnusable):
+        index.search("wall")
+
+
+def test_search_documents(spark):
+    spells = spark.createDataFrame([(1, "Wall", "wall-of-x", "Body", "1 round")], "spell_id int, name string, slug string, description string, casting_time string")
+    texts = spark.createDataFrame([(1, "zh", "default", "墙", None), (1, "zh", "default", None, None), (9, "zh", "default", "无", "无")], "spell_id int, lang string, variant string, name string, description_text string")
+    sums = spark.createDataFrame([(1, "zh", "b", "two"), (1, "zh", "default", "one"), (1, "zh", "default", "ONE")], "spell_id int, lang string, variant string, summary_text string")
+    mech = spark.createDataFrame([(1, 1, "1 round", "1 Round", "round")], "spell_id int, place int, normalized_text string, raw_text string, category string")
+    got = {(r["lang"], r["variant"]): (r["name"], r["aliases"], r["summary"], r["mechanics"], r["body"]) for r in search.build_documents(spells, texts, sums, mech, ["casting_time"]).collect()}
+    assert got == {("en", "default"): ("Wall", "wall of x\n墙", "", "1 round\nround", "Body"), ("zh", "default"): ("墙", "Wall\nwall of x", "ONE\ntwo", "1 round\nround", ""), ("zh", "b"): ("Wall", "wall of x\n墙", "two\nONE", "1 round\nround", "")}
+
+
+def test_canonical_strings(spark):
+    assert one(spark, text.match_name, "a string", "Cloak,  Greater", "Bolt (M)", None) == ["cloak greater", "bolt", None]
+    assert one(spark, text.name_variants, "a string", "A / B 2", "Fire/fire", "Up/Down") == [["A", "B 2", "B"], ["Fire/fire", "Fire", "fire"], ["Up/Down"]]
+    assert one(spark, lambda c: text.name_variants(c, F.create_map(F.lit("a"), F.array(F.lit("Z")))), "a string", "A") == [["A", "Z"]]
+    assert one(spark, text.school_key, "a string", "Evocation (b, A) [Fire and cold]", "Abjuration", "x [y] z") == ["evocation|a,b|cold,fire", "abjuration||", "x y z"]
+    assert one(spark, text.level_key, "a string", "Sor/Wiz 3, Clr 2, Fire 4, junk") == ["cleric 2,fire 4,sor/wiz 3"]
+    assert [[tuple(e) for e in x] for x in one(spark, text.level_entries, "a string", "Clr 2, Fire 4", "")] == [[("Cleric", 2, False), ("Fire", 4, True)], []]
+    assert one(spark, lambda c: text.tolerant_json(c, "map<string,string>"), "a string", '{"a": 1}', "{bad", None) == [{"a": "1"}, None, None]
+    assert one(spark, text.iso_date, "a string", "2021-3-1", "March 1, 2021", "Sep 12 2003", "1999", "2001/7", "soon", None) == ["2021-03-01", "2021-03-01", "2003-09-12", "1999", "2001-07", None, None]
+    assert one(spark, lambda c: text.composite_id(c, F.lit(3)), "a string", "x", None) == ["x:3", "-:3"]
+    assert one(spark, lambda c: text.stable_json({"b": c, "a": F.lit(1)}), "a string", None) == ['{"a":1,"b":null}']
+    big, small = one(spark, text.numeric_order, "a string", "a1234567890123456", "a123456789013")
+    assert small < big and one(spark, text.numeric_order, "a string", "a007") == one(spark, text.numeric_order, "a string", "a7")
+
+
+def test_lookup_ids(spark):
+    look = spark.createDataFrame([(" Fire", 1, 1), ("fire", 2, 2), ("ice", 3, 3)], "key string, target int, place int")
+    rows = spark.createDataFrame([(1, "FIRE "), (2, "x"), (3, " "), (4, None)], "id int, label string")
+    assert [(r["target"], r["error"]) for r in resolve.lookup_ids(rows, "label", look, "place", True).orderBy("id").collect()] == [(2, None), (None, "not-found"), (None, "required"), (None, "required")]
+    assert {r["error"] for r in resolve.lookup_ids(rows, "label", look, "place").where("id > 2").collect()} == {None}
+    more = spark.createDataFrame([("b", "Z"), ("A", "q")], "from_name string, to_name string")
+    chain = spark.createDataFrame([("a", "b")], "from_name string, to_name string")
+    assert {tuple(r) for r in resolve.alias_names(spark.createDataFrame([("a",), (None,)], "name string"), chain, more).collect()} == {("a", "a"), ("a", "b"), ("a", "Z"), ("a", "q")}
 
 
 def test_reconcile_edges(spark):

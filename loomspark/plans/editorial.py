@@ -111,13 +111,13 @@ def q_conversion_blockers(spark, d):
     return ed.with_blockers(table(spark, d, "parsed_spell"), checks).select("parsed_id", F.array_join("blockers", ",").alias("blockers")).distinct()
 
 
-@query("""WITH d AS (SELECT DISTINCT rec_id, CASE WHEN match_method IN ('alias', 'slug') THEN 'accept' ELSE 'reject' END AS decision, CAST(confidence * 1000 AS BIGINT) AS priority FROM zh_record), c AS (SELECT DISTINCT rec_id, spell_id FROM zh_record WHERE spell_id IS NOT NULL AND rec_id % 5 <> 0),
+@query("""WITH d AS (SELECT DISTINCT rec_id, CASE WHEN match_method IN ('alias', 'slug') THEN 'accept' ELSE 'reject' END AS decision, CAST(confidence * 1000 AS BIGINT) AS priority FROM zh_record), c AS (SELECT DISTINCT rec_id, spell_id FROM (SELECT CASE WHEN rec_id % 5 = 0 THEN -rec_id ELSE rec_id END AS rec_id, spell_id FROM zh_record) q WHERE spell_id IS NOT NULL),
 j AS (SELECT d.*, c.spell_id, row_number() OVER (PARTITION BY c.spell_id, d.decision = 'accept' AND c.spell_id IS NOT NULL ORDER BY priority, d.rec_id) AS rk FROM d LEFT JOIN c ON c.rec_id = d.rec_id)
 SELECT rec_id, spell_id, CASE WHEN spell_id IS NULL THEN 'stale' WHEN decision <> 'accept' THEN 'rejected' WHEN rk > 1 THEN 'duplicate' ELSE 'applied' END AS outcome FROM j""")
 def q_apply_decisions(spark, d):
     z = table(spark, d, "zh_record")
     dec = z.select("rec_id", F.when(F.col("match_method").isin("alias", "slug"), "accept").otherwise("reject").alias("decision"), F.round(F.col("confidence") * 1000).cast("long").alias("priority")).distinct()
-    cand = z.where("spell_id is not null and rec_id % 5 != 0").select("rec_id", "spell_id")
+    cand = z.where("spell_id is not null").select(F.when(F.col("rec_id") % 5 == 0, -F.col("rec_id")).otherwise(F.col("rec_id")).alias("rec_id"), "spell_id")
     return ed.apply_decisions(cand, dec, "rec_id", "spell_id")
 
 
@@ -127,11 +127,11 @@ def q_verify_patch(spark, d):
     return ed.verify_patch(p, spells(spark, d), "id", ["school_id", "page"])
 
 
-@query("WITH r AS (SELECT p_partkey AS k, sha256(p_name) AS h FROM part WHERE p_partkey % 7 <> 1), c AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN sha256(upper(p_name)) ELSE sha256(p_name) END AS h FROM part WHERE p_partkey % 7 <> 2) SELECT r.k, CASE WHEN c.h IS NULL THEN 'gone' WHEN r.h = c.h THEN 'fresh' ELSE 'stale' END AS status FROM r LEFT JOIN c ON c.k = r.k")
+@query("WITH r AS (SELECT p_partkey AS k, sha256(p_name) AS h FROM part), c AS (SELECT CASE WHEN p_partkey % 7 = 2 THEN -p_partkey ELSE p_partkey END AS k, CASE WHEN p_partkey % 5 = 0 THEN sha256(upper(p_name)) ELSE sha256(p_name) END AS h FROM part) SELECT r.k, CASE WHEN c.h IS NULL THEN 'gone' WHEN r.h = c.h THEN 'fresh' ELSE 'stale' END AS status FROM r LEFT JOIN c ON c.k = r.k")
 def q_stale_evidence(spark, d):
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    r = p.where(k % 7 != 1).select(k.alias("k"), F.sha2("p_name", 256).alias("h"))
-    c = p.where(k % 7 != 2).select(k.alias("k"), F.when(k % 5 == 0, F.sha2(F.upper("p_name"), 256)).otherwise(F.sha2("p_name", 256)).alias("h"))
+    r = p.select(k.alias("k"), F.sha2("p_name", 256).alias("h"))
+    c = p.select(F.when(k % 7 == 2, -k).otherwise(k).alias("k"), F.when(k % 5 == 0, F.sha2(F.upper("p_name"), 256)).otherwise(F.sha2("p_name", 256)).alias("h"))
     return ed.stale_evidence(r, c, "k", "h")
 
 
@@ -164,11 +164,11 @@ def q_label_histogram(spark, d):
     return h.select("source", "n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
-@query("""WITH l AS (SELECT slug AS k, name AS v FROM lookup_entry WHERE kind = 'descriptor'), r AS (SELECT slug AS k, CASE WHEN id % 4 = 0 THEN name ELSE name_zh END AS v FROM lookup_entry WHERE kind = 'descriptor' AND id % 9 <> 0), j AS (SELECT coalesce(l.k, r.k) AS slug, l.k AS lk, r.k AS rk, l.v AS lv, r.v AS rv, n FROM l FULL JOIN r ON l.k = r.k LEFT JOIN (SELECT v, count(DISTINCT k) AS n FROM r GROUP BY 1) q ON q.v = r.v)
+@query("""WITH l AS (SELECT slug AS k, name AS v FROM lookup_entry WHERE kind = 'descriptor'), r AS (SELECT CASE WHEN id % 9 = 0 THEN slug || '~' ELSE slug END AS k, CASE WHEN id % 4 = 0 THEN name ELSE name_zh END AS v FROM lookup_entry WHERE kind = 'descriptor'), j AS (SELECT coalesce(l.k, r.k) AS slug, l.k AS lk, r.k AS rk, l.v AS lv, r.v AS rv, n FROM l FULL JOIN r ON l.k = r.k LEFT JOIN (SELECT v, count(DISTINCT k) AS n FROM r GROUP BY 1) q ON q.v = r.v)
 SELECT slug, issue FROM (SELECT slug, 'missing-left' AS issue FROM j WHERE lk IS NULL UNION ALL SELECT slug, 'missing-right' FROM j WHERE rk IS NULL UNION ALL SELECT slug, 'untranslated' FROM j WHERE lv = rv UNION ALL SELECT slug, 'duplicate-value' FROM j WHERE n > 1) q""")
 def q_key_audit(spark, d):
     t = table(spark, d, "lookup_entry").where("kind = 'descriptor'")
-    right = t.where("id % 9 != 0").select("slug", F.when(F.col("id") % 4 == 0, F.col("name")).otherwise(F.col("name_zh")).alias("v"))
+    right = t.select(F.when(F.col("id") % 9 == 0, F.concat("slug", F.lit("~"))).otherwise(F.col("slug")).alias("slug"), F.when(F.col("id") % 4 == 0, F.col("name")).otherwise(F.col("name_zh")).alias("v"))
     return ed.key_audit(t.select("slug", F.col("name").alias("v")), right, "slug", "v")
 
 
@@ -184,10 +184,11 @@ def q_detach_between(spark, d):
     return ed.detach_between(e, ["user_id"], ["event_id"], F.col("event_type") == "login", F.col("event_type") == "purchase").select("user_id", "event_id", "detached")
 
 
-@query(f"WITH {S}, p AS (SELECT id FROM s WHERE id % 3 <> 0 UNION ALL SELECT id FROM s WHERE id % 10 = 1 UNION ALL SELECT 999999999), n AS (SELECT id, count(*) AS n FROM p GROUP BY 1) SELECT count(s.id) AS n_whole, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS n_parts, count(*) FILTER (WHERE n.n > 1) AS n_repeated, count(*) FILTER (WHERE n.n IS NULL) AS n_missing, count(*) FILTER (WHERE s.id IS NULL) AS n_unknown, FALSE AS balanced FROM s FULL JOIN n ON n.id = s.id")
+@query(f"WITH {S}, p AS (SELECT CASE WHEN id % 3 = 0 THEN -id ELSE id END AS id FROM s UNION ALL SELECT CASE WHEN id % 10 = 1 THEN id ELSE -1000000 - id END FROM s), n AS (SELECT id, count(*) AS n FROM p GROUP BY 1) SELECT count(s.id) AS n_whole, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS n_parts, count(*) FILTER (WHERE n.n > 1) AS n_repeated, count(*) FILTER (WHERE n.n IS NULL) AS n_missing, count(*) FILTER (WHERE s.id IS NULL) AS n_unknown, FALSE AS balanced FROM s FULL JOIN n ON n.id = s.id")
 def q_set_balance(spark, d):
     s = spells(spark, d).select("id")
-    parts = s.where("id % 3 != 0").unionByName(s.where("id % 10 = 1")).unionByName(spark.createDataFrame([(999999999,)], "id int"))
+    i = F.col("id")
+    parts = s.select(F.when(i % 3 == 0, -i).otherwise(i).alias("id")).unionByName(s.select(F.when(i % 10 == 1, i).otherwise(-1_000_000 - i).alias("id")))
     return ed.set_balance(parts, s, "id")
 
 
@@ -223,8 +224,11 @@ def q_review_queue(spark, d):
     return reconcile.inventory(s, "id", [("verified", F.col("verified"))], "open").withColumnRenamed("disposition", "queue")
 
 
+@query(f"""WITH {S}, l AS (SELECT DISTINCT character_class_id, level, spell_id FROM dnd_spellclasslevel WHERE spell_id IS NOT NULL AND character_class_id IS NOT NULL), t AS (SELECT l.*, trim(replace(s.name, ':', ' ') || ': entry ' || spell_id) AS line FROM l JOIN s ON s.id = l.spell_id),
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][^:]{{1,60}}:\s') THEN 1 ELSE 0 END) OVER (PARTITION BY character_class_id, level ORDER BY spell_id ROWS UNBOUNDED PRECEDING) AS run FROM t), r AS (SELECT character_class_id, level, run, string_agg(line, ' ' ORDER BY spell_id) AS r FROM g WHERE run > 0 GROUP BY 1, 2, 3)
+SELECT character_class_id, 'CLASS' AS owner, level, trim(split_part(r, ':', 1)) AS name, trim(substr(r, strpos(r, ':') + 1)) AS summary FROM r""")
 def q_list_records(spark, d):
-    """Rows only: pages made from class levels, read back to records; the small tests hold them against the pages."""
+    """Pages made from class levels, read back to records."""
     levels = table(spark, d, "dnd_spellclasslevel").where("spell_id is not null and character_class_id is not null").select("character_class_id", "level", "spell_id").distinct()
     s = spells(spark, d).select(F.col("id").alias("spell_id"), F.regexp_replace("name", ":", " ").alias("name"))
     rows = levels.join(s, "spell_id")
@@ -236,10 +240,8 @@ def q_list_records(spark, d):
     return ed.list_records(pages, ["character_class_id"], ["level", "o"], "line")
 
 
+@query("SELECT id AS row_id, 'entry-0' AS id, spell_id, 1 AS used FROM dnd_spellclasslevel WHERE spell_id > 0 UNION ALL SELECT id, 'x', 7, 0 FROM dnd_spellclasslevel")
 def q_import_collection(spark, d):
-    """Rows only: a JSON collection per class level row; the small tests hold the import against its parts."""
+    """A JSON collection per class level row."""
     t = table(spark, d, "dnd_spellclasslevel").select("id", F.concat(F.lit('[{"spellId": '), F.coalesce("spell_id", F.lit(0)).cast("string"), F.lit(', "used": 1}, {"id": "x", "spellId": 7, "levels": [1, 2]}, {"id": "x", "spellId": 8}, {"spellId": -1}]')).alias("json"))
     return ed.import_collection(t.withColumnRenamed("id", "row_id"), "json").select("row_id", "id", "spell_id", "used")
-
-
-QUERIES |= {f.__name__: f for f in (q_list_records, q_import_collection)}

@@ -76,12 +76,6 @@ def q_cond_sum_having(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count("*").alias("lines")).where("returned * 3 > lines")
 
 
-@query("SELECT rulebook_id, count(*) FILTER (WHERE school_id = 1) AS s1, count(*) FILTER (WHERE school_id = 2) AS s2, count(*) FILTER (WHERE school_id = 3) AS s3 FROM dnd_spell WHERE school_id IN (1, 2, 3) GROUP BY rulebook_id")
-def q_pivot_zero_fill(spark, d):
-    t = table(spark, d, "dnd_spell").where("school_id in (1, 2, 3)").groupBy("rulebook_id").pivot("school_id", [1, 2, 3]).agg(F.count(F.lit(1)))
-    return t.na.fill(0).select("rulebook_id", F.col("1").alias("s1"), F.col("2").alias("s2"), F.col("3").alias("s3"))
-
-
 @query("""PIVOT (SELECT rulebook_id, CASE WHEN school_id IN (SELECT id FROM lookup_entry WHERE kind = 'school') THEN 's' || school_id ELSE 'other' END AS c, 1 AS n FROM dnd_spell
  UNION ALL SELECT r.id, c.c, 0 FROM lookup_entry r CROSS JOIN (SELECT 's' || id AS c FROM lookup_entry WHERE kind = 'school' UNION ALL SELECT 'other') c WHERE r.kind = 'rulebook') ON c USING coalesce(CAST(sum(n) AS BIGINT), 0) GROUP BY rulebook_id""")
 def q_pivot_all_schools(spark, d):
@@ -402,16 +396,16 @@ def q_text_issues(spark, d):
 
 # --- reconciliation
 
-_A = "a AS (SELECT p_partkey AS k, p_name AS name, p_type AS kind, p_size AS size FROM part WHERE p_partkey % 10 <> 3)"
-_B = "b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) WHEN p_partkey % 13 = 0 THEN p_name || ' x' ELSE p_name END AS name, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_type END AS kind, CASE WHEN p_partkey % 19 = 0 THEN p_size + 1 ELSE p_size END AS size FROM part WHERE p_partkey % 10 <> 7)"
+_A = "a AS (SELECT CASE WHEN p_partkey % 10 = 3 THEN -p_partkey ELSE p_partkey END AS k, p_name AS name, p_type AS kind, p_size AS size FROM part)"
+_B = "b AS (SELECT CASE WHEN p_partkey % 10 = 7 THEN -p_partkey ELSE p_partkey END AS k, CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) WHEN p_partkey % 13 = 0 THEN p_name || ' x' ELSE p_name END AS name, CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_type END AS kind, CASE WHEN p_partkey % 19 = 0 THEN p_size + 1 ELSE p_size END AS size FROM part)"
 _C = "c AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 22 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 0 THEN p_name || ' y' ELSE p_name END AS name FROM part)"
 
 
 def _snapshots(spark, d):
     p, k = table(spark, d, "part"), F.col("p_partkey")
-    a = p.where(k % 10 != 3).select(k.alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"))
+    a = p.select(F.when(k % 10 == 3, -k).otherwise(k).alias("k"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"))
     name = F.when(k % 11 == 0, F.upper("p_name")).when(k % 13 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name"))
-    b = p.where(k % 10 != 7).select(k.alias("k"), name.alias("name"), F.when(k % 17 != 0, F.col("p_type")).alias("kind"), F.when(k % 19 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"))
+    b = p.select(F.when(k % 10 == 7, -k).otherwise(k).alias("k"), name.alias("name"), F.when(k % 17 != 0, F.col("p_type")).alias("kind"), F.when(k % 19 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("size"))
     c = p.select(k.alias("k"), F.when(k % 22 == 0, F.upper("p_name")).when(k % 5 == 0, F.concat("p_name", F.lit(" y"))).otherwise(F.col("p_name")).alias("name"))
     return a, b, c
 

@@ -59,7 +59,7 @@ _BOOKS = f"""{S}, ed(edition_id, slug, system) AS (VALUES (0, 'core-35', 'dnd'),
 def _books(spark, d):
     e = _lookup(spark, d, "rulebook")
     editions = spark.createDataFrame([(0, "core-35", "dnd"), (1, "core-30", "dnd"), (2, "other", "else")], "edition_id int, slug string, system string")
-    pubs = e.where("id % 5 != 0").select("id", F.upper("abbr").alias("display_abbr"), (F.lit(1970) + F.col("id") % 50).alias("publication_year"))
+    pubs = e.select(F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"), F.upper("abbr").alias("display_abbr"), (F.lit(1970) + F.col("id") % 50).alias("publication_year"))
     return views.rulebook_list(e.select("id", "name", "abbr", (F.col("id") % 3).cast("int").alias("edition_id")), editions, spells(spark, d), pubs, "dnd")
 
 
@@ -92,7 +92,7 @@ def q_filter_vocabulary(spark, d):
     e = table(spark, d, "lookup_entry").where(F.col("kind").isin(*_KINDS))
     see = (F.col("kind") == "descriptor") & (F.col("id") % 7 == 0)
     facets = e.select(F.col("kind").alias("facet_type"), "id", F.col("slug").alias("key"), F.when(see, F.concat(F.lit("See text: "), "name")).otherwise(F.col("name")).alias("name"), F.when(F.col("deleted_at").isNull(), "accepted").otherwise("review").alias("review_status"))
-    combined = e.where("kind = 'school' and id % 6 = 0").select(F.col("kind").alias("facet_type"), "id")
+    combined = e.select(F.when(F.col("id") % 6 == 0, F.col("kind")).otherwise("none").alias("facet_type"), "id").where("facet_type in ('school', 'none')")
     return views.filter_vocabulary(facets, combined, _overlays(spark, d))
 
 

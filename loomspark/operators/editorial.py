@@ -188,6 +188,19 @@ def label_histogram(df: DataFrame, label: str, example: str, n: int = 5) -> Data
     return counts.join(few.groupBy(label).agg(F.array_sort(F.collect_list(example)).alias("examples")), label, "left")
 
 
+def classified_labels(df: DataFrame, label: str, example: str, rules: list[tuple[str, str]], default: str, n: int = 5) -> DataFrame:
+    """label_histogram with class: the name of the first of rules (name, pattern) that the label matches."""
+    return label_histogram(df, label, example, n).withColumn("class", classify_by_rules(F.col(label), rules, default))
+
+
+def reference_report(parsed: DataFrame, reference: DataFrame, book: str, key: str, least: float) -> DataFrame:
+    """book, n_parsed, n_reference, n_missing, n_extra, status of the keys of a parser's output against a reference list, by book; status is missing-book, unknown-book, below (a smaller part than least of the reference was found) or ok."""
+    p, r = parsed.select(book, key).distinct().withColumn("_p", F.lit(1)), reference.select(book, key).distinct().withColumn("_r", F.lit(1))
+    j = p.join(r, [book, key], "full_outer").groupBy(book).agg(F.count("_p").alias("n_parsed"), F.count("_r").alias("n_reference"), F.count_if(F.col("_p").isNull()).alias("n_missing"), F.count_if(F.col("_r").isNull()).alias("n_extra"))
+    status = F.when(F.col("n_parsed") == 0, "missing-book").when(F.col("n_reference") == 0, "unknown-book").when(F.col("n_reference") - F.col("n_missing") < F.col("n_reference") * least, "below").otherwise("ok")
+    return j.withColumn("status", status)
+
+
 def key_audit(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """key, issue of two localization tables: missing-left, missing-right, untranslated (equal values), duplicate-value (right value of several keys)."""
     a, b = left.select(key, F.col(value).alias("_a"), F.lit(1).alias("_l")), right.select(key, F.col(value).alias("_b"), F.lit(1).alias("_r"))

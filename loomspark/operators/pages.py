@@ -49,7 +49,8 @@ def reading_lines(items: DataFrame, page: list[str], order: str) -> DataFrame:
     rows = numbered_items(items, page, order)
     shape = rows.where("_visible").groupBy(*page, "line").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.max("height").alias("height"))
     out = shape.join(joined_items(rows, [*page, "line"], order), [*page, "line"])
-    return out.where("text != ''").withColumn("line", (F.row_number().over(Window.partitionBy(*page).orderBy("line")) - 1).cast("int"))
+    place = (F.row_number().over(Window.partitionBy(*page).orderBy("line")) - 1).cast("int")
+    return out.where("text != ''").select(*page, place.alias("line"), "text", "x", "y", "height")
 
 
 def clustered_lines(items: DataFrame, page: list[str], tolerance: float = 1.5) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
-from loomspark.operators import corpus, filters, normalize
+from loomspark.operators import corpus, editorial, filters, normalize
 from loomspark.plans.catalogue import S, spells
 from loomspark.plans.records import MECHANIC_SQL
+from loomspark.sources import writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -227,3 +228,26 @@ def q_sentinel_order(spark, d):
 def q_next_ids(spark, d):
     s, none = table(spark, d, "dnd_spellclasslevel"), table(spark, d, "dnd_spell").where("id < 0")
     return spark.range(1).select(corpus.next_id(s, "id").alias("next_level"), corpus.next_id(none, "id").alias("next_none"))
+
+
+@query("""WITH h AS (SELECT source, count(*) AS n FROM parsed_spell GROUP BY 1), x AS (SELECT source, string_agg(name, '|' ORDER BY name) AS examples FROM (SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY name) AS r FROM (SELECT DISTINCT source, name FROM parsed_spell WHERE name IS NOT NULL) q) q2 WHERE r <= 5 GROUP BY 1)
+SELECT h.source, h.n, x.examples, CASE WHEN regexp_matches(lower(h.source), '\\d') THEN 'numbered' WHEN regexp_matches(lower(h.source), '^(the )?annals|codex') THEN 'series' ELSE 'other' END AS class FROM h LEFT JOIN x ON x.source = h.source""")
+def q_classified_labels(spark, d):
+    out = editorial.classified_labels(table(spark, d, "parsed_spell"), "source", "name", [("numbered", r"\d"), ("series", "^(the )?annals|codex")], "other")
+    return out.select("source", "n", F.array_join("examples", "|").alias("examples"), "class")
+
+
+@query(f"""WITH {S}, p AS (SELECT DISTINCT rulebook_id AS book, lower(en_name) AS k FROM zh_record WHERE rulebook_id IS NOT NULL AND en_name IS NOT NULL), r AS (SELECT DISTINCT rulebook_id AS book, lower(name) AS k FROM s WHERE rulebook_id IS NOT NULL),
+j AS (SELECT coalesce(p.book, r.book) AS book, count(p.k) AS n_parsed, count(r.k) AS n_reference, count(*) FILTER (p.k IS NULL) AS n_missing, count(*) FILTER (r.k IS NULL) AS n_extra FROM p FULL JOIN r ON p.book = r.book AND p.k = r.k GROUP BY 1)
+SELECT *, CASE WHEN n_parsed = 0 THEN 'missing-book' WHEN n_reference = 0 THEN 'unknown-book' WHEN n_reference - n_missing < n_reference * 0.5 THEN 'below' ELSE 'ok' END AS status FROM j""")
+def q_reference_report(spark, d):
+    p = table(spark, d, "zh_record").where("rulebook_id is not null and en_name is not null").select(F.col("rulebook_id").alias("book"), F.lower("en_name").alias("k"))
+    r = spells(spark, d).where("rulebook_id is not null").select(F.col("rulebook_id").alias("book"), F.lower("name").alias("k"))
+    return editorial.reference_report(p, r, "book", "k", 0.5)
+
+
+@query("""WITH l AS (SELECT l_linenumber AS level, l_comment AS name FROM (SELECT DISTINCT l_linenumber, l_returnflag || ' ' || l_partkey AS l_comment FROM lineitem WHERE l_linenumber IN (1, 2, 7)) q), r AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY lower(name), name) AS place FROM l)
+SELECT place, coalesce(max(CASE WHEN level = 1 THEN name END), '') AS level_1, coalesce(max(CASE WHEN level = 2 THEN name END), '') AS level_2, coalesce(max(CASE WHEN level = 7 THEN name END), '') AS level_7 FROM r GROUP BY 1""")
+def q_level_columns(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("level"), F.concat("l_returnflag", F.lit(" "), F.col("l_partkey").cast("string")).alias("name")).distinct()
+    return writers.level_columns(rows, [1, 2, 7])

@@ -82,6 +82,14 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def safe_child(root: str, name: str) -> str:
+    """root/name; a name that is absolute or leads out of root is refused."""
+    parts = name.replace("\\", "/").split("/")
+    if not name or name.startswith("/") or ":" in parts[0] or ".." in parts or not parts[-1]:
+        raise ValueError(f"{name!r} isn't a path within {root}")
+    return f"{root}/{name}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _file(spark, path)
     return fs.exists(p)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomspark.session import exists, read_text, safe_child
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1, blank lines counted), line of every line that isn't blank.
@@ -189,11 +193,137 @@ def rtf_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(read, "path string, member string, paragraph_no int, paragraph string")
 
 
-def page_rows(spark: SparkSession, path: str) -> DataFrame:
-    """page, item_no, text, x, y, width, height of positioned page text in JSON lines {"page", "items": [...]}; malformed lines are left out."""
+def page_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(items, errors) of positioned page text in JSON lines {"page", "items": [...]}.
+
+    items: page, item_no, text, x, y, width, height. errors: line_no, error of every line that isn't such an object or has
+    no page; a reader that must not lose pages refuses a file with any.
+    """
     schema = "page int, items array<struct<text string, x double, y double, width double, height double>>"
-    df = json_lines(spark, path, schema).where("error is null and data.page is not null")
-    return df.select("data.page", F.posexplode("data.items").alias("item_no", "i")).select("page", "item_no", "i.*")
+    df = json_lines(spark, path, schema)
+    bad = F.col("error").isNotNull() | F.col("data.page").isNull()
+    items = df.where(~bad).select("data.page", F.posexplode("data.items").alias("item_no", "i")).select("page", "item_no", "i.*")
+    return items, df.where(bad).select("line_no", F.coalesce("error", F.lit("no page")).alias("error"))
+
+
+def layout_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """page, place (from 0, in the order of the list), kind, text, x0, y0, x1, y1 of a JSON list of layout blocks {page_idx, type, text, bbox}; pages count from 1."""
+    schema = "array<struct<page_idx int, type string, text string, bbox array<double>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)).alias("n", "b"))
+    box = [F.try_element_at("b.bbox", F.lit(i + 1)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    rows = whole.where("b.page_idx is not null").select((F.col("b.page_idx") + 1).alias("page"), "n", F.col("b.type").alias("kind"), "b.text", *box)
+    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("page").orderBy("n")) - 1).cast("int")).drop("n").select("page", "place", "kind", "text", "x0", "y0", "x1", "y1")
+
+
+def manifest_rows(spark: SparkSession, manifest: str, schema: str) -> DataFrame:
+    """source fields and rows of the files that a JSON manifest {"sources": [{token, name, rulebook_abbr, file}]} names beside it: token, name, rulebook_abbr and the columns of schema.
+
+    The manifest is a list of books and read on the driver; its files are read by the tasks. A file that isn't there is an
+    error, and so is a name that leads out of the manifest's folder.
+    """
+    root = manifest.rsplit("/", 1)[0]
+    listed = json.loads(read_text(spark, manifest) or "{}").get("sources", [])
+    files = {safe_child(root, m["file"]): m for m in listed}
+    if not files:
+        return spark.createDataFrame([], f"token string, name string, rulebook_abbr string, {schema}")
+    gone = [f for f in files if not exists(spark, f)]
+    if gone:
+        raise FileNotFoundError(gone[0])
+    heads = spark.createDataFrame([(f.rsplit("/", 1)[1], m.get("token"), m.get("name"), m.get("rulebook_abbr")) for f, m in files.items()], "_file string, token string, name string, rulebook_abbr string")
+    rows = spark.read.schema(schema).json(list(files)).withColumn("_file", F.col("_metadata.file_name"))
+    return heads.join(rows, "_file").drop("_file")
+
+
+def verified_members(spark: SparkSession, archive: str, manifest: dict[str, str]) -> DataFrame:
+    """rtf_archive's paragraphs of the members that manifest (member to SHA-256) names; a member that lacks or differs is an error, others are left out."""
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    yield pd.DataFrame([(n, hashlib.sha256(z.read(n)).hexdigest()) for n in z.namelist()], columns=["member", "sha256"])
+
+    found = {r["member"]: r["sha256"] for r in spark.read.format("binaryFile").load(archive).select("content").mapInPandas(digests, "member string, sha256 string").collect()}
+    wrong = sorted(m for m, h in manifest.items() if found.get(m) != h)
+    if wrong:
+        raise ValueError(f"not as the manifest says: {wrong}")
+    return rtf_archive(spark, archive).where(F.col("member").isin(list(manifest)))
+
+
+def read_artifact(spark: SparkSession, path: str, required: list[str], schema_version: int, hashes: dict[str, str] | None = None) -> dict:
+    """A generated JSON artifact, refused with all that is wrong with it; see corpus.artifact_errors."""
+    from loomspark.operators.corpus import artifact_errors
+
+    artifact = json.loads(read_text(spark, path) or "{}")
+    errors = artifact_errors(artifact, required, schema_version, {s["path"]: s["sha256"] for s in artifact.get("sources", [])} if hashes is None else hashes)
+    if errors:
+        raise ValueError("; ".join(errors))
+    return artifact
+
+
+def first_rows(df: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first n rows in order, for builds that are only looked at; all of them where n is null."""
+    return df if n is None else df.orderBy(order).limit(n)
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_lines, n_blank of text files."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    return rows.groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if(F.trim("value") == "").alias("n_blank"))
+
+
+class _Page(HTMLParser):
+    """Keeps the part of a page that holds its text, without attributes, spans and empty paragraphs."""
+
+    DROP = {"script", "style", "head", "title", "object"}
+    UNWRAP = {"span", "font", "html", "body", "a"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in self.DROP
+        if not self.skip and tag not in self.UNWRAP:
+            self.out.append(f"<{tag}>")
+
+    def handle_endtag(self, tag):
+        if not self.skip and tag not in self.UNWRAP and tag != "br":
+            self.out.append(f"</{tag}>")
+        self.skip -= tag in self.DROP and self.skip > 0
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(re.sub(r"\s+", " ", data))
+
+    def handle_entityref(self, name):
+        if not self.skip:
+            self.out.append(" " if name == "nbsp" else f"&{name};")
+
+    def handle_charref(self, name):
+        if not self.skip:
+            self.out.append(f"&#{name};")
+
+
+_BLANK_P = re.compile(r"<(p|div)>\s*(?:<br>\s*)*</\1>")
+
+
+@F.pandas_udf(T.StringType())
+def clean_page(html: pd.Series) -> pd.Series:
+    """A whole page of HTML as one <div>: no attributes, spans unwrapped, blank paragraphs away; null stays null."""
+
+    def clean(x: str | None) -> str | None:
+        if x is None:
+            return None
+        p = _Page()
+        p.feed(x)
+        p.close()
+        text, before = "".join(p.out).strip(), None
+        while text != before:
+            before, text = text, _BLANK_P.sub("", text)
+        return f"<div>{text}</div>"
+
+    return html.map(clean)
 
 
 def headed_entries(spark: SparkSession, path: str, heading: str) -> DataFrame:

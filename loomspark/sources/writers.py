@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.session import safe_child, write_text
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -68,6 +70,28 @@ def write_json_lines(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").json(root)
 
 
+def activate_stage(spark: SparkSession, files: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """replace_tables for files by name; names that lead out of root are refused before anything is written."""
+    for name in files:
+        safe_child(root, name)
+    return replace_tables(spark, files, root)
+
+
+def level_columns(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """place, level_<n>...: entries (level, name) in columns by level, each column's names in order from the top; blank where it has ended."""
+    placed = rows.where(F.col("level").isin(levels)).withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy(F.lower("name"), "name")))
+    wide = placed.groupBy("place").agg(*[F.coalesce(F.max(F.when(F.col("level") == n, F.col("name"))), F.lit("")).alias(f"level_{n}") for n in levels])
+    return wide
+
+
+def write_report(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], title: str, path: str) -> None:
+    """A Markdown report of small tables: heading to (table, order)."""
+    from loomspark.operators.corpus import markdown_table
+
+    parts = [f"# {title}"] + [f"## {name}\n\n{markdown_table(df, order)}" for name, (df, order) in tables.items()]
+    write_text(spark, path, "\n\n".join(parts) + "\n")
+
+
 def write_tsv(df: DataFrame, root: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(root)
 

@@ -40,7 +40,8 @@ def test_rtf_archive(spark, tmp_path):
 
 def test_pages_headings_names(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"page": 3, "items": [{"text": "a", "x": 1, "y": 2, "width": 3, "height": 4}]}\nx\n')
-    assert readers.page_rows(spark, str(tmp_path / "p.jsonl")).collect() == [(3, 0, "a", 1.0, 2.0, 3.0, 4.0)]
+    items, errors = readers.page_rows(spark, str(tmp_path / "p.jsonl"))
+    assert items.collect() == [(3, 0, "a", 1.0, 2.0, 3.0, 4.0)] and errors.count() == 1
     (tmp_path / "h.txt").write_text("== Alpha ==\nbody\n== Beta ==\n")
     assert [(r["line_no"], r["title"]) for r in readers.headed_entries(spark, str(tmp_path / "h.txt"), "^== (.*) ==$").orderBy("line_no").collect()] == [(1, "Alpha"), (3, "Beta")]
     df = spark.createDataFrame([("a\tb\n\n c ",)], "t string")

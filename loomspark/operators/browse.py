@@ -70,6 +70,16 @@ def used_dimension(dimension: DataFrame, key: str, used: DataFrame) -> DataFrame
     return dimension.join(used.select(key).distinct(), key, "left_semi")
 
 
+#: Keys of one list; a longer list goes on in the rows of the next ranges.
+LIST_RANGE = 1000
+
+
+def listed_by(df: DataFrame, group: str, key: str) -> DataFrame:
+    """group, id_range, n, keys: the distinct whole-number keys of each group, ascending, in one row per range of LIST_RANGE keys, so no list grows with the data."""
+    rows = df.select(group, key).distinct().withColumn("id_range", F.floor(F.col(key) / LIST_RANGE).cast("long"))
+    return rows.groupBy(group, "id_range").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys"))
+
+
 def by_level(edges: DataFrame, key: str) -> DataFrame:
-    """level, n, keys (ascending) per level; for reports, as a level's list grows with the data."""
-    return edges.select("level", key).distinct().groupBy("level").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(key)).alias("keys"))
+    """level, id_range, n, keys (ascending) per level; see listed_by."""
+    return listed_by(edges, "level", key)

@@ -68,9 +68,14 @@ def variant_family(c: Column) -> Column:
 
 
 def related_variants(df: DataFrame, key: str, name: str) -> DataFrame:
-    """key, related pairs of rows with one base name, key < related left and right alike left out."""
+    """key, family, n_related: each row with the family of its base name (the least key in it) and the number of others in it.
+
+    Families are one row per task before they are shuffled, and no pairs are written; the members of a family are its
+    rows. A null name has no family.
+    """
     keyed = df.select(key, variant_family(F.col(name)).alias("_base"))
-    return keyed.join(keyed.withColumnRenamed(key, "related"), "_base").where(F.col(key) != F.col("related")).select(key, "related")
+    families = keyed.where("_base is not null").groupBy("_base").agg(F.min(key).alias("family"), (F.count_distinct(key) - 1).alias("n_related"))
+    return keyed.join(families, "_base", "left").select(key, "family", F.coalesce("n_related", F.lit(0)).alias("n_related"))
 
 
 def parsed_name_issues(c: Column) -> Column:
@@ -127,9 +132,11 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame, key: str, targe
     """
     j = decisions.join(candidates.select(key, target).distinct(), key, "left")
     accept = (F.col("decision") == "accept") & F.col(target).isNotNull()
-    rank = F.row_number().over(Window.partitionBy(target, accept).orderBy("priority", key))
-    outcome = F.when(F.col(target).isNull(), "stale").when(F.coalesce(F.col("decision") != "accept", F.lit(True)), "rejected").when(rank > 1, "duplicate").otherwise("applied")
-    return j.select(key, target, outcome.alias("outcome"))
+    # the first of each target is found by a plain aggregate, so neither a hot target nor the stale ones meet in one task
+    first = j.where(accept).groupBy(target).agg(F.min(F.struct("priority", key)).alias("_f"))
+    mine = (F.col(f"_f.{key}") == F.col(key)) & F.col("_f.priority").eqNullSafe(F.col("priority"))
+    outcome = F.when(F.col(target).isNull(), "stale").when(F.coalesce(F.col("decision") != "accept", F.lit(True)), "rejected").when(~F.coalesce(mine, F.lit(False)), "duplicate").otherwise("applied")
+    return j.where(F.col(target).isNotNull()).join(first, target, "left").unionByName(j.where(F.col(target).isNull()), allowMissingColumns=True).select(key, target, outcome.alias("outcome"))
 
 
 def verify_patch(patch: DataFrame, table: DataFrame, key: str, fields: list[str]) -> DataFrame:

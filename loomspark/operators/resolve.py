@@ -92,11 +92,16 @@ def lookup_ids(rows: DataFrame, label: str, lookup: DataFrame, order: str, requi
     return out.withColumn("error", F.when(blank, F.lit("required") if required else F.lit(None).cast("string")).when(F.col("target").isNull(), "not-found"))
 
 
-def same_key_pairs(df: DataFrame, key: str, row_id: str, text: str) -> DataFrame:
-    """id_a < id_b with one key, and whether their texts are equal; keys are expected to have few rows."""
-    a = df.select(F.col(row_id).alias("id_a"), key, F.col(text).alias("_a"))
-    b = df.select(F.col(row_id).alias("id_b"), key, F.col(text).alias("_b"))
-    return a.join(b, key).where("id_a < id_b").select(key, "id_a", "id_b", F.equal_null("_a", "_b").alias("same_text"))
+def same_key_links(df: DataFrame, key: str, row_id: str, text: str) -> DataFrame:
+    """row_id, class_id, n_others, n_same_text: each row with the class of its key (the least id in it), the number of other rows with the key, and of those with the same text; null texts are equal, a null key has no class.
+
+    Classes are counted before they are joined back, so no pairs are written and a hot key is one row.
+    """
+    rows = df.select(row_id, key, F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256).alias("_t"))
+    texts = rows.where(F.col(key).isNotNull()).groupBy(key, "_t").agg(F.count("*").alias("_n"), F.min(row_id).alias("_m"))
+    keys = texts.groupBy(key).agg(F.sum("_n").alias("_all"), F.min("_m").alias("class_id"))
+    out = rows.join(keys, key, "left").join(texts.drop("_m"), [key, "_t"], "left")
+    return out.select(row_id, "class_id", F.coalesce(F.col("_all") - 1, F.lit(0)).alias("n_others"), F.coalesce(F.col("_n") - 1, F.lit(0)).alias("n_same_text"))
 
 
 def prefix_join(rows: DataFrame, heads: DataFrame, text: str, head: str) -> DataFrame:

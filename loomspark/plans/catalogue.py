@@ -137,10 +137,10 @@ def q_used_classes(spark, d):
     return browse.used_dimension(classes, "id", edges(spark, d).where("list_type = 'class'").select(F.col("owner_id").alias("id")))
 
 
-@query(f"WITH {E} SELECT level, count(*) AS n, string_agg(CAST(spell_id AS VARCHAR), ',' ORDER BY spell_id) AS keys FROM (SELECT DISTINCT level, spell_id FROM e WHERE list_type = 'class') q GROUP BY level")
+@query(f"WITH {E} SELECT level, CAST(floor(spell_id / 1000) AS BIGINT) AS id_range, count(*) AS n, string_agg(CAST(spell_id AS VARCHAR), ',' ORDER BY spell_id) AS keys FROM (SELECT DISTINCT level, spell_id FROM e WHERE list_type = 'class') q GROUP BY level, 2")
 def q_by_level(spark, d):
     b = browse.by_level(edges(spark, d).where("list_type = 'class'"), "spell_id")
-    return b.select("level", "n", F.array_join("keys", ",").alias("keys"))
+    return b.select("level", "id_range", "n", F.array_join("keys", ",").alias("keys"))
 
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT slug) AS slugs, max(id) AS max_id, count(*) FILTER (WHERE deleted_at IS NOT NULL) AS deleted FROM lookup_entry GROUP BY kind")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
+from loomspark.operators import browse
 from loomspark.operators import editorial as ed
 from loomspark.operators import reconcile
 from loomspark.plans.catalogue import S, spells
@@ -64,7 +65,7 @@ def q_fan_out(spark, d):
     return ed.fan_out(t, "n", "part").select("p_partkey", "part")
 
 
-@query(f"WITH {S}, b AS (SELECT id, trim(regexp_replace(regexp_replace(name, ',\\s*[^,]+$', ''), '\\s+[IVX]+$', '')) AS base FROM s) SELECT x.id, y.id AS related FROM b x JOIN b y ON x.base = y.base AND x.id <> y.id")
+@query(f"WITH {S}, b AS (SELECT id, trim(regexp_replace(regexp_replace(name, ',\\s*[^,]+$', ''), '\\s+[IVX]+$', '')) AS base FROM s) SELECT id, min(id) OVER (PARTITION BY base) AS family, count(*) OVER (PARTITION BY base) - 1 AS n_related FROM b")
 def q_related_variants(spark, d):
     return ed.related_variants(spells(spark, d), "id", "name")
 
@@ -203,11 +204,12 @@ def q_overlay_status(spark, d):
     return table(spark, d, "i18n_spell_text").groupBy("lang", "variant").agg(F.count("*").alias("n"), F.count_distinct("spell_id").alias("spells"), F.max("updated_at").cast("string").alias("latest"))
 
 
-@query(f"WITH {S}, z AS (SELECT DISTINCT spell_id AS id FROM zh_record WHERE spell_id IS NOT NULL) SELECT rulebook_id, count(*) AS n, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.id) AS missing FROM s WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.id = s.id) GROUP BY rulebook_id")
+@query(f"WITH {S}, z AS (SELECT DISTINCT spell_id AS id FROM zh_record WHERE spell_id IS NOT NULL) SELECT rulebook_id, CAST(floor(s.id / 1000) AS BIGINT) AS id_range, count(*) AS n, string_agg(CAST(s.id AS VARCHAR), ',' ORDER BY s.id) AS missing FROM s WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.id = s.id) GROUP BY rulebook_id, 2")
 def q_back_check(spark, d):
     s = spells(spark, d).select("id", "rulebook_id")
     rest = s.join(table(spark, d, "zh_record").select(F.col("spell_id").alias("id")), "id", "left_anti")
-    return rest.groupBy("rulebook_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("missing"))
+    ids = browse.listed_by(rest, "rulebook_id", "id")
+    return ids.select("rulebook_id", "id_range", "n", F.array_join(F.col("keys").cast("array<string>"), ",").alias("missing"))
 
 
 @query("SELECT lower(name_key) AS name_key, sources, conflicting FROM (SELECT name AS name_key, count(DISTINCT source) AS sources, count(DISTINCT lower(trim(regexp_replace(coalesce(array_to_string(description, ' '), ''), '\\s+', ' ', 'g')))) > 1 AS conflicting FROM parsed_spell GROUP BY 1) q WHERE sources > 1")

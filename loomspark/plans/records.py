@@ -205,9 +205,9 @@ def q_multikey_match(spark, d):
     return resolve.match_any_key(z, spells(spark, d), "rec_id", "id", keys, [F.lower("name"), bare("name")])
 
 
-@query(f"WITH {S} SELECT a.name, a.id AS id_a, b.id AS id_b, a.description = b.description AS same_text FROM s a JOIN s b ON a.name = b.name AND a.id < b.id")
+@query(f"WITH {S} SELECT id, min(id) OVER (PARTITION BY name) AS class_id, count(*) OVER (PARTITION BY name) - 1 AS n_others, count(*) OVER (PARTITION BY name, description) - 1 AS n_same_text FROM s")
 def q_self_join_reuse(spark, d):
-    return resolve.same_key_pairs(spells(spark, d), "name", "id", "description")
+    return resolve.same_key_links(spells(spark, d), "name", "id", "description")
 
 
 @query(f"WITH {S}, h AS (SELECT DISTINCT split_part(name, ' ', 1) AS head FROM s) SELECT s.id, h.head FROM s JOIN h ON lower(s.name) LIKE lower(h.head) || ' %'")

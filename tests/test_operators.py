@@ -235,8 +235,8 @@ def test_resolve(spark):
     assert {(r["id"], r["target"], r["rule"]) for r in resolve.resolve_label(rows, F.col("label"), [("all", look)]).collect()} == {(1, 1, "all"), (2, None, None), (3, None, None)}
     pre = resolve.prefix_join(spark.createDataFrame([(1, "Wall of fire"), (2, "Wallow")], "id int, t string"), spark.createDataFrame([("wall",), ("Wall of",)], "h string"), "t", "h")
     assert {(r["id"], r["h"]) for r in pre.collect()} == {(1, "wall"), (1, "Wall of")}
-    same = resolve.same_key_pairs(spark.createDataFrame([("k", 1, None), ("k", 2, None), ("k", 3, "x"), (None, 4, "x")], "k string, id int, t string"), "k", "id", "t")
-    assert {(r["id_a"], r["id_b"], r["same_text"]) for r in same.collect()} == {(1, 2, True), (1, 3, False), (2, 3, False)}
+    same = resolve.same_key_links(spark.createDataFrame([("k", 1, None), ("k", 2, None), ("k", 3, "x"), (None, 4, "x")], "k string, id int, t string"), "k", "id", "t")
+    assert {tuple(r) for r in same.collect()} == {(1, 1, 2, 1), (2, 1, 2, 1), (3, 1, 2, 0), (4, None, 0, 0)}
 
 
 def test_text_edits_fold(spark):

@@ -19,7 +19,7 @@ def test_reading_lines(spark):
     got = [tuple(r) for r in pages.reading_lines(spark.createDataFrame(rows, ITEMS), ["page"], "no").orderBy("page", "line").collect()]
     assert got == [(1, 0, "Fire ball,", 0.0, 11.5, 9.0), (1, 1, "next", 0.0, 11.0, 8.0), (1, 2, "up (x", 10.0, 20.0, 8.0)]
     assert pages.reading_lines(spark.createDataFrame([], ITEMS), ["page"], "no").count() == 0
-    assert [r["text"] for r in pages.clustered_lines(spark.createDataFrame([r for r in rows if r[2] is not None], ITEMS).where("page = 1"), ["page"]).collect()] == ["up (x next Fire ball,"]
+    assert [r["text"] for r in pages.clustered_lines(spark.createDataFrame([r for r in rows if r[2] is not None], ITEMS).where("page = 1"), ["page"]).collect()] == ["up (x Firenext ball,"]
 
 
 def test_heading_entities_and_entries(spark):

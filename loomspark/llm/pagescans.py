@@ -299,6 +299,8 @@ def _clean_words(texts: DataFrame) -> DataFrame:
 
 
 _NAME_BITS, _WORD_BITS = 8.0, 34.0
+#: Occurrences that a word's own share weighs as much as in the bigram model.
+_BACKOFF = 12.0
 
 
 def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame:
@@ -366,10 +368,12 @@ def repair_words(tokens: DataFrame, clean: DataFrame | None = None) -> DataFrame
     scored = scored.join(explained, "reading", "left")
     real = F.when(F.col("is_misread"), F.coalesce("n_clean", F.lit(0))).otherwise(F.coalesce("n", F.lit(0))).cast("double")
     scored = scored.withColumn("real", real).withColumn("own", F.when(real > 0, F.least(-F.log2(real / F.lit(float(total))), unseen_bits)).otherwise(unseen_bits))
-    # what isn't counted as a word has no bigrams, so its neighbours can't tell it from others of its kind: the cheapest can win, no other
-    lone = F.col("real") == 0
-    cheapest = F.min(F.when(lone, F.struct(F.col("channel") + F.col("own"), "rank", "reading"))).over(Window.partitionBy("obs", "broken"))
-    scored = scored.withColumn("lone", cheapest).where(~lone | (F.col("reading") == F.col("lone.reading")))
+    # what isn't counted as a word has no bigrams: beside others of its kind only the cheapest can win, and beside a word
+    # only if it is cheaper than that word is without bigrams on either side
+    lone, bits = F.col("real") == 0, F.col("channel") + F.col("own")
+    w = Window.partitionBy("obs", "broken")
+    scored = scored.withColumn("cheapest", F.min(F.when(lone, F.struct(bits, "rank", "reading"))).over(w)).withColumn("most", F.min(F.when(~lone, bits + F.log2(F.col("real") / _BACKOFF + 1))).over(w))
+    scored = scored.where(~lone | ((F.col("reading") == F.col("cheapest.reading")) & (F.col("most").isNull() | (bits <= F.col("most")))))
     name = F.coalesce(F.col("n_cap") * 2 > F.col("n_mid"), F.col("name_bits").isNotNull())
     options = scored.groupBy("obs", "broken").agg(F.collect_list(F.struct("rank", "reading", "look", "channel", "own", F.col("real").alias("n"), name.alias("name"))).alias("options"))
     # every reading that is counted as a word stays: what the words beside it say may outweigh any difference in its own bits
@@ -482,9 +486,6 @@ def _edges(held):
     return edges
 
 
-_BACKOFF = 12.0
-
-
 def best_path(words: list[tuple], counts: dict[str, dict[str, int]]) -> list[tuple]:
     """The option of each word on the cheapest path, in bits of channel and bigrams.
 

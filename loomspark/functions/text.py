@@ -1,7 +1,8 @@
-"""Text functions as column expressions; the two that Spark's built-ins can't express are Arrow UDFs."""
+"""Text functions as column expressions; those that Spark's built-ins can't express are Arrow UDFs."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -30,6 +31,27 @@ def fold_fullwidth(c: Column) -> Column:
     return F.translate(c, "０１２３４５６７８９，：；（）！？", "0123456789,:;()!?")
 
 
+# Numerals that compatibility forms have as one character.
+_ROMAN = dict(zip("ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ", ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]))
+
+
+def fold_roman(c: Column) -> Column:
+    """Roman numerals of one character as letters."""
+    for mark, letters in _ROMAN.items():
+        c = F.replace(c, F.lit(mark), F.lit(letters))
+    return c
+
+
+def unicode_tokens(c: Column) -> Column:
+    """Array of lower-case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def appearances(c: Column) -> Column:
+    """Array of appearance_parts of 'Book 128; Other book 9'; blank parts are left out."""
+    return F.transform(F.filter(F.transform(F.split(c, ";"), squeeze), lambda x: x != ""), appearance_parts)
+
+
 def slug(c: Column, drop_quotes: bool = False) -> Column:
     """Lower case letters and digits with single hyphens; quotes separate, or vanish with drop_quotes."""
     s = F.lower(F.trim(c))
@@ -164,6 +186,40 @@ def bracket_groups(s: pd.Series) -> pd.Series:
     return s.map(groups)
 
 
+# Marks that a table's first cell, each further cell and each row's end are told by in paragraphs.
+ROW_OPENS, CELL, ROW_ENDS = "\ue000", "\ue001", "\ue002"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("cells", T.ArrayType(T.StringType()))])))
+def body_blocks(paragraphs: pd.Series) -> pd.Series:
+    """Array of struct(kind, text, cells): the paragraphs and table rows of an array of paragraphs with cell marks.
+
+    A row goes from its first mark to its end mark, or to the end of the text; text in it is the cell opened last, or a
+    cell of its own where that has text already.
+    """
+
+    def blocks(lines) -> list[dict]:
+        out: list[dict] = []
+        cells: list[str] | None = None
+        for piece in re.split(f"([{ROW_OPENS}-{ROW_ENDS}])", "\n".join(x or "" for x in lines)) if lines is not None else []:
+            if piece in (ROW_OPENS, CELL):
+                cells = [*(cells or []), *([""] if piece == CELL else [])]
+            elif piece == ROW_ENDS:
+                out.append({"kind": "table-row", "text": None, "cells": cells or []})
+                cells = None
+            else:
+                for text in filter(None, map(str.strip, piece.split("\n"))):
+                    if cells is None:
+                        out.append({"kind": "paragraph", "text": text, "cells": None})
+                    elif cells and not cells[-1]:
+                        cells[-1] = text
+                    else:
+                        cells.append(text)
+        return out if cells is None else [*out, {"kind": "table-row", "text": None, "cells": cells}]
+
+    return paragraphs.map(blocks)
+
+
 def locale_order(c: Column) -> Column:
     """Sort key of the Unicode root order: case and accents break ties only."""
     return F.collate(c, "UNICODE")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.catalog import table
+from loomspark.functions import mechanics
 from loomspark.functions import text as tx
 from loomspark.operators import browse, filters, normalize, reconcile, resolve, search
 from loomspark.plans.catalogue import S, spells
@@ -244,3 +245,46 @@ def q_numeric_order(spark, d):
     within = rows.withColumn("at", F.row_number().over(Window.partitionBy("run").orderBy("k")))
     starts = rows.groupBy("run").agg(F.count("*").alias("n"), F.min("k").alias("first")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return within.join(starts.select("run", "before"), "run").select("p_partkey", (F.col("at") + F.col("before")).alias("place"))
+
+
+# --- scalar functions
+
+_TYPO = "translate({c}, '‘’‛“”„‐‑‒–—−', chr(39) || chr(39) || chr(39) || '\"\"\"------')"
+_KEY = f"lower(trim(regexp_replace(regexp_replace({_TYPO.format(c='en_name')}, '(?i)\\s*\\(((m|f|df|xp)(\\s*[,/]\\s*)?)+\\)\\s*$', ''), '\\s+', ' ', 'g')))"
+
+
+@query(f"""SELECT DISTINCT rec_id, {_TYPO.format(c='zh_name')} AS plain, translate(zh_name, '０１２３４５６７８９，：；（）！？', '0123456789,:;()!?') AS narrow, {_KEY} AS name_key, regexp_replace({_KEY}, '[^a-z0-9]+', '', 'g') AS compact,
+ replace(replace(replace(replace(zh_description_html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, len(regexp_extract_all(lower(zh_name), '[\\p{{L}}\\p{{N}}]+')) AS n_tokens,
+ length(regexp_replace(zh_name, '[^A-Za-z]', '', 'g')) >= 3 AND length(regexp_replace(zh_name, '[^\\x00-\\x7F]', '', 'g')) > 0.8 * length(zh_name) AS english, rec_id || ':' || coalesce(CAST(spell_id AS VARCHAR), '-') || ':' || source_key AS composite FROM zh_record""")
+def q_text_scalars(spark, d):
+    z, en = F.col("zh_name"), F.col("en_name")
+    return table(spark, d, "zh_record").select(
+        "rec_id", tx.fold_typography(z).alias("plain"), tx.fold_fullwidth(z).alias("narrow"), tx.name_key(en).alias("name_key"), tx.compact_key(en).alias("compact"), tx.escape_html(F.col("zh_description_html")).alias("escaped"),
+        F.size(tx.unicode_tokens(z)).cast("long").alias("n_tokens"), tx.mostly_english(z).alias("english"), tx.composite_id(F.col("rec_id"), F.col("spell_id"), F.col("source_key")).alias("composite"),
+    ).distinct()
+
+
+@query("""SELECT DISTINCT parsed_id, trim(regexp_replace(CASE WHEN regexp_matches(x, '\\s[0-9]+\\s*$') THEN regexp_replace(x, '\\s+[0-9]+\\s*$', '') ELSE x END, '\\s+', ' ', 'g')) AS label, CAST(nullif(regexp_extract(x, '\\s([0-9]+)\\s*$', 1), '') AS INT) AS page FROM (SELECT parsed_id, unnest([trim(source), trim(trim(coalesce(school, '')) || ' ' || page)]) AS x FROM parsed_spell WHERE source IS NOT NULL AND page IS NOT NULL AND NOT contains(source, ';') AND NOT contains(coalesce(school, ''), ';')) q WHERE trim(x) <> ''""")
+def q_source_appearances(spark, d):
+    p = table(spark, d, "parsed_spell").where("source is not null and page is not null and not contains(source, ';') and not contains(coalesce(school, ''), ';')")
+    listed = F.concat("source", F.lit("; "), F.trim(F.coalesce("school", F.lit(""))), F.lit(" "), "page")
+    return p.select("parsed_id", F.explode(tx.appearances(listed)).alias("a")).select("parsed_id", "a.label", "a.page").distinct()
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_returnflag = 'N') + 1 AS n_paragraphs, count(*) FILTER (l_returnflag <> 'N') AS n_rows, coalesce(string_agg(l_linestatus || '/' || l_linenumber, ';' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) FILTER (l_returnflag <> 'N'), '') AS cells FROM lineitem GROUP BY 1")
+def q_body_blocks(spark, d):
+    row = F.concat(F.lit(tx.ROW_OPENS + tx.CELL), "l_linestatus", F.lit(tx.CELL), F.col("l_linenumber").cast("string"), F.lit(tx.ROW_ENDS))
+    line = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("text "), F.col("l_linenumber").cast("string"))).otherwise(row)
+    packed = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", line.alias("t")))).alias("ls"))
+    b = packed.select("l_orderkey", tx.body_blocks(F.concat(F.array(F.lit("head")), F.transform("ls", lambda x: x["t"]))).alias("b"))
+    rows = F.filter("b", lambda x: x["kind"] == "table-row")
+    return b.select("l_orderkey", F.size(F.filter("b", lambda x: x["kind"] == "paragraph")).cast("long").alias("n_paragraphs"), F.size(rows).cast("long").alias("n_rows"), F.array_join(F.transform(rows, lambda x: F.array_join(x["cells"], "/")), ";").alias("cells"))
+
+
+@query(f"WITH {S}, m AS ({MECHANIC_SQL}), k AS (SELECT spell_id, mechanic_type, split_part(parsed, '|', 6) AS c, split_part(parsed, '|', 7) AS i, spell_id % 3 AS r FROM m) SELECT spell_id, mechanic_type, CASE WHEN r = 0 AND c = 'complete' THEN 'text-missing' WHEN r = 1 AND c <> 'review' THEN 'issue-unexpected' WHEN r = 2 AND c <> 'complete' THEN 'text-unexpected' ELSE '' END AS errors FROM k")
+def q_mechanic_invariants(spark, d):
+    m, r = normalize.mechanics_of(spells(spark, d)), F.col("spell_id") % 3
+    text = F.when(r == 0, None).when((r == 2) & (F.col("coverage") != "complete"), "x").otherwise(F.col("normalized_text"))
+    issue = F.when((r == 1) & (F.col("coverage") != "review"), "x").otherwise(F.col("issue_code"))
+    broken = m.select("spell_id", "mechanic_type", F.struct("coverage", text.alias("normalized_text"), issue.alias("issue_code")).alias("v"))
+    return broken.select("spell_id", "mechanic_type", F.array_join(mechanics.display_errors(F.col("v")), ",").alias("errors"))

@@ -305,6 +305,15 @@ def test_canonical_strings(spark):
     assert small < big and one(spark, text.numeric_order, "a string", "a007") == one(spark, text.numeric_order, "a string", "a7")
 
 
+def test_body_blocks_and_numerals(spark):
+    df = spark.createDataFrame([(["a", "\ue000x\ue001y\ue001\ue002 b ", "\ue001p", "q"],), ([],), (None,)], "p array<string>")
+    got = [[(b["kind"], b["text"] or b["cells"]) for b in r[0]] for r in df.select(text.body_blocks("p")).collect()]
+    assert got == [[("paragraph", "a"), ("table-row", ["x", "y", ""]), ("paragraph", "b"), ("table-row", ["p", "q"])], [], []]
+    assert one(spark, text.fold_roman, "a string", "Bell Ⅳ", None) == ["Bell IV", None]
+    assert [[tuple(x) for x in r] for r in one(spark, text.appearances, "a string", "Book 12;  ; Other", "")] == [[("Book", 12), ("Other", None)], []]
+    assert one(spark, text.unicode_tokens, "a string", "Ab-1 火球") == [["ab", "1", "火球"]]
+
+
 def test_lookup_ids(spark):
     look = spark.createDataFrame([(" Fire", 1, 1), ("fire", 2, 2), ("ice", 3, 3)], "key string, target int, place int")
     rows = spark.createDataFrame([(1, "FIRE "), (2, "x"), (3, " "), (4, None)], "id int, label string")

@@ -56,9 +56,11 @@ def bm25(documents: DataFrame, weights: dict[str, float], query: str, eligible:
 
 def postings(documents: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """gram, key: each document's distinct character trigrams, a prefilter for corpora too large to scan for substrings."""
-    text = F.lower(F.concat_ws("\x00", *columns))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: text.substr(i, F.lit(3))))
-    return documents.select(key, F.explode(grams).alias("gram")).where((F.length("gram") == 3) & ~F.col("gram").contains("\x00"))
+    chars = F.split(F.lower(F.concat_ws("\x00", *columns)), "")
+    # characters are cut once: substrings by place would read a text from its start for every gram
+    join, rest = (lambda a, b: F.concat(a, b)), (lambda k: F.slice(chars, k, F.size(chars)))
+    grams = F.array_distinct(F.array_compact(F.zip_with(F.zip_with(chars, rest(2), join), rest(3), join)))
+    return documents.select(key, F.explode(grams).alias("gram")).where(~F.col("gram").contains("\x00"))
 
 
 def candidates(index: DataFrame, key: str, token: str) -> DataFrame:

@@ -227,7 +227,7 @@ def q_review_queue(spark, d):
 
 
 @query(f"""WITH {S}, l AS (SELECT DISTINCT character_class_id, level, spell_id FROM dnd_spellclasslevel WHERE spell_id IS NOT NULL AND character_class_id IS NOT NULL), t AS (SELECT l.*, trim(replace(s.name, ':', ' ') || ': entry ' || spell_id) AS line FROM l JOIN s ON s.id = l.spell_id),
-g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][^:]{{1,60}}:\s') THEN 1 ELSE 0 END) OVER (PARTITION BY character_class_id, level ORDER BY spell_id ROWS UNBOUNDED PRECEDING) AS run FROM t), r AS (SELECT character_class_id, level, run, string_agg(line, ' ' ORDER BY spell_id) AS r FROM g WHERE run > 0 GROUP BY 1, 2, 3)
+g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z][^:]{{1,60}}:\\s') THEN 1 ELSE 0 END) OVER (PARTITION BY character_class_id, level ORDER BY spell_id ROWS UNBOUNDED PRECEDING) AS run FROM t), r AS (SELECT character_class_id, level, run, string_agg(line, ' ' ORDER BY spell_id) AS r FROM g WHERE run > 0 GROUP BY 1, 2, 3)
 SELECT character_class_id, 'CLASS' AS owner, level, trim(split_part(r, ':', 1)) AS name, trim(substr(r, strpos(r, ':') + 1)) AS summary FROM r""")
 def q_list_records(spark, d):
     """Pages made from class levels, read back to records."""

@@ -87,7 +87,7 @@ def _index(spark: SparkSession, d: str) -> search.SearchIndex:
 @query(f"WITH {_ranked_sql(['minute', 'lantern'])} SELECT spell_id, round(score, 6) AS score FROM hit ORDER BY score DESC, lower(name), spell_id LIMIT 10 OFFSET 5")
 def q_fts_spells(spark, d):
     hits = _index(spark, d).search("lantern MINUTE of lantern")
-    named = hits.join(spells(spark, d).select(F.col("id").alias("spell_id"), "name"), "spell_id").withColumn("score", F.col("score"))
+    named = hits.join(spells(spark, d).select(F.col("id").alias("spell_id"), "name"), "spell_id")
     page = named.orderBy(F.col("score").desc(), F.lower("name"), "spell_id").offset(5).limit(10)
     return page.select("spell_id", F.round("score", 6).alias("score"))
 

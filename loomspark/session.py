@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return jdir.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    made = f"file://{tempfile.mkdtemp(prefix='loomspark-')}"
+    folder = tempfile.mkdtemp(prefix="loomspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 

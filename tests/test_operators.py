@@ -97,6 +97,21 @@ def test_orphans_any_steps(spark):
     assert {(r["period"], r["open_orphans"]) for r in orphans.snapshots(whole).collect()} == {("2021-04", 3), ("2022-01", 2), ("2023-01", 3)}
 
 
+def test_orphans_of_a_hot_key(spark, monkeypatch):
+    """A key with most of the references is spread over copies of its index row, with the same result."""
+    from datetime import datetime as D
+
+    refs = [("t", "f", str(i), "s", 1 if i % 4 else i, D(2021, 3, 1)) for i in range(60)]
+    parents = [("s", 1, D(2022, 1, 1), None), ("s", 4, D(2020, 1, 1), None)]
+    df, pf = spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS)
+    plain = {tuple(r) for r in orphans.pending(orphans.step(None, df, pf)).collect()}
+    monkeypatch.setattr(orphans, "HOT_ROWS", 3)
+    assert orphans.hot_keys(df) == [("s", 1)]
+    state = orphans.step(None, df, pf)
+    assert {tuple(r) for r in orphans.pending(state).collect()} == plain and len(plain) == 59
+    assert {(r["period"], r["open_orphans"]) for r in orphans.snapshots(state).collect()} == {("2021-03", 59), ("2022-01", 14)}
+
+
 def test_packed_parse():
     assert packed.parse('a; "b, c" / \'it\'\'s\' and d (x, y), 9,750 marks\n「e / f」|n/a|;-') == ["a", "b, c", "it's", "d (x, y)", "9,750 marks", "e / f"]
     assert packed.parse('"the ""old"" bell"\t"a \\"b\\" c"') == ['the "old" bell', 'a "b" c']
